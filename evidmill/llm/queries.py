@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from evidmill.llm import packing, spm_codec, token_count
+from evidmill.llm import packing, pii, quality_rules, spm_codec, token_count
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
+        "op9_pii": pii.op9_pii,
         "op10_token_counts": token_count.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
+        "op9_pii": pii.OP9_SQL,
+    }
