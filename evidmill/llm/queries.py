@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evidmill.llm import packing, pii, quality_rules, spm_codec, token_count
+from evidmill.llm import html_extract, packing, pii, quality_rules, spm_codec, token_count
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op5_html_extraction": html_extract.op5_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
         "op9_pii": pii.op9_pii,
