@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evidmill.llm import html_extract, packing, pii, quality_rules, spm_codec, token_count
+from evidmill.llm import embed_dedup, html_extract, packing, pii, quality_rules, spm_codec, token_count
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embed_dedup.op1_embedding_near_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op5_html_extraction": html_extract.op5_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_near_dedup": embed_dedup.OP1_SQL,
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op9_pii": pii.OP9_SQL,
     }
