@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evidmill.llm import embed_dedup, html_extract, packing, pii, quality_rules, spm_codec, token_count
+from evidmill.llm import embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embed_dedup.op1_embedding_near_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op5_html_extraction": html_extract.op5_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_near_dedup": embed_dedup.OP1_SQL,
         "op2_quality_rules": quality_rules.OP2_SQL,
+        "op3_ngram_jaccard_join": ngram_join.OP3_SQL,
         "op9_pii": pii.OP9_SQL,
     }
