@@ -17,7 +17,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("shouting", "2 * n_upper_words > n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidmill.llm import embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count
+from evidmill.llm import embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count, weak_classifier
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_embedding_near_dedup": embed_dedup.op1_embedding_near_dedup,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+        "op4_quality_classifier": weak_classifier.op4_quality_classifier,
         "op5_html_extraction": html_extract.op5_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
