@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidmill.llm import embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count, weak_classifier
+from evidmill.llm import attention_lm, embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count, weak_classifier
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op4_quality_classifier": weak_classifier.op4_quality_classifier,
         "op5_html_extraction": html_extract.op5_html_extraction,
+        "op6_lm_scoring": attention_lm.op6_lm_scoring,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
         "op9_pii": pii.op9_pii,
