@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evidmill.plans import retrieval_queries
+
+QUERIES: dict = dict(retrieval_queries.QUERIES)
+ORACLES: dict[str, str] = dict(retrieval_queries.ORACLES)
