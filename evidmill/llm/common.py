@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidmill.operators.graph import connected_components, discard, shared_dir, written
+
+__all__ = ["WORD", "connected_components", "discard", "shared_dir", "table", "tokenizer_path", "words", "written"]
+
 #: ASCII white space; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,66 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="evidmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here and lost executors cost nothing already done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._evidmill_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_evidmill_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != F.lit(""))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable value of every vertex: columns node, root.
-
-    ``edges`` has columns a and b of one orderable type; loops and repeats are
-    allowed.  Alternates large-star and small-star steps (Kiveris et al. 2014),
-    each two shuffles by vertex with partial aggregation, until the edge set no
-    longer changes; a star's centre is combined map-side, so a vertex with many
-    neighbours never meets in one task.  Each round is written to the shared folder.
-    """
-    e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        # large star: every neighbour above u links to the smallest of u and its neighbours
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours link to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = written(small, "edges")
-        now = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        discard(e)
-        e = nxt
-        if now == state:
-            break
-        state = now
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
