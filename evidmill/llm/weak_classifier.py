@@ -76,6 +76,8 @@ def fit_labels(counts: dict[str, int], steps: int = 200, tol: float = 1e-9) -> d
     (of good), rates[labeller][class][vote b, -, g], accuracy by labeller, and
     posterior by pattern.
     """
+    if not counts:
+        return {"prior": 0.5, "rates": np.empty((0, 2, 3)), "accuracy": {}, "posterior": {}}
     names = sorted(counts)
     n = np.array([counts[p] for p in names], dtype=np.float64)
     v = np.array([["b-g".index(c) for c in p] for p in names]).reshape(len(names), -1)
@@ -91,9 +93,9 @@ def fit_labels(counts: dict[str, int], steps: int = 200, tol: float = 1e-9) -> d
                 h = np.bincount(v[:, k], weights=weight, minlength=3) + 0.01 * max(total, 1) ** 0.5
                 h[1] = 0
                 rates[k, c] = h / h.sum()
-        logs = np.log([1 - prior, prior])[None, :] + sum(np.where(v[:, k : k + 1] == 1, 0.0, np.log(np.maximum(rates[k].T[v[:, k]], 1e-300))) for k in range(labellers)) if len(names) else np.empty((0, 2))
+        logs = np.log([1 - prior, prior])[None, :] + sum(np.where(v[:, k : k + 1] == 1, 0.0, np.log(np.maximum(rates[k].T[v[:, k]], 1e-300))) for k in range(labellers))
         good = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-        if seen is not None and len(good) and np.abs(good - seen).max() < tol:
+        if seen is not None and np.abs(good - seen).max() < tol:
             break
         seen = good
     accuracy = {}
