@@ -56,8 +56,8 @@ def test_windows_score_each_token_once():
         x, y = [LM.END, *t], [*t, LM.END]
         total = 0.0
         for i in range(len(x)):
-            k = 0 if i < LM.WINDOW else (i - LM.OVERLAP) // (LM.WINDOW - LM.OVERLAP)
-            start = k * (LM.WINDOW - LM.OVERLAP)
+            step = LM.WINDOW - LM.OVERLAP
+            start = max(0, i // step * step - LM.OVERLAP)
             ctx = x[start : i + 1]
             w = np.array([math.exp(par["a"][x[i], c] + par["r"][i - start - j]) for j, c in enumerate(ctx)])
             z = (w / w.sum()) @ par["v"][ctx] @ par["o"] + par["s"][x[i]] + par["b"]
