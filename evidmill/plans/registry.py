@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidmill.plans import retrieval_queries, study_queries
+from evidmill.plans import check_queries, retrieval_queries, study_queries
 
-QUERIES: dict = {**retrieval_queries.QUERIES, **study_queries.QUERIES}
-ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **study_queries.ORACLES}
+QUERIES: dict = {**retrieval_queries.QUERIES, **study_queries.QUERIES, **check_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **study_queries.ORACLES, **check_queries.ORACLES}
