@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidmill.functions import text as T
+from evidmill.operators.graph import written
 
 #: Weights and limits of the published configuration.
 POOL, TOP_K, NEAR, CAP = 20, 3, 0.97, 1
@@ -147,6 +148,16 @@ def evidence(papers: DataFrame, topics: DataFrame, bounded: bool, window: int =
     return df.withColumn("evidence", score).withColumn("generic_only", generic & (F.col("evidence") == 0)).drop("__t", "__a", "__s", "__w", "__all", "phrases", "groups", "generic", "sentence_only")
 
 
+def qualified(papers: DataFrame, topics: DataFrame, bounded: bool) -> DataFrame:
+    """id, field, topic_id, topic_field, evidence of pairs with MIN_EVIDENCE or more.
+
+    Evidence is written before it is filtered: pushed down, the filter would
+    split each text again for every window.
+    """
+    found = evidence(papers, topics, bounded).where("evidence > 0 or generic_only").select("id", "field", "topic_id", "topic_field", "evidence")
+    return written(found, "evidence").where(F.col("evidence") >= MIN_EVIDENCE)
+
+
 # ---- near duplicates in a pool and capped selection -------------------------
 
 
@@ -192,13 +203,14 @@ def gate_pool(papers: DataFrame, topics: DataFrame, variant: str) -> DataFrame:
     and ``repaired`` gate by phrase evidence first and cut then.
     """
     if variant in ("guarded", "repaired"):
-        df = evidence(papers, topics, bounded=variant == "repaired").where(F.col("evidence") >= MIN_EVIDENCE)
+        df = qualified(papers, topics, bounded=variant == "repaired")
         same = (F.col("field") == F.col("topic_field")).cast("double")
         if variant == "repaired":
             df = df.withColumn("raw", F.lit(0.0)).withColumn("relevance", (1 - BETA_FIELD) * F.col("evidence") + BETA_FIELD * same).withColumn("share", F.lit(ALPHA))
         else:
             df = df.withColumn("raw", FIELD_CONTEXT * same).withColumn("relevance", F.col("evidence")).withColumn("share", F.lit(RELEVANCE_WEIGHT))
-        return ranked(df, ["topic_id"], [F.desc("evidence"), F.desc("raw"), F.asc("id")], POOL, "candidate_rank")
+        pool = ranked(df, ["topic_id"], [F.desc("evidence"), F.desc("raw"), F.asc("id")], POOL, "candidate_rank")
+        return pool.join(papers.select("id", "title", "abstract"), "id")
     words = T.comparable_set if variant == "fixed" else T.token_set
     q = topics.select("topic_id", F.col("field").alias("topic_field"), F.array_distinct("keywords").alias("qt"), F.array("field").alias("qf"))
     p = papers.withColumn("__w", words(content(field=True)))
@@ -263,7 +275,7 @@ def soft_rerank(papers: DataFrame, queries: DataFrame, topics: DataFrame, weight
 
 def hybrid(papers: DataFrame, queries: DataFrame, topics: DataFrame, weight: float = 0.2) -> DataFrame:
     """Papers with bounded evidence for the query's topic, ordered by evidence plus ``weight`` times BM25 over its peak among them."""
-    ev = evidence(papers, topics, bounded=True).where(F.col("evidence") >= MIN_EVIDENCE).select("id", "topic_id", "evidence")
+    ev = qualified(papers, topics, bounded=True).select("id", "topic_id", "evidence")
     df = ev.join(queries.select("query_id", "topic_id"), "topic_id").join(bm25(papers, queries.select("query_id", "query")), ["query_id", "id"], "left")
     df = df.withColumn("score", F.coalesce("score", F.lit(0.0)))
     top = F.max("score").over(W.partitionBy("query_id"))

@@ -29,7 +29,7 @@ def _capped(s, d):
 def _trace(s, d):
     """First exclusion of every paper for each topic: evidence gate, pool, exact duplicates, top 3."""
     p, t = A.papers(s, d), A.topics(s)
-    ev = R.evidence(p, t, True).select("topic_id", "id", "evidence").where("evidence >= 0.8")
+    ev = R.qualified(p, t, True).select("topic_id", "id", "evidence")
     pool = R.ranked(ev, ["topic_id"], [F.desc("evidence"), F.asc("id")], None, "place")
     pool = pool.withColumn("candidate_rank", F.when(F.col("place") <= R.POOL, F.col("place")))
     pool = pool.join(_families(s, d), "id")
@@ -75,7 +75,7 @@ def _ratios(s, d):
 
 
 def _shortfall(s, d):
-    lab = R.evidence(A.papers(s, d), A.topics(s), True).where("evidence >= 0.8").join(_families(s, d), "id").groupBy("topic_id").agg(F.count("*").alias("n"), F.countDistinct("family").alias("f"))
+    lab = R.qualified(A.papers(s, d), A.topics(s), True).join(_families(s, d), "id").groupBy("topic_id").agg(F.count("*").alias("n"), F.countDistinct("family").alias("f"))
     j = A.topics(s).select("topic_id").join(lab, "topic_id", "left").na.fill(0)
     why = F.array_compact(F.array(F.when(F.col("n") == 0, "no_evidence"), F.when(F.col("n") < 20, "pool_not_full"), F.when(F.col("f") < F.col("n"), "duplicates_present"), F.when(F.col("f") < 3, "too_few_distinct")))
     return j.select("topic_id", F.col("n").alias("qualified"), F.array_join(why, ",").alias("reasons"))
