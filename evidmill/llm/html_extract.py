@@ -1,9 +1,11 @@
 """Main text of web pages, with the host's recurring subtrees removed.
 
-Pages are parsed twice.  The first pass hashes the element subtrees that could
-be page furniture; Spark counts each hash's pages per host.  The second pass
-drops furniture by element and name, then subtrees that recur on many pages of
-the host, and returns the blocks of what is left.
+Pages are parsed up to three times.  The first pass hashes the element
+subtrees that could be page furniture; Spark counts each hash's pages per host.
+The second, over hosts where some recur, asks what a page has besides them: a
+recurring subtree is a template if it stands beside many different texts, and
+copied content if it doesn't.  The last drops furniture by element and name,
+then the templates, and returns the blocks of what is left.
 """
 
 from __future__ import annotations
@@ -170,11 +172,46 @@ def protected(root: Node) -> set[int]:
     return out
 
 
+#: Elements that structure a text and recur in different ones (a heading, a cell): inside an article they go with the box around them, never alone.
+PARTS = set("h1 h2 h3 h4 h5 h6 hgroup header li dt dd tr td th thead tbody tfoot caption figcaption legend summary".split())
+#: Least share of a page's text that recurs nowhere, for the page to say what is a template; a page with less is a copy.
+OWN = 0.25
+
+
+def _removable(root: Node) -> list[Node]:
+    """Nodes that removal may concern: inside the articles or the main element, whose surroundings are never printed, or else anywhere."""
+    safe = protected(root)
+    tag = "article" if any(x.tag == "article" for x in _walk(root)) else "main"
+    holders: list[Node] = []
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if safe and _holds(x, tag):
+            holders.append(x)
+        elif safe:
+            todo.extend(k for k in x.kids if isinstance(k, Node))
+    if not safe:
+        return [x for x in _walk(root) if x.kids and x.tag in BLOCK and x.tag not in ("html", "body")]
+    # the only holder of a page stays; of several, one may recur like any box
+    return [x for h in holders for x in _walk(h) if x.kids and x.tag in BLOCK and x.tag not in PARTS and (x is not h or len(holders) > 1)]
+
+
 def candidates(text: str) -> list[int]:
     """Hashes of the subtrees that removal may concern, each once."""
     root = trimmed(parse(text))
-    hashes, safe = subtree_hashes(root), protected(root)
-    return sorted({hashes[id(x)] for x in _walk(root) if x.kids and x.tag in BLOCK and x.tag not in ("html", "body") and id(x) not in safe})
+    hashes = subtree_hashes(root)
+    return sorted({hashes[id(x)] for x in _removable(root)})
+
+
+def votes(text: str, recurring: set[int]) -> tuple[list[int], int]:
+    """Recurring subtrees of a page and a hash of its own text; none if too little of the text is its own."""
+    mine = sorted(recurring.intersection(candidates(text)))
+    if not mine:
+        return [], 0
+    own = main_text(text, recurring)
+    if not own or len(own) < OWN * len(main_text(text, set())):
+        return [], 0
+    return mine, int.from_bytes(hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(text: str, templates: set[int]) -> str:
@@ -183,8 +220,9 @@ def main_text(text: str, templates: set[int]) -> str:
     safe = protected(root)
     if templates:
         hashes = subtree_hashes(root)
+        gone = {id(x) for x in _removable(root) if hashes[id(x)] in templates}
         for x in list(_walk(root)):
-            x.kids = [k for k in x.kids if not isinstance(k, Node) or id(k) in safe or k.tag not in BLOCK or hashes[id(k)] not in templates]
+            x.kids = [k for k in x.kids if not isinstance(k, Node) or id(k) not in gone]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -243,11 +281,23 @@ def main_text_udf():
     return run
 
 
+def votes_udf():
+    """Arrow UDF: page and its host's recurring subtrees to votes()."""
+
+    @F.arrow_udf("struct<hashes:array<bigint>,own:bigint>")
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, recurring in parts:
+            rows = [votes(p.as_py() or "", set(r.as_py() or ())) for p, r in zip(pages, recurring)]
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64())], names=["hashes", "own"])
+
+    return run
+
+
 #: Rows of (host, array) that are broadcast at most, and hashes in them.
 BROADCAST_ROWS, BROADCAST_HASHES = 50_000, 500_000
 
 
-def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3) -> DataFrame:
+def recurring(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3) -> DataFrame:
     """host, templates: hashes of subtrees on at least ``least_pages`` pages and ``least_share`` of the host's pages."""
     at = pages.select(host_of(F.col("url")).alias("host"), candidates_udf()("html").alias("hashes"))
     # one row with a null hash per page counts the pages in the same aggregation
@@ -258,6 +308,22 @@ def templates(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3)
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
 
 
+def templates(pages: DataFrame, found: DataFrame, least_pages: int = 5) -> DataFrame:
+    """host, templates: those of the recurring subtrees that stand beside at least ``least_pages`` different texts."""
+    asked = _beside(pages.select("url", "html"), found).where("__templates is not null")
+    seen = asked.select(F.col("__host").alias("host"), votes_udf()("html", "__templates").alias("v")).select("host", F.explode("v.hashes").alias("hash"), "v.own")
+    real = seen.groupBy("host", "hash").agg(F.countDistinct("own").alias("n")).where(F.col("n") >= least_pages)
+    return real.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+
+
+def _beside(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with __host and __templates, null where the host has none."""
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("h")).first()
+    small = size["n"] <= BROADCAST_ROWS and size["h"] <= BROADCAST_HASHES
+    side = found.select(F.col("host").alias("__host"), F.col("templates").alias("__templates"))
+    return pages.withColumn("__host", host_of(F.col("url"))).join(F.broadcast(side) if small else side, "__host", "left")
+
+
 def extract_main_text(pages: DataFrame, least_pages: int = 5, least_share: float = 0.3) -> DataFrame:
     """Adds text and n_chars to every page (columns url and html).
 
@@ -265,11 +331,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = 5, least_share: float
     a host, pages count as one host.  Repeated pages repeat, and each counts.
     Existing columns of those names are replaced.
     """
-    found = written(templates(pages, least_pages, least_share), "templates")
-    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("templates")), F.lit(0)).alias("h")).first()
-    small = size["n"] <= BROADCAST_ROWS and size["h"] <= BROADCAST_HASHES
-    side = found.select(F.col("host").alias("__host"), F.col("templates").alias("__templates"))
-    df = pages.withColumn("__host", host_of(F.col("url"))).join(F.broadcast(side) if small else side, "__host", "left")
+    found = written(recurring(pages, least_pages, least_share), "recurring")
+    df = _beside(pages, written(templates(pages, found, least_pages), "templates"))
     df = df.withColumn("text", main_text_udf()("html", "__templates")).drop("__host", "__templates")
     return df.withColumn("n_chars", F.length("text").cast("long"))
 

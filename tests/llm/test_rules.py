@@ -143,3 +143,17 @@ def test_templates_go_and_articles_stay(spark):
     want = Counter([(k, f"text {k}", 6) for k in range(8)] + [(0, "text 0", 6)] + [(k, "copied everywhere", 17) for k in range(10, 18)] + [(20, "", 0), (21, "lone", 4)])
     assert got == want
     assert H.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_boxes_inside_articles_go_and_copied_articles_stay(spark):
+    box = "<div class=b7><p>Get our letter every week.</p></div>"
+    body = "<h2>Summary</h2>" + "".join(f"<p>A sentence number {k} of the wire story.</p>" for k in range(6))
+    own = lambda k: f"<article><h2>Summary</h2><p>This is what page {k} alone has to say.</p>{box}</article>"
+    copy = lambda k: f"<article><p>Printed on day {k}</p>{body}</article>"
+    bare = lambda k: f"<div><p>Day {k}</p>{body}</div>"
+    rows = [(k, "http://a.org/", own(k)) for k in range(8)] + [(k, "http://b.org/", copy(k)) for k in range(10, 18)] + [(k, "http://c.org/", bare(k)) for k in range(20, 28)]
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = "\n".join(["Summary"] + [f"A sentence number {k} of the wire story." for k in range(6)])
+    assert all(got[k] == f"Summary\nThis is what page {k} alone has to say." for k in range(8))
+    assert all(got[k] == f"Printed on day {k}\n{story}" for k in range(10, 18))
+    assert all(got[k] == f"Day {k}\n{story}" for k in range(20, 28))
