@@ -93,6 +93,28 @@ def test_model_beats_its_classless_self_on_held_out(spark):
     assert tot(150) > tot(0)
 
 
+def test_model_is_fitted_on_all_training_documents(spark):
+    rng = random.Random(5)
+    # every document has words of its own, so a sample of 20 knows few of them
+    rows = [(k, " ".join(rng.choice([f"w{k}x alpha", f"w{k}x beta", "gamma"]) for _ in range(60))) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tok = "byte_bpe_50k.json"
+    sub = LM.Subwords(LM.tokenizer_path(tok))
+    freq = np.zeros(len(sub.size))
+    for _, t in rows:
+        np.add.at(freq, np.concatenate(sub.ids(LM.words_of(t))), 1)
+    starts = np.array([sub.enc.decode_single_token_bytes(i)[:1] == b" " for i in range(len(freq))])
+    classes = LM.subword_classes(df, tok, freq, starts)
+    assert (classes[freq >= LM.LEAST] < LM.CLASSES - 3).all() and (classes[freq < LM.LEAST] >= LM.CLASSES - 3).all()
+    seqs = [np.concatenate([[LM.END], classes[np.concatenate(sub.ids(LM.words_of(t)))], [LM.END]]) for _, t in rows]
+    start = LM.train(seqs[:3], 20)
+    got = LM.refined(df.withColumnRenamed("doc_id", "key"), start, tok, classes, 4)
+    again = LM.refined(df.withColumnRenamed("doc_id", "key").repartition(7), start, tok, classes, 4)
+    body = [q[1:-1].astype(np.uint8) for q in seqs]
+    assert LM.class_scores(got, body).sum() > LM.class_scores(start, body).sum()
+    assert all(np.array_equal(got[k], again[k]) for k in got)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
