@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,12 +82,36 @@ def spans(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.round(F.max(value) - F.min(value), 6).alias("span"))
 
 
+#: Token sets of a block; every two blocks of a group meet once.
+SETS = 512
+
+
+def _similarity(part: pd.DataFrame) -> float:
+    """Sum of the Jaccard similarities, at 9 digits each, of the pairs of two blocks (columns b, lo, hi, w), or within one."""
+    place: dict = {}
+    sets = [np.array([place.setdefault(t, len(place)) for t in w], dtype=np.int64) for w in part["w"]]
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    rows, cols = np.repeat(np.arange(len(sets)), size.astype(np.int64)), np.concatenate(sets)
+    for k in range(0, len(place), 4096):
+        ok = (cols >= k) & (cols < k + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[rows[ok], cols[ok] - k] = 1
+        both += m @ m.T
+    j = np.round(both / np.maximum(size[:, None] + size[None, :] - both, 1), 9)
+    b = part["b"].to_numpy()
+    cross = b[:, None] != b[None, :]
+    return float(np.triu(j if part["lo"].iloc[0] == part["hi"].iloc[0] else np.where(cross, j, 0), 1).sum())
+
+
 def text_diversity(sets: DataFrame, by: str) -> DataFrame:
-    """Mean of 1 - Jaccard over all pairs of a group's token sets (columns by, id, w); pairs without a shared token count as 1, unmaterialised."""
+    """Mean of 1 - Jaccard over all pairs of a group's token sets (columns by, id, w without repeats), by pairs of blocks."""
     n = sets.groupBy(by).agg(F.count("*").alias("n"))
-    t = sets.select(by, "id", F.size("w").alias("s"), F.explode("w").alias("t"))
-    x, y = t.alias("x"), t.alias("y")
-    both = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col(f"x.{by}").alias(by), "x.id", "y.id", F.col("x.s").alias("sx"), F.col("y.s").alias("sy")).agg(F.count("*").alias("b"))
-    shared = both.groupBy(by).agg(F.sum(F.round(F.col("b") / (F.col("sx") + F.col("sy") - F.col("b")), 9)).alias("j"))
+    blocks = -(-(n.agg(F.max("n")).first()[0] or 0) // SETS) or 1
+    dealt = sets.select(by, "w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = dealt.select(F.col(by).alias("g"), "w", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    kind = sets.schema[by].dataType.simpleString()
+    sums = dealt.groupBy("g", "lo", "hi").applyInPandas(lambda p: pd.DataFrame({"g": [p["g"].iloc[0]], "j": [_similarity(p)]}), f"g {kind}, j double")
+    shared = sums.groupBy(F.col("g").alias(by)).agg(F.sum("j").alias("j"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return n.join(shared, by, "left").select(by, F.round(F.coalesce(1 - F.try_divide(F.coalesce("j", F.lit(0.0)), pairs), F.lit(0.0)), 6).alias("diversity"))

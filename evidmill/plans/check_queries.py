@@ -38,7 +38,7 @@ def _compared(s, d):
 
 
 def _diversity(s, d):
-    p = A.papers(s, d).where(F.col("year") == 2015)
+    p = A.papers(s, d)
     return K.text_diversity(p.select("field", "id", T.token_set(R.content()).alias("w")), "field")
 
 

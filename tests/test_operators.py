@@ -133,3 +133,28 @@ def test_streamed_journal(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["branch"]: (r["records"], r["first_bad"]) for r in spark.table("verdicts").collect()}
     assert got == {"x": (8, None), "y": (8, 5)}
+
+
+def test_text_diversity_of_all_papers_by_brute_force(spark, monkeypatch):
+    from itertools import combinations
+
+    from evidmill.functions import text as T
+    from evidmill.operators import checks
+    from evidmill.operators import retrieval as R
+    from evidmill.plans import adapters as A
+    from evidmill.plans import check_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+
+    def want(rows):
+        out = {}
+        for f in {r["field"] for r in rows}:
+            j = [round(len(a & b) / max(1, len(a | b)), 9) for a, b in combinations([set(r["w"]) for r in rows if r["field"] == f], 2)]
+            out[f] = 1 - sum(j) / len(j) if j else 0.0
+        return out
+
+    rows = A.papers(spark, sf).select("field", "id", T.token_set(R.content()).alias("w")).collect()
+    for block in (512, 9):
+        monkeypatch.setattr(checks, "SETS", block)
+        got = {r["field"]: r["diversity"] for r in Q.QUERIES["text_diversity"](spark, sf).collect()}
+        assert set(got) == {r["field"] for r in rows} and all(abs(got[f] - x) < 2e-6 for f, x in want(rows).items())
