@@ -109,7 +109,7 @@ _SHAPE = {**{c: ord("A") for c in range(65, 91)}, **{c: ord("a") for c in range(
 
 
 def features(text: str | None) -> tuple[list[int], list[float]]:
-    """(buckets, values) of a text: squares of shares of word shapes, of frequent words, and bins of how much repeats; unit length."""
+    """(buckets, values) of a text: square roots of shares of word shapes and of all distinct words, and bins of how much repeats; unit length."""
     t = (text or "").encode("utf-8", "surrogatepass").decode("utf-8", "replace")
     ws = t.split()
     n = max(len(ws), 1)
@@ -126,7 +126,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     for s, c in shapes.items():
         put("s" + s, (c / n) ** 0.5)
     counts = Counter(ws)
-    for w, c in counts.most_common(30):
+    for w, c in counts.items():
         put("w" + w, (c / n) ** 0.5)
     top = max(counts.values(), default=0) / n
     put(f"d{int(10 * len(counts) / n)}", 1.0)
@@ -137,7 +137,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     return list(out), [x / size for x in out.values()]
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float]]], target: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_scorer(rows: list[tuple], target: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by mini-batches in the given order, with AdaGrad steps; (weights, bias)."""
     w, b, g2, gb2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     size = 256
@@ -192,7 +192,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
     place = F.pmod(F.xxhash64("__key", F.length("__text")), F.lit(1 << 32))
     drawn = voted.withColumn("place", place).where(F.col("place") < min(1 << 32, (sample << 32) // total + 1))
     got = drawn.select("place", "votes", features_udf()("__text").alias("f")).orderBy("place", "votes").limit(sample).collect()
-    rows = [(list(r["f"]["i"]), list(r["f"]["v"])) for r in got]
+    rows = [(np.frombuffer(r["f"]["i"], np.int16), np.frombuffer(r["f"]["v"], np.float32)) for r in got]
     target = np.array([model["posterior"][r["votes"]] for r in got])
     w, b = fit_scorer(rows, target) if rows else (np.zeros(BUCKETS), 0.0)
     weak = F.create_map(*[x for p, v in sorted(model["posterior"].items()) for x in (F.lit(p), F.lit(float(v)))]) if counts else None
@@ -204,13 +204,13 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
 
 
 def features_udf():
-    """Arrow UDF: text to its features."""
+    """Arrow UDF: text to its features, packed: 16-bit buckets and single-precision values."""
 
-    @F.arrow_udf("struct<i:array<int>,v:array<double>>")
+    @F.arrow_udf("struct<i:binary,v:binary>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
             rows = [features(x.as_py()) for x in part]
-            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["i", "v"])
+            yield pa.StructArray.from_arrays([pa.array([np.array(r[0], np.int16).tobytes() for r in rows], pa.binary()), pa.array([np.array(r[1], np.float32).tobytes() for r in rows], pa.binary())], names=["i", "v"])
 
     return run
 

@@ -47,6 +47,14 @@ def test_classifier_edges(spark):
     assert C.classify(df.limit(0)).count() == 0
 
 
+def test_every_distinct_word_is_a_feature():
+    words = [f"word{k}" for k in range(200)]
+    got = set(C.features(" ".join(words))[0])
+    assert {zlib.crc32(f"w{w}".encode()) % C.BUCKETS for w in words} <= got
+    a, b = (dict(zip(*C.features(" ".join(x)))) for x in (words, words[::-1]))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(0)
     par = {"a": rng.normal(size=(LM.CLASSES,) * 2), "r": rng.normal(size=LM.WINDOW), "v": rng.normal(size=(LM.CLASSES, LM.WIDTH)), "o": rng.normal(size=(LM.WIDTH, LM.CLASSES)), "s": rng.normal(size=(LM.CLASSES,) * 2), "b": rng.normal(size=LM.CLASSES)}
