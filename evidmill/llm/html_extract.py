@@ -62,13 +62,13 @@ def parse(text: str) -> Node:
     root = Node("#root", {})
     stack, pos, n = [root], 0, len(text)
 
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
+
     def close(tags: set[str], walls: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in walls:
-                return
+        k = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if k and not any(places[w][-1] > k for w in walls if places.get(w)):
+            while len(stack) > k:
+                places[stack.pop().tag].pop()
 
     while pos < n:
         m = TOKEN.search(text, pos)
@@ -99,19 +99,19 @@ def parse(text: str) -> Node:
             node.kids.append(text[pos : end.start() if end else n])
             pos = end.end() if end else n
             continue
-        if len(stack) < 512:
-            stack.append(node)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     return root
 
 
-def named(node: Node) -> bool:
-    """Furniture by role, visibility, or a word of its class or id."""
+def named(node: Node, by_words: bool = True) -> bool:
+    """Furniture by role, visibility, or (if asked) a word of its class or id."""
     a = node.attrs
     if not a:
         return False
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return any(w in NAMES for w in re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+    return by_words and any(w in NAMES for w in re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -137,39 +137,66 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
+def _holds(x: Node, tag: str) -> bool:
+    return x.tag == tag or tag == "main" and x.attrs.get("role", "").lower() == "main"
+
+
+def _sizes(root: Node) -> dict[int, int]:
+    """Characters of each node's text, without links and elements that never hold main text, by id()."""
+    out: dict[int, int] = {}
+    for x in reversed(list(_walk(root))):
+        out[id(x)] = 0 if x.tag in DROPPED or x.tag == "a" else sum(out[id(k)] if isinstance(k, Node) else len(k.strip()) for k in x.kids)
+    return out
+
+
+def _tops(root: Node, tag: str) -> list[Node]:
+    """Outermost elements of a kind."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if _holds(x, tag):
+            out.append(x)
+        else:
+            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
+    return out
+
+
+def _above(root: Node, nodes: list[Node]) -> set[int]:
+    """The nodes and their ancestors."""
+    up = {id(k): x for x in _walk(root) for k in x.kids if isinstance(k, Node)}
+    out: set[int] = set()
+    for x in nodes:
+        while x is not None and id(x) not in out:
+            out.add(id(x))
+            x = up.get(id(x))
+    return out
+
+
 def trimmed(root: Node) -> Node:
-    """Removes furniture by element and name; page headers go, headers inside an article stay."""
+    """Removes furniture by element and name; page headers go, headers inside an article stay.
+
+    Words of names don't concern the main element, an article with half of the
+    page's text, and what is around them.
+    """
+    size = _sizes(root)
+    spare = _above(root, _tops(root, "main") + [x for x in _tops(root, "article") if 2 * size[id(x)] >= size[id(root)]])
     todo = [(root, False)]
     while todo:
         x, article = todo.pop()
         article = article or x.tag == "article"
-        x.kids = [k for k in x.kids if not isinstance(k, Node) or k.tag not in DROPPED and not (k.tag == "header" and not article) and (k.tag in ("html", "body") or not named(k))]
+        x.kids = [k for k in x.kids if not isinstance(k, Node) or k.tag not in DROPPED and not (k.tag == "header" and not article) and (k.tag in ("html", "body") or not named(k, id(k) not in spare))]
         todo.extend((k, article) for k in x.kids if isinstance(k, Node))
     return root
 
 
-def _holds(x: Node, tag: str) -> bool:
-    return x.tag == tag or tag == "main" and x.attrs.get("role", "").lower() == "main"
-
-
-def protected(root: Node) -> set[int]:
-    """Nodes of the page's articles (or else of its main element) and their ancestors: recurring there means copied, not furniture."""
-    out: set[int] = set()
-
-    def visit(tag: str) -> bool:
-        found, todo = False, [(root, ())]
-        while todo:
-            x, above = todo.pop()
-            if _holds(x, tag):
-                found = True
-                out.update(id(y) for y in _walk(x))
-                out.update(above)
-            else:
-                todo.extend((k, (*above, id(x))) for k in x.kids if isinstance(k, Node))
-        return found
-
-    visit("article") or visit("main")
-    return out
+def holder(root: Node) -> str:
+    """The elements that hold the main text: articles with half of the text of main (or else of the page), or else main, or none."""
+    size = _sizes(root)
+    total = lambda nodes: sum(size[id(x)] for x in nodes)
+    articles, mains = _tops(root, "article"), _tops(root, "main")
+    if articles and 2 * total(articles) >= (total(mains) if mains else size[id(root)]):
+        return "article"
+    return "main" if mains else ""
 
 
 #: Elements that structure a text and recur in different ones (a heading, a cell): inside an article they go with the box around them, never alone.
@@ -180,17 +207,9 @@ OWN = 0.25
 
 def _removable(root: Node) -> list[Node]:
     """Nodes that removal may concern: inside the articles or the main element, whose surroundings are never printed, or else anywhere."""
-    safe = protected(root)
-    tag = "article" if any(x.tag == "article" for x in _walk(root)) else "main"
-    holders: list[Node] = []
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        if safe and _holds(x, tag):
-            holders.append(x)
-        elif safe:
-            todo.extend(k for k in x.kids if isinstance(k, Node))
-    if not safe:
+    tag = holder(root)
+    holders = _tops(root, tag) if tag else []
+    if not tag:
         return [x for x in _walk(root) if x.kids and x.tag in BLOCK and x.tag not in ("html", "body")]
     # the only holder of a page stays; of several, one may recur like any box
     return [x for h in holders for x in _walk(h) if x.kids and x.tag in BLOCK and x.tag not in PARTS and (x is not h or len(holders) > 1)]
@@ -217,7 +236,7 @@ def votes(text: str, recurring: set[int]) -> tuple[list[int], int]:
 def main_text(text: str, templates: set[int]) -> str:
     """Blocks of the main text, joined by line ends."""
     root = trimmed(parse(text))
-    safe = protected(root)
+    kind = holder(root)
     if templates:
         hashes = subtree_hashes(root)
         gone = {id(x) for x in _removable(root) if hashes[id(x)] in templates}
@@ -231,9 +250,8 @@ def main_text(text: str, templates: set[int]) -> str:
             blocks.append(s)
         line.clear()
 
-    # with an article or main element, text outside of it is no main text
-    holder = "article" if any(x.tag == "article" for x in _walk(root)) else "main"
-    todo: list = [(root, not safe)]
+    # with a holder, text outside of it is no main text
+    todo: list = [(root, not kind)]
     while todo:
         x, inside = todo.pop()
         if x is None:
@@ -244,7 +262,7 @@ def main_text(text: str, templates: set[int]) -> str:
         else:
             if x.tag == "br":
                 line.append(" ")
-            inside = inside or _holds(x, holder)
+            inside = inside or _holds(x, kind)
             block = x.tag in BLOCK
             if block:
                 flush()

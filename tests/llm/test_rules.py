@@ -157,3 +157,17 @@ def test_boxes_inside_articles_go_and_copied_articles_stay(spark):
     assert all(got[k] == f"Summary\nThis is what page {k} alone has to say." for k in range(8))
     assert all(got[k] == f"Printed on day {k}\n{story}" for k in range(10, 18))
     assert all(got[k] == f"Day {k}\n{story}" for k in range(20, 28))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post category-social'><p>body</p></article>", "body"),
+        ("<div class='content with-sidebar'><article><p>body</p></article></div>", "body"),
+        ("<main><h1>Head</h1><p>the body of the page</p><article>teaser</article></main>", "Head\nthe body of the page\nteaser"),
+        ("<article><p>the whole story</p></article><div class=related><article>other</article></div>", "the whole story"),
+        ("<div>" * 3000 + "<nav>menu</nav><p>deep</p>", "deep"),
+    ],
+)
+def test_main_text_is_not_lost(page, text):
+    assert H.main_text(page, set()) == text
