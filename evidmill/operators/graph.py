@@ -22,7 +22,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here and lost executors cost nothing already done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidmill_path = path
     return out
