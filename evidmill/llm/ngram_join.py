@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidmill.llm.common import WORD, connected_components, table, written
+from evidmill.llm.common import WORD, connected_components, discard, table, written
 
 _WORD = re.compile(WORD)
 #: Hash functions of a set's sketch, hash functions of the first level, and children per set at deeper levels.
 SKETCH, RUN_TOKENS, BRANCH = 128, 3, 3
 #: Hash functions kept for the first levels of all runs.
 TOKENS = 12
-#: Sets of a bucket compared by brute force, and of a block in buckets that stay larger; levels until then.
-BUCKET, BLOCK, DEPTH = 1024, 1024, 6
+#: Sets of a bucket compared by brute force, and of a block in buckets that stay larger; levels until then; texts of a block.
+BUCKET, BLOCK, DEPTH, TEXTS = 1024, 1024, 6, 512
+#: Candidate texts up to which their ids are broadcast to pick them before the shuffle; more of them are joined.
+PICKED = 2_000_000
 #: Below this estimate of similarity from the sketch, over 4 standard errors under 0.8, a pair is no candidate.
 LEAST_ESTIMATE = 0.65
 
@@ -198,18 +200,22 @@ def _verified(least: float, size: int):
     return run
 
 
-def _binned(rows: DataFrame, total: int, block: int) -> DataFrame:
+def _binned(rows: DataFrame, block: int) -> DataFrame:
     """Rows of parts (columns part, members, cls), ready for _parted() by bin.
 
-    A part beyond one block is worked off by pairs of blocks.  A bin holds
-    whole pairs, and there are as many bins as keep them to a few blocks each.
+    A part beyond one block is worked off by pairs of blocks, and each row goes
+    to as many pairs as its part has blocks.  A bin holds whole pairs; there is
+    one for every two blocks of rows so repeated, and the pairs of one part go
+    to bins one after the other, so that a hot part spreads evenly.
     """
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    total = rows.agg(F.sum("blocks")).first()[0] or 0
+    bins = max(64, -(-total // block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other", "members")
-    bins = max(64, -(-total // block))
-    return rows.withColumn("bin", F.pmod(F.xxhash64("part", "low", "high"), F.lit(bins)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    first = F.pmod(F.xxhash64("part"), F.lit(bins))
+    return rows.withColumn("bin", F.pmod(first + F.col("low").cast("bigint") * F.col("blocks") + F.col("high"), F.lit(bins))).drop("blocks", "other", "members")
 
 
 def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) -> tuple[DataFrame, int]:
@@ -220,15 +226,14 @@ def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) ->
     counts = written(light.groupBy("part").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("members > 1"), "buckets")
     # buckets of the same sets are compared once
     small = counts.where(F.col("members") <= bucket).groupBy("who", "members").agg(F.min("part").alias("part")).select("part", "members")
-    todo = [light.join(small, "part").join(sketches, "cls")]
-    total = small.agg(F.sum("members")).first()[0] or 0
+    todo, spent = [light.join(small, "part").select("part", "members", "cls")], [counts]
     level = 1
     if counts.where(F.col("members") > bucket).limit(1).count():
         now = written(light.join(counts.where(F.col("members") > bucket).select("part", "members"), "part").join(sketches, "cls"), "level")
+        spent.append(now)
         while True:
             if level == depth:
                 todo.append(now)
-                total += now.count()
                 break
             level += 1
             # a child per set and chosen hash function of the node: the sets that agree on its token
@@ -236,6 +241,7 @@ def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) ->
             token = F.hex(F.substring("sketch", at * 2 + 1, F.lit(2)))
             kids = now.withColumn("branch", F.explode(F.array(*[F.lit(b) for b in range(BRANCH)]))).withColumn("kid", F.xxhash64("part", "branch", token))
             sizes = written(kids.groupBy("part", "members", "kid").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("held > 1"), "kids")
+            spent.append(sizes)
             # where half of a node stays together, splitting it on would not part it: its sets are alike
             dense = sizes.where(F.col("held") * 2 >= F.col("members")).select("part").distinct()
             todo.append(now.join(dense, "part"))
@@ -243,17 +249,21 @@ def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) ->
             small = rest.where(F.col("members") <= bucket).groupBy("who", "members").agg(F.min("kid").alias("part")).select("part", "members")
             children = kids.select("cls", "size", "sketch", F.col("kid").alias("part"))
             todo.append(children.join(small, "part"))
-            total += (now.join(dense, "part").count()) + (small.agg(F.sum("members")).first()[0] or 0)
             big = rest.where(F.col("members") > bucket).select(F.col("kid").alias("part"), "members")
             if not big.limit(1).count():
                 break
             now = written(children.join(big, "part"), "level")
+            spent.append(now)
     rows = None
     for t in todo:
-        t = t.select("part", "members", "cls", "size", "sketch")
+        t = t.select("part", "members", "cls")
         rows = t if rows is None else rows.union(t)
-    found = _binned(rows, total, BLOCK).groupBy("bin").applyInPandas(_parted(_candidates(least)), "a bigint, b bigint")
-    return written(found, "candidates"), level
+    # who meets whom is written without the sketches, which then travel once, to the bins
+    meet = written(rows, "meet")
+    found = _binned(meet, BLOCK).join(sketches, "cls").groupBy("bin").applyInPandas(_parted(_candidates(least)), "a bigint, b bigint")
+    edges = written(found, "candidates")
+    discard(meet, *spent)
+    return edges, level
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, target_recall: float = 0.999, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
@@ -285,18 +295,24 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     parts = rows.select(F.col("__row").alias("cls"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch"), F.col("__tokens").alias("tokens"))
     one = written(parts.join(grouped.select("cls"), "cls"), "sketches")
 
-    edges, miss, run = None, 1.0, 0
+    edges, made, miss, run = None, [], 1.0, 0
     while miss > 1 - target_recall:
         if (run + 1) * RUN_TOKENS > TOKENS:
             raise ValueError("target_recall needs more hash functions than a set has")
         here, levels = _one_run(one, run, least, bucket, depth)
+        made.append(here)
         edges = here if edges is None else edges.union(here)
         miss *= 1 - (1 - (1 - least) ** BRANCH) ** levels
         run += 1
-    groups = written(connected_components(edges), "groups").withColumnRenamed("root", "part").withColumnRenamed("node", "cls")
+    groups = written(connected_components(edges), "groups")
+    discard(one, *made)
+    groups = groups.withColumnRenamed("root", "part").withColumnRenamed("node", "cls")
     members = groups.groupBy("part").agg(F.count("*").alias("members"))
-    texts = groups.join(members, "part").join(grouped.select("cls", "n"), "cls").join(rows.select(F.col("__row").alias("cls"), F.col(text).alias("text")), "cls")
-    links = _binned(texts, groups.count(), BLOCK).groupBy("bin").applyInPandas(_parted(_verified(least, size)), "cls bigint, links bigint, root bigint")
+    texts = rows.select(F.col("__row").alias("cls"), F.col(text).alias("text"))
+    if groups.count() <= PICKED:  # most texts are in no group: leave them where they are
+        texts = texts.join(F.broadcast(groups.select("cls")), "cls", "left_semi")
+    dealt = _binned(groups.join(members, "part").join(grouped.select("cls", "n"), "cls"), TEXTS)
+    links = dealt.join(texts, "cls").groupBy("bin").applyInPandas(_parted(_verified(least, size)), "cls bigint, links bigint, root bigint")
     links = written(links, "links")
     roots = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -312,7 +328,8 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),

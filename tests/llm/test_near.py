@@ -113,3 +113,13 @@ def test_join_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_classes(df).count() == 0
     assert ngram_join.jaccard_classes(spark.createDataFrame([(1, None), (1, None)], df.schema)).where("kept").count() == 2
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Copies that differ in their last word alone, so all link."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(base[:-1] + [f"x{rng.randrange(10**9)}-{k}"])) for k in range(4000)] + [(k, f"lone text number {k} of its own words {k}") for k in range(4000, 4100)]
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["n_links"] == 3999 and got[k]["class_id"] == 0 and got[k]["kept"] == (k == 0) for k in range(4000))
+    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(4000, 4100))
