@@ -8,62 +8,112 @@ pattern becomes the target of a linear scorer over hashed features.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidmill.llm.common import table, words
-
-#: (name, condition of a good vote, condition of a bad vote) over the measurements; neither: no vote.
-LABELLERS: list[tuple[str, str, str]] = [
-    ("symbols", "50 * n_symbols < n_words", "5 * n_symbols > n_words"),
-    ("capitals", "10 * n_upper < n_words", "2 * n_upper > n_words"),
-    ("variety", "n_words >= 50 and 100 * n_distinct > 40 * least(n_words, 2000)", "n_words >= 50 and 100 * n_distinct < 20 * least(n_words, 2000)"),
-    ("echo", "n_words >= 20 and 50 * n_echo < n_words", "n_words >= 20 and 4 * n_echo > n_words"),
-    ("bars", "n_words >= 20 and n_bars = 0", "10 * n_bars > n_words"),
-    ("runs", "n_words >= 20 and n_runs * 50 < n_words", "5 * n_runs > n_words"),
-    ("sentences", "n_words >= 50 and n_stops * 60 > n_words and n_stops * 3 < n_words", "n_words >= 50 and n_stops * 300 < n_words"),
-    ("casing", "n_words >= 20 and n_lower * 2 > n_words", "n_words >= 20 and n_lower * 4 < n_words"),
+from evidmill.llm.common import discard, table, written
+
+#: Measurements of a text: its words (runs of anything but ASCII white space), how many of them are of some kind, and its symbols.
+MEASURES = ["words", "symbols", "upper", "lower", "distinct", "echo", "bars", "runs", "stops"]
+#: (name, condition of a good vote, condition of a bad vote) over columns of measurements; neither: no vote.
+LABELLERS: list[tuple[str, Callable, Callable]] = [
+    ("symbols", lambda m: 50 * m["symbols"] < m["words"], lambda m: 5 * m["symbols"] > m["words"]),
+    ("capitals", lambda m: 10 * m["upper"] < m["words"], lambda m: 2 * m["upper"] > m["words"]),
+    ("variety", lambda m: (m["words"] >= 50) & (100 * m["distinct"] > 40 * np.minimum(m["words"], 2000)), lambda m: (m["words"] >= 50) & (100 * m["distinct"] < 20 * np.minimum(m["words"], 2000))),
+    ("echo", lambda m: (m["words"] >= 20) & (50 * m["echo"] < m["words"]), lambda m: (m["words"] >= 20) & (4 * m["echo"] > m["words"])),
+    ("bars", lambda m: (m["words"] >= 20) & (m["bars"] == 0), lambda m: 10 * m["bars"] > m["words"]),
+    ("runs", lambda m: (m["words"] >= 20) & (50 * m["runs"] < m["words"]), lambda m: 5 * m["runs"] > m["words"]),
+    ("sentences", lambda m: (m["words"] >= 50) & (60 * m["stops"] > m["words"]) & (3 * m["stops"] < m["words"]), lambda m: (m["words"] >= 50) & (300 * m["stops"] < m["words"])),
+    ("casing", lambda m: (m["words"] >= 20) & (2 * m["lower"] > m["words"]), lambda m: (m["words"] >= 20) & (4 * m["lower"] < m["words"])),
 ]
-#: Buckets of the hashed features; documents of the training sample at most.
-BUCKETS, SAMPLE = 1 << 14, 20_000
-
-
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measurements that labellers vote on, in columns n_*."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("__w", words(F.col(text)))
-    w = F.col("__w")
-    count = lambda f: F.size(F.filter(w, f))
-    drop = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    return df.withColumns(
-        {
-            "n_words": F.size(w),
-            "n_symbols": drop("#*$%&|<>{}[]\\^~=_"),
-            "n_upper": count(lambda x: x.rlike("[A-Z][^a-z]*[A-Z]") & ~x.rlike("[a-z]")),
-            "n_lower": count(lambda x: x.rlike("^[^A-Z]*[a-z]")),
-            "n_distinct": F.size(F.array_distinct(w)),
-            "n_echo": count(lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))),
-            "n_bars": count(lambda x: x == F.lit("|")),
-            "n_runs": count(lambda x: x.rlike(r"([!?#*$%&])\1")),
-            "n_stops": count(lambda x: x.rlike("[a-z][.!?]$")),
-        }
-    ).drop("__w")
-
-
-def votes() -> Column:
-    """Array with 1 (good), -1 (bad) or 0 for each labeller."""
-    return F.array(*[F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0)).cast("tinyint") for _, good, bad in LABELLERS])
-
-
-def pattern(vote: Column) -> Column:
-    """The votes as one text of the characters g, b and -."""
-    return F.array_join(F.transform(vote, lambda v: F.when(v > 0, "g").when(v < 0, "b").otherwise("-")), "")
+#: Buckets of the hashed features; documents of the training sample at most; words a worker remembers.
+BUCKETS, SAMPLE, REMEMBERED = 1 << 14, 20_000, 400_000
+
+_SYMBOLS = b"#*$%&|<>{}[]\\^~=_"
+#: Kinds of words, a bit each: capitals alone (two or more), small letter before any capital, a bar, a doubled sign, an end of a sentence.
+KINDS = [re.compile(x) for x in (rb"[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*\Z", rb"[^A-Z]*[a-z]", rb"\|\Z", rb"(?s:.*)([!?#*$%&])\1", rb"(?s:.*)[a-z][.!?]\Z")]
+_BITS = (np.arange(1 << len(KINDS))[:, None] >> np.arange(len(KINDS)) & 1).astype(np.float64)
+
+
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_SHAPE = {**{c: ord("A") for c in range(65, 91)}, **{c: ord("a") for c in range(97, 123)}, **{c: ord("0") for c in range(48, 58)}, **{c: ord("A") for c in (*range(0xC0, 0xD7), *range(0xD8, 0xDF))}, **{c: ord("a") for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}}
+
+
+def shape(word: str) -> str:
+    """The word with letters as a or A and digits as 0; of long ones both ends and whether they are very long."""
+    s = word.translate(_SHAPE)
+    return s if len(s) <= 3 else s[:2] + ("+" if len(s) < 8 else "*") + s[-2:]
+
+
+def described(word: bytes) -> int:
+    """Kinds of a word (low 5 bits), the bucket of the word (14 bits) and of its shape (14 bits)."""
+    text = word.decode("utf-8", "replace")
+    kinds = sum(1 << k for k, p in enumerate(KINDS) if p.match(word))
+    return kinds | _bucket("w" + text) << 5 | _bucket("s" + shape(text)) << 19
+
+
+class Words(dict):
+    """described() of each word asked for, once; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = described(word)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
+@functools.cache
+def _known() -> Words:
+    return Words()
+
+
+class Text:
+    """One text's distinct words, their counts and its measurements."""
+
+    __slots__ = ("count", "info", "measures")
+
+    def __init__(self, raw: bytes | None):
+        raw = raw or b""
+        words = raw.split()
+        counts = Counter(words)
+        n = len(counts)
+        self.count = np.fromiter(counts.values(), np.float64, n)
+        self.info = np.fromiter(map(_known().__getitem__, counts), np.int64, n)
+        kinds = np.bincount(self.info & 31, weights=self.count, minlength=32) @ _BITS
+        echo = sum(map(bytes.__eq__, words, words[1:]))
+        self.measures = (len(words), len(raw) - len(raw.translate(None, _SYMBOLS)), kinds[0], kinds[1], n, echo, kinds[2], kinds[3], kinds[4])
+
+    def features(self) -> np.ndarray:
+        """Square roots of the shares of words and of word shapes in each bucket, and bins of how much repeats; unit length."""
+        total = max(self.measures[0], 1)
+        out = np.sqrt(np.bincount(self.info >> 5 & BUCKETS - 1, weights=self.count, minlength=BUCKETS) / total)
+        out += np.sqrt(np.bincount(self.info >> 19, weights=self.count, minlength=BUCKETS) / total)
+        top = self.count.max(initial=0) / total
+        for name, value in ((f"d{10 * len(self.count) // total}", 1.0), (f"t{int(10 * top)}", 1.0), (f"e{10 * self.measures[5] // total}", 1.0), (f"n{min(total, 1 << 20).bit_length()}", 0.3)):
+            out[_bucket(name)] += value
+        return out / np.sqrt(out @ out)
+
+
+def patterns(texts: list[Text]) -> list[str]:
+    """The votes on each text, a character per labeller: g, b or -."""
+    if not texts:
+        return []
+    m = dict(zip(MEASURES, np.array([t.measures for t in texts], dtype=np.int64).T))
+    votes = np.stack([np.where(bad(m), "b", np.where(good(m), "g", "-")) for _, good, bad in LABELLERS], axis=1)
+    return ["".join(v) for v in votes]
 
 
 def fit_labels(counts: dict[str, int], steps: int = 200, tol: float = 1e-9) -> dict:
@@ -105,38 +155,6 @@ def fit_labels(counts: dict[str, int], steps: int = 200, tol: float = 1e-9) -> d
     return {"prior": prior, "rates": rates, "accuracy": accuracy, "posterior": dict(zip(names, good.tolist()))}
 
 
-_SHAPE = {**{c: ord("A") for c in range(65, 91)}, **{c: ord("a") for c in range(97, 123)}, **{c: ord("0") for c in range(48, 58)}, **{c: ord("A") for c in (*range(0xC0, 0xD7), *range(0xD8, 0xDF))}, **{c: ord("a") for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}}
-
-
-def features(text: str | None) -> tuple[list[int], list[float]]:
-    """(buckets, values) of a text: square roots of shares of word shapes and of all distinct words, and bins of how much repeats; unit length."""
-    t = (text or "").encode("utf-8", "surrogatepass").decode("utf-8", "replace")
-    ws = t.split()
-    n = max(len(ws), 1)
-    out: dict[int, float] = {}
-
-    def put(name: str, value: float) -> None:
-        b = zlib.crc32(name.encode()) % BUCKETS
-        out[b] = out.get(b, 0.0) + value
-
-    shapes: Counter = Counter()
-    for s, c in Counter(t.translate(_SHAPE).split()).items():
-        short = s if len(s) <= 3 else s[0] + s[1] + ("+" if len(s) < 8 else "*") + s[-2] + s[-1]
-        shapes[short] += c
-    for s, c in shapes.items():
-        put("s" + s, (c / n) ** 0.5)
-    counts = Counter(ws)
-    for w, c in counts.items():
-        put("w" + w, (c / n) ** 0.5)
-    top = max(counts.values(), default=0) / n
-    put(f"d{int(10 * len(counts) / n)}", 1.0)
-    put(f"t{int(10 * top)}", 1.0)
-    put(f"e{int(10 * sum(a == b for a, b in zip(ws, ws[1:])) / n)}", 1.0)
-    put(f"n{min(n, 1 << 20).bit_length()}", 0.3)
-    size = sum(x * x for x in out.values()) ** 0.5
-    return list(out), [x / size for x in out.values()]
-
-
 def fit_scorer(rows: list[tuple], target: np.ndarray, epochs: int = 12, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets by mini-batches in the given order, with AdaGrad steps; (weights, bias)."""
     w, b, g2, gb2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
@@ -159,61 +177,88 @@ def fit_scorer(rows: list[tuple], target: np.ndarray, epochs: int = 12, rate: fl
     return w, float(b)
 
 
-def scorer_udf(w: np.ndarray, b: float):
-    """Arrow UDF: text to the probability of being good."""
-
-    @F.arrow_udf("double")
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            out = []
-            for x in part:
-                idx, val = features(x.as_py())
-                out.append(float(1 / (1 + np.exp(-np.clip(w[idx] @ np.array(val) + b, -50, 50)))))
-            yield pa.array(out, pa.float64())
+def drawn_and_counted(cut: int):
+    """(place, text) to rows of counts (votes, n) and, for places below ``cut``, rows of features (votes, place, buckets, values)."""
+    kind = pa.schema([("votes", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("i", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            places = batch.column(0).to_pylist()
+            texts = [Text(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+            names = patterns(texts)
+            total.update(names)
+            rows = []
+            for place, text, name in zip(places, texts, names):
+                if place < cut:
+                    f = text.features()
+                    at = np.flatnonzero(f)
+                    rows.append((name, None, place, at.astype(np.int16).tobytes(), f[at].astype(np.float32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
+        if total:
+            none = [None] * len(total)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((list(total), list(total.values()), none, none, none), kind)], schema=kind)
 
     return run
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """Adds votes (text, a character per labeller), weak_score, score and kept to every row.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
+    """The model: labels as of fit_labels(), and the scorer's weights w and bias b.
 
-    Vote patterns are counted over all documents; the scorer is fitted on at
-    most ``sample`` documents, a share of all by a hash of key and length, and
-    scores all.  ``kept`` is true from ``threshold`` on.  Null texts are
-    empty ones; a document without words has only its bias and length to be
-    judged by.  Repeated rows count each.  Columns of those names are replaced.
+    One pass over all documents counts the vote patterns and describes the
+    sample, a share of the documents by a hash of key and length.
     """
-    docs = docs.drop("votes", "weak_score", "score", "kept")
-    voted = measured(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text").select("__key", "__text", pattern(votes()).alias("votes"))
-    counts = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    total = docs.count()
+    place = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1 << 32))
+    cut = min(1 << 32, (sample << 32) // max(total, 1) + 1)
+    found = written(docs.select(place.alias("place"), F.col(text).cast("string").alias("text")).mapInArrow(drawn_and_counted(cut), "votes string, n bigint, place bigint, i binary, v binary"), "votes")
+    counts = {r["votes"]: r["n"] for r in found.where("n is not null").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     model = fit_labels(counts)
-    total = max(sum(counts.values()), 1)
-    # a share of the documents by hash, drawn where they are read; the limit holds the bound where chance or repeated keys exceed it
-    place = F.pmod(F.xxhash64("__key", F.length("__text")), F.lit(1 << 32))
-    drawn = voted.withColumn("place", place).where(F.col("place") < min(1 << 32, (sample << 32) // total + 1))
-    got = drawn.select("place", "votes", features_udf()("__text").alias("f")).orderBy("place", "votes").limit(sample).collect()
-    rows = [(np.frombuffer(r["f"]["i"], np.int16), np.frombuffer(r["f"]["v"], np.float32)) for r in got]
+    # the limit holds the bound where chance or repeated keys exceed it
+    got = found.where("n is null").orderBy("place", "votes", "i").limit(sample).collect()
+    rows = [(np.frombuffer(r["i"], np.int16), np.frombuffer(r["v"], np.float32)) for r in got]
     target = np.array([model["posterior"][r["votes"]] for r in got])
+    discard(found)
     w, b = fit_scorer(rows, target) if rows else (np.zeros(BUCKETS), 0.0)
-    weak = F.create_map(*[x for p, v in sorted(model["posterior"].items()) for x in (F.lit(p), F.lit(float(v)))]) if counts else None
-    keep = [F.col(c) for c in docs.columns]
-    out = measured(docs.select(F.struct(*keep).alias("__row"), F.col(text).alias("__text")), "__text").withColumn("votes", pattern(votes()))
-    out = out.withColumn("weak_score", F.try_element_at(weak, "votes") if weak is not None else F.lit(None).cast("double"))
-    out = out.withColumn("score", scorer_udf(w, b)("__text"))
-    return out.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], "votes", "weak_score", "score", (F.col("score") >= threshold).alias("kept"))
+    return model | {"w": w, "b": b}
 
 
-def features_udf():
-    """Arrow UDF: text to its features, packed: 16-bit buckets and single-precision values."""
+def scorer_udf(posterior: dict[str, float], w: np.ndarray, b: float):
+    """Arrow UDF: text to its votes, their posterior and the probability of being good."""
+    kind = pa.struct([("votes", pa.string()), ("weak_score", pa.float64()), ("score", pa.float64())])
 
-    @F.arrow_udf("struct<i:binary,v:binary>")
+    @F.arrow_udf("struct<votes:string,weak_score:double,score:double>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            rows = [features(x.as_py()) for x in part]
-            yield pa.StructArray.from_arrays([pa.array([np.array(r[0], np.int16).tobytes() for r in rows], pa.binary()), pa.array([np.array(r[1], np.float32).tobytes() for r in rows], pa.binary())], names=["i", "v"])
+            texts = [Text(x.as_py()) for x in part.cast(pa.binary())]
+            names = patterns(texts)
+            z = np.array([t.features() @ w for t in texts], dtype=np.float64) + b
+            score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array([posterior.get(x) for x in names], pa.float64()), pa.array(score, pa.float64())], fields=list(kind))
 
     return run
 
 
+def apply(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Adds votes, weak_score, score and kept to every row, as of classify()."""
+    docs = docs.drop("votes", "weak_score", "score", "kept")
+    out = docs.withColumn("__s", scorer_udf(model["posterior"], model["w"], model["b"])(F.col(text).cast("string")))
+    return out.select(*docs.columns, "__s.votes", "__s.weak_score", "__s.score", (F.col("__s.score") >= threshold).alias("kept"))
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """Adds votes (text, a character per labeller), weak_score, score and kept to every row.
+
+    Vote patterns are counted over all documents; the scorer is fitted on at
+    most ``sample`` documents, a share of all by a hash of key and length, and
+    scores all.  ``kept`` is true from ``threshold`` on.  Null texts are
+    empty ones; a document without words has only its bias and length to be
+    judged by.  Repeated rows count each.  Columns of those names are replaced.
+    Without documents nothing is fitted, and nothing returned.
+    """
+    return apply(docs, fit(docs, key, text, sample), text, threshold)
+
+
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "votes", "weak_score", "score", "kept")

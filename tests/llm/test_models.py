@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -47,12 +48,62 @@ def test_classifier_edges(spark):
     assert C.classify(df.limit(0)).count() == 0
 
 
+def plain(t):
+    """Measurements, votes and features of a text, a step at a time."""
+    t = t or ""
+    ws = [w for w in re.split("[ \t\n\x0b\x0c\r]+", t) if w]
+    n = len(ws)
+    cap, low = (lambda w: re.findall("[A-Z]", w)), (lambda w: re.findall("[a-z]", w))
+    symbols = sum(t.count(c) for c in "#*$%&|<>{}[]\\^~=_")
+    upper = sum(len(cap(w)) > 1 and not low(w) for w in ws)
+    lower = sum(bool(re.match("[^A-Z]*[a-z]", w)) for w in ws)
+    distinct, echo = len(set(ws)), sum(a == b for a, b in zip(ws, ws[1:]))
+    bars, runs = ws.count("|"), sum(any(c + c in w for c in "!?#*$%&") for w in ws)
+    stops = sum(w[-1] in ".!?" and len(w) > 1 and "a" <= w[-2] <= "z" for w in ws)
+    vote = lambda good, bad: "b" if bad else "g" if good else "-"
+    votes = "".join(
+        [
+            vote(50 * symbols < n, 5 * symbols > n),
+            vote(10 * upper < n, 2 * upper > n),
+            vote(n >= 50 and 100 * distinct > 40 * min(n, 2000), n >= 50 and 100 * distinct < 20 * min(n, 2000)),
+            vote(n >= 20 and 50 * echo < n, n >= 20 and 4 * echo > n),
+            vote(n >= 20 and bars == 0, 10 * bars > n),
+            vote(n >= 20 and 50 * runs < n, 5 * runs > n),
+            vote(n >= 50 and 60 * stops > n > 3 * stops, n >= 50 and 300 * stops < n),
+            vote(n >= 20 and 2 * lower > n, n >= 20 and 4 * lower < n),
+        ]
+    )
+    of = lambda name: zlib.crc32(name.encode()) % C.BUCKETS
+    f, k = Counter(), max(n, 1)
+    for names in (["w" + w for w in ws], ["s" + C.shape(w) for w in ws]):
+        for b, c in Counter(map(of, names)).items():
+            f[b] += math.sqrt(c / k)
+    top = max(Counter(ws).values(), default=0)
+    for name, v in ((f"d{10 * distinct // k}", 1), (f"t{10 * top // k}", 1), (f"e{10 * echo // k}", 1), (f"n{k.bit_length()}", 0.3)):
+        f[of(name)] += v
+    size = math.sqrt(sum(v * v for v in f.values()))
+    return votes, {b: v / size for b, v in f.items()}
+
+
+def test_classifier_by_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = ["", None, "| | |", "A!! B## aB.", "x\xa0y \u2003 z", "w. " * 300, "DO NOT. " * 40, "a<b>[c]{d}\\^~=_ " * 30, "é" * 5000]
+    docs = docs.union(spark.createDataFrame(list(enumerate(odd, 10_000)), docs.schema))
+    model = C.fit(docs)
+    rows = docs.collect()
+    want = {r["doc_id"]: plain(r["text"]) for r in rows}
+    assert model["posterior"].keys() == {v for v, _ in want.values()}
+    for r in C.apply(docs, model).collect():
+        votes, f = want[r["doc_id"]]
+        z = sum(v * model["w"][b] for b, v in f.items()) + model["b"]
+        assert r["votes"] == votes and r["weak_score"] == model["posterior"][votes]
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and r["kept"] == (r["score"] >= 0.5)
+
+
 def test_every_distinct_word_is_a_feature():
     words = [f"word{k}" for k in range(200)]
-    got = set(C.features(" ".join(words))[0])
-    assert {zlib.crc32(f"w{w}".encode()) % C.BUCKETS for w in words} <= got
-    a, b = (dict(zip(*C.features(" ".join(x)))) for x in (words, words[::-1]))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    a, b = (C.Text(" ".join(x).encode()).features() for x in (words, words[::-1]))
+    assert all(a[zlib.crc32(f"w{w}".encode()) % C.BUCKETS] > 0 for w in words) and np.allclose(a, b)
 
 
 def test_windows_score_each_token_once():
