@@ -31,8 +31,8 @@ SKETCH, RUN_TOKENS, BRANCH = 128, 3, 3
 TOKENS = 12
 #: Sets of a bucket compared by brute force, and of a block in buckets that stay larger; levels until then; texts of a block.
 BUCKET, BLOCK, DEPTH, TEXTS = 1024, 1024, 6, 512
-#: Candidate texts up to which their ids are broadcast to pick them before the shuffle; more of them are joined.
-PICKED = 2_000_000
+#: Rows of a side without texts or sketches that is broadcast at most (about 60 MB), so that texts and sketches travel once; more are joined.
+PICKED = 500_000
 #: Below this estimate of similarity from the sketch, over 4 standard errors under 0.8, a pair is no candidate.
 LEAST_ESTIMATE = 0.65
 
@@ -210,7 +210,7 @@ def _binned(rows: DataFrame, block: int) -> DataFrame:
     """
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     total = rows.agg(F.sum("blocks")).first()[0] or 0
-    bins = max(64, -(-total // block))
+    bins = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -218,18 +218,26 @@ def _binned(rows: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("bin", F.pmod(first + F.col("low").cast("bigint") * F.col("blocks") + F.col("high"), F.lit(bins))).drop("blocks", "other", "members")
 
 
-def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) -> tuple[DataFrame, int]:
+def _picked(wide: DataFrame, narrow: DataFrame) -> DataFrame:
+    """wide (one row per cls, with texts or sketches) joined with narrow, by broadcast if narrow's counted rows allow it."""
+    return wide.join(F.broadcast(narrow) if narrow.count() <= PICKED else narrow, "cls")
+
+
+def _one_run(sets: DataFrame, grouped: DataFrame, run: int, least: float, bucket: int, depth: int) -> tuple[DataFrame, int]:
     """Candidate edges (a, b) of one run, and the number of its levels."""
-    sketches = one.select("cls", "size", "sketch")
-    own = F.slice("tokens", run * RUN_TOKENS + 1, RUN_TOKENS)
-    light = one.select("cls", F.posexplode(own).alias("k", "token")).select("cls", F.xxhash64(F.lit(run), "k", "token").alias("part"))
-    counts = written(light.groupBy("part").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("members > 1"), "buckets")
+    sketches = sets.select(F.col("__row").alias("cls"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch"))
+    own = F.slice("__tokens", run * RUN_TOKENS + 1, RUN_TOKENS)
+    light = sets.where("__fp is not null").select("__fp", F.posexplode(own).alias("k", "token")).select("__fp", F.xxhash64(F.lit(run), "k", "token").alias("part")).distinct()
+    counts = light.groupBy("part").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("__fp")).alias("who")).where("members > 1")
     # buckets of the same sets are compared once
     small = counts.where(F.col("members") <= bucket).groupBy("who", "members").agg(F.min("part").alias("part")).select("part", "members")
-    todo, spent = [light.join(small, "part").select("part", "members", "cls")], [counts]
+    chosen = small.union(counts.where(F.col("members") > bucket).select("part", "members"))
+    first = written(light.join(chosen, "part").join(grouped.select("__fp", "cls"), "__fp").select("part", "members", "cls"), "buckets")
+    todo, spent = [first.where(F.col("members") <= bucket)], [first]
     level = 1
-    if counts.where(F.col("members") > bucket).limit(1).count():
-        now = written(light.join(counts.where(F.col("members") > bucket).select("part", "members"), "part").join(sketches, "cls"), "level")
+    large = first.where(F.col("members") > bucket)
+    if large.limit(1).count():
+        now = written(_picked(sketches, large), "level")
         spent.append(now)
         while True:
             if level == depth:
@@ -260,7 +268,7 @@ def _one_run(one: DataFrame, run: int, least: float, bucket: int, depth: int) ->
         rows = t if rows is None else rows.union(t)
     # who meets whom is written without the sketches, which then travel once, to the bins
     meet = written(rows, "meet")
-    found = _binned(meet, BLOCK).join(sketches, "cls").groupBy("bin").applyInPandas(_parted(_candidates(least)), "a bigint, b bigint")
+    found = _picked(sketches, _binned(meet, BLOCK)).groupBy("bin").applyInPandas(_parted(_candidates(least)), "a bigint, b bigint")
     edges = written(found, "candidates")
     discard(meet, *spent)
     return edges, level
@@ -291,28 +299,22 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     first = F.min(F.struct(k.isNull().alias("none"), k.alias("key"), F.col("__row").alias("row"))).alias("rep")
     grouped = rows.where("__fp is not null").groupBy("__fp").agg(F.count("*").alias("n"), F.min("__row").alias("cls"), first)
     grouped = written(grouped, "classes")
-    # sketches are joined by row, one per class, instead of being carried through the aggregation
-    parts = rows.select(F.col("__row").alias("cls"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch"), F.col("__tokens").alias("tokens"))
-    one = written(parts.join(grouped.select("cls"), "cls"), "sketches")
-
     edges, made, miss, run = None, [], 1.0, 0
     while miss > 1 - target_recall:
         if (run + 1) * RUN_TOKENS > TOKENS:
             raise ValueError("target_recall needs more hash functions than a set has")
-        here, levels = _one_run(one, run, least, bucket, depth)
+        here, levels = _one_run(rows, grouped, run, least, bucket, depth)
         made.append(here)
         edges = here if edges is None else edges.union(here)
         miss *= 1 - (1 - (1 - least) ** BRANCH) ** levels
         run += 1
     groups = written(connected_components(edges), "groups")
-    discard(one, *made)
+    discard(*made)
     groups = groups.withColumnRenamed("root", "part").withColumnRenamed("node", "cls")
     members = groups.groupBy("part").agg(F.count("*").alias("members"))
     texts = rows.select(F.col("__row").alias("cls"), F.col(text).alias("text"))
-    if groups.count() <= PICKED:  # most texts are in no group: leave them where they are
-        texts = texts.join(F.broadcast(groups.select("cls")), "cls", "left_semi")
     dealt = _binned(groups.join(members, "part").join(grouped.select("cls", "n"), "cls"), TEXTS)
-    links = dealt.join(texts, "cls").groupBy("bin").applyInPandas(_parted(_verified(least, size)), "cls bigint, links bigint, root bigint")
+    links = _picked(texts, dealt).groupBy("bin").applyInPandas(_parted(_verified(least, size)), "cls bigint, links bigint, root bigint")
     links = written(links, "links")
     roots = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
