@@ -80,24 +80,61 @@ def _confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _placed(t: Column, m: Column, kind: str) -> Column:
+#: Code points of a text's chunks.
+CHUNK = 1024
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(t: Column) -> Column:
+    """The text in chunks of CHUNK code points, so that a cut needn't begin to read at the text's start."""
+    return F.when(F.length(t) > CHUNK, F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array(t))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """Code points from start (from 0) on."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((start + length) / CHUNK).cast("int")
+    return F.when(length <= 0, "").otherwise(F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length))
+
+
+def _running(x: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over 0 and all earlier elements, for each element of a bound array of ints.
+
+    In blocks of about the cube root of its size, over which results are
+    carried: n ** (4/3) steps instead of the square that growing an array takes.
+    """
+    fold = lambda a: F.aggregate(a, F.lit(0), op)
+
+    def blocks(n: Column) -> Column:
+        b = F.ceil(F.cbrt(F.size(x))).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / b).cast("int")), lambda k: fold(F.slice(x, k * n + 1, n)))
+        carried = _let(sums, lambda s: F.transform(s, lambda v, k: fold(F.slice(s, F.lit(1), k))))
+        return _let(carried, lambda c: F.transform(x, lambda v, i: op(F.get(c, F.floor(i / n).cast("int")), fold(F.slice(x, i - i % n + 1, i % n)))))
+
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(_let(F.ceil(F.cbrt(F.size(x))).cast("int"), blocks))
+
+
+def _placed(t: Column, m: Column, chunks: Column, kind: str) -> Column:
     """Confirmed and scored spans of the matches m of one kind in t."""
     _, pattern, score, near, more = KINDS[kind]
-    pairs = F.zip_with(m, F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), lambda x, gap: F.struct(x.alias("m"), F.length(gap).alias("gap")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    gaps = F.transform(F.slice(F.split(t, pattern, -1), F.lit(1), F.size(m)), lambda g: F.length(g))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["p"] + x["gap"]
-        e = s + F.length(x["m"])
-        more = F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))
-        return F.struct(e.alias("p"), F.when(_confirmed(kind, x["m"]), more).otherwise(a["out"]).alias("out"))
+    def at(b: Column) -> Column:
+        """From the gaps before the matches and the steps from match to match: the matches with their starts."""
+        before = _running(b["step"], lambda x, y: x + y)
+        starts = F.zip_with(before, b["gap"], lambda x, gap: x + gap)
+        return F.filter(F.zip_with(m, starts, lambda x, s: F.struct(x.alias("m"), s.alias("s"))), lambda x: _confirmed(kind, x["m"]))
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(t, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR))))
+        before = F.lower(_cut(chunks, F.greatest(x["s"] - NEAR, F.lit(0)), F.least(x["s"], F.lit(NEAR))))
         total = F.lit(score) + F.when(before.rlike(rf"\b({near})"), F.lit(more)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), total.alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), total.alias("score"))
 
-    out = F.transform(F.aggregate(pairs, F.struct(F.lit(0).alias("p"), none.alias("out")), step, lambda a: a["out"]), scored)
+    bound = _let(gaps, lambda g: F.struct(g.alias("gap"), F.zip_with(g, m, lambda gap, x: gap + F.length(x)).alias("step")))
+    out = F.transform(_let(bound, at), scored)
     if kind in MORE:
         out = F.filter(out, lambda x: x["score"] >= LEAST)
     return F.when(F.size(m) > 0, out).otherwise(F.array().cast(SPAN))
@@ -112,8 +149,11 @@ def spans(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     t = F.col("__t")
     for kind, (guard, pattern, _, _, _) in KINDS.items():
         df = df.withColumn(f"__m_{kind}", F.when(guard(t), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
-    found = [_placed(t, F.col(f"__m_{kind}"), kind) for kind in KINDS]
-    return df.withColumn(into, F.concat(*found)).drop("__t", *[f"__m_{k}" for k in KINDS])
+    any_ = F.lit(False)
+    for kind in KINDS:
+        any_ = any_ | F.coalesce(F.size(f"__m_{kind}") > 0, F.lit(False))
+    found = _let(_chunks(t), lambda c: F.concat(*[_placed(t, F.col(f"__m_{kind}"), c, kind) for kind in KINDS]))
+    return df.withColumn(into, F.when(any_, found).otherwise(F.array().cast(SPAN))).drop("__t", *[f"__m_{k}" for k in KINDS])
 
 
 def joined(found: Column) -> Column:
@@ -124,13 +164,16 @@ def joined(found: Column) -> Column:
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span, or union of overlapping spans, replaced by the kind of its first in angle brackets; null stays null."""
     order = F.sort_array(F.transform(found, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
-    zero = F.struct(F.lit(0).alias("p"), F.lit("").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = F.concat(a["out"], F.substring(text, a["p"] + 1, x["s"] - a["p"]), F.lit("<"), F.upper(x["k"]), F.lit(">"))
-        return F.when(x["s"] >= a["p"], F.struct(x["e"].alias("p"), new.alias("out"))).otherwise(F.struct(F.greatest(a["p"], x["e"]).alias("p"), a["out"].alias("out")))
+    def parts(b: Column) -> Column:
+        # up to where earlier spans reach, the text is told; a span that begins before that is part of their union
+        reach = _running(b["ends"], lambda p, q: F.greatest(p, q))
+        told = F.zip_with(b["x"], reach, lambda x, p: F.when(x["s"] >= p, F.concat(_cut(b["c"], p, x["s"] - p), F.lit("<"), F.upper(x["k"]), F.lit(">"))).otherwise(""))
+        last = F.array_max(b["ends"])
+        return F.concat(F.array_join(told, ""), _cut(b["c"], last, F.length(text) - last))
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["p"] + 1, F.length(text)))))
+    bound = _let(order, lambda x: F.struct(x.alias("x"), F.transform(x, lambda y: y["e"]).alias("ends"), _chunks(text).alias("c")))
+    return F.when(F.size(found) == 0, text).otherwise(_let(bound, parts))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -115,6 +115,19 @@ def test_redaction(spark):
         assert r["out"] == want + r["text"][at:]
 
 
+def test_many_spans_in_one_long_text(spark):
+    """Time grows little faster than the spans; places, scores and redaction hold beyond one chunk."""
+    one = "é card 4111 1111 1111 1111, a@b.cd 1.2.3.4 "
+    t = one * 33_000
+    df = pii.spans(spark.createDataFrame([(1, t), (2, "1." * 300_000), (3, "x" * 5000 + " 1.2.3.4")], "k int, text string"))
+    got = {r["k"]: r for r in df.select("k", "pii", pii.redacted(F.col("text"), F.col("pii")).alias("out")).collect()}
+    places = [(x["kind"], x["start"], x["end"]) for x in got[1]["pii"]]
+    assert places == slow_spans(t) and len(places) > 98_000
+    assert got[1]["out"] == "é card <CARD>, <EMAIL> <IP> " * 33_000
+    assert [(x["kind"], x["start"], x["end"]) for x in got[2]["pii"]] == [("ip", s, s + 7) for s in range(0, 599_993, 8)]
+    assert got[3]["out"] == "x" * 5000 + " <IP>"
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
