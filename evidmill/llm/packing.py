@@ -78,16 +78,17 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     Every row of docs is a document of its own, even if keys or texts repeat
     or the key is null; a null text is an empty one, which has the end id alone.
     Full pieces are sequences by themselves.  The others are dealt at random,
-    by row number, to groups of about ``group_sequences`` sequences, and each
-    group is packed alone by sum_of_squares(), so no task holds more than one
-    group; a group wastes less than about one sequence.
+    by row number, to groups of about ``group_sequences`` sequences and 64
+    times as many pieces at most, and each group is packed alone by
+    sum_of_squares(), so no task holds more than one group; a group wastes less
+    than about one sequence.  Other columns of docs are left out.
     """
     kept = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     made = kept.select("__key", F.explode(pieces_udf(tokenizer, size)(F.col("__text"))).alias("p")).select("__key", "p.*")
     made = written(made.withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     part = made.where(F.col("length") < size)
-    tokens = part.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // (size * group_sequences)))
+    sums = part.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("*").alias("pieces")).first()
+    groups = max(1, -(-sums["tokens"] // (size * group_sequences)), -(-sums["pieces"] // (64 * group_sequences)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_no", kind="stable")

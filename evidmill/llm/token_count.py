@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidmill.llm.bpe import SURE, encoding, packed
+from evidmill.llm.bpe import SURE, encoding, ids_of, packed
 from evidmill.llm.common import table, tokenizer_path
 
 
 def _encode(enc, text: str) -> list[int]:
-    return enc.encode(text, allowed_special="all")
+    return ids_of(enc, text).tolist()
 
 
 def _ends(enc, lengths: dict[int, int], ids: list[int]) -> np.ndarray:

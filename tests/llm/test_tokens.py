@@ -140,3 +140,21 @@ def test_sum_of_squares_takes_the_smallest_sum():
         assert total(int(where[i])) == min(map(total, fits))
         assert offset[i] == 64 - gaps[int(where[i])]
         gaps[int(where[i])] -= n
+
+
+LONG = [" " * 2_000_000, "\n" * 1_000_000 + "a b", "\xa0" * 1_200_000, "a" * 1_000_000, "word " * 200_000 + " \n" * 500_000 + "end"]
+
+
+def test_very_long_texts(spark, library):
+    """Runs of one character, through the default chunks of counting and through packing."""
+    df = frame(spark, list(enumerate(LONG))).repartition(len(LONG))
+    want = {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(LONG)}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df).collect()} == want
+    pieces = packing.pack(df).groupBy("doc_id").sum("length").collect()
+    assert {r["doc_id"]: r["sum(length)"] for r in pieces} == {k: n + 1 for k, n in want.items()}
+
+
+def test_many_empty_texts_are_dealt_by_rows(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    out = packing.pack(rows, group_sequences=16)
+    assert out.count() == 20_000 and out.select((out.sequence_id / (1 << 32)).cast("long")).distinct().count() > 10
