@@ -111,17 +111,18 @@ def test_windows_score_each_token_once():
     par = {"a": rng.normal(size=(LM.CLASSES,) * 2), "r": rng.normal(size=LM.WINDOW), "v": rng.normal(size=(LM.CLASSES, LM.WIDTH)), "o": rng.normal(size=(LM.WIDTH, LM.CLASSES)), "s": rng.normal(size=(LM.CLASSES,) * 2), "b": rng.normal(size=LM.CLASSES)}
     texts = [rng.integers(0, LM.END, n).astype(np.uint8) for n in (0, 1, 30, 31, 32, 33, 55, 56, 57, 200)]
     got = LM.class_scores(par, texts)
-    for t, g in zip(texts, got):
+    assert len(got) == sum(len(t) + 1 for t in texts)
+    at = 0
+    for t in texts:
         x, y = [LM.END, *t], [*t, LM.END]
-        total = 0.0
         for i in range(len(x)):
             step = LM.WINDOW - LM.OVERLAP
             start = max(0, i // step * step - LM.OVERLAP)
             ctx = x[start : i + 1]
             w = np.array([math.exp(par["a"][x[i], c] + par["r"][i - start - j]) for j, c in enumerate(ctx)])
             z = (w / w.sum()) @ par["v"][ctx] @ par["o"] + par["s"][x[i]] + par["b"]
-            total += z[y[i]] - math.log(np.exp(z).sum())
-        assert abs(total - g) < 1e-3 * max(1, abs(total))
+            assert abs(z[y[i]] - math.log(np.exp(z).sum()) - got[at + i]) < 1e-3
+        at += len(x)
 
 
 def test_training_lowers_the_loss():
@@ -146,10 +147,26 @@ def test_scores_against_counts(spark):
     assert LM.lm_scores(df.limit(0)).count() == 0
 
 
-def test_model_beats_its_classless_self_on_held_out(spark):
+def test_model_beats_the_base_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    base, score = LM.lm_scores(docs).where("held_out").groupBy().sum("base_score", "score").first()
+    assert score > base + 2000
+
+
+def test_a_long_word_of_other_white_space():
+    sub = LM.Subwords(LM.tokenizer_path("byte_bpe_50k.json"))
+    for t in ("\xa0" * 1_200_000, "\u3000x" * 100_000):
+        ids = sub.ids(LM.words_of(t))
+        assert b"".join(sub.enc.decode_single_token_bytes(i) for i in ids[0].tolist()) == (" " + t).encode()
+
+
+def test_scores_mix_the_layer_and_the_shares(spark):
+    """With a head of one word, all others are scored by the join; both ways give the same sums."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    tot = lambda steps: LM.lm_scores(docs, steps=steps).where("held_out").groupBy().sum("score").first()[0]
-    assert tot(150) > tot(0)
+    a, b = ({r["doc_id"]: r for r in LM.lm_scores(docs, steps=20, head=h).collect()} for h in (1, 1 << 20))
+    assert all(abs(a[k]["score"] - b[k]["score"]) < 1e-4 * abs(b[k]["score"]) and abs(a[k]["base_score"] - b[k]["base_score"]) < 1e-6 * abs(b[k]["base_score"]) and a[k]["n_known"] == b[k]["n_known"] for k in a)
+    none = {r["doc_id"]: r for r in LM.lm_scores(docs, steps=0, mix=0.0).collect()}
+    assert all(abs(r["score"] - r["base_score"]) < 1e-6 * abs(r["score"]) for r in none.values())
 
 
 def test_model_is_fitted_on_all_training_documents(spark):
