@@ -180,12 +180,19 @@ def test_model_is_fitted_on_all_training_documents(spark):
     for _, t in rows:
         np.add.at(freq, np.concatenate(sub.ids(LM.words_of(t))), 1)
     starts = np.array([sub.enc.decode_single_token_bytes(i)[:1] == b" " for i in range(len(freq))])
-    classes = LM.subword_classes(df, tok, freq, starts)
+    counts = spark.createDataFrame([(bytes(w), c) for w, c in Counter(w for _, t in rows for w in LM.words_of(t)).items()], "word binary, c long")
+    docs = df.withColumnRenamed("doc_id", "key")
+    windows = LM.all_windows(docs, tok, 4)
+    classes = LM.subword_classes(counts, windows, tok, freq, starts)
     assert (classes[freq >= LM.LEAST] < LM.CLASSES - 3).all() and (classes[freq < LM.LEAST] >= LM.CLASSES - 3).all()
+    # every document has a window, and it is a run of its subwords
+    text = {b"".join([np.int32(len(freq)).tobytes(), *[i.astype(np.int32).tobytes() for i in sub.ids(LM.words_of(t))], np.int32(len(freq)).tobytes()]) for _, t in rows}
+    got = [bytes(r["seq"]) for r in windows.collect()]
+    assert len(got) == len(rows) and all(sum(g in t for t in text) == 1 for g in got)
     seqs = [np.concatenate([[LM.END], classes[np.concatenate(sub.ids(LM.words_of(t)))], [LM.END]]) for _, t in rows]
     start = LM.train(seqs[:3], 20)
-    got = LM.refined(df.withColumnRenamed("doc_id", "key"), start, tok, classes, 4)
-    again = LM.refined(df.withColumnRenamed("doc_id", "key").repartition(7), start, tok, classes, 4)
+    got = LM.refined(windows, start, classes)
+    again = LM.refined(LM.all_windows(docs.repartition(7), tok, 4), start, classes)
     body = [q[1:-1].astype(np.uint8) for q in seqs]
     assert LM.class_scores(got, body).sum() > LM.class_scores(start, body).sum()
     assert all(np.array_equal(got[k], again[k]) for k in got)
