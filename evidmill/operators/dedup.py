@@ -67,13 +67,19 @@ def pair_quality(papers: DataFrame, threshold: float = 0.97) -> DataFrame:
     """
     base = papers.select("id", F.sort_array(T.token_set(content())).alias("w"), F.md5(T.normalized(content())).alias("family"))
     pairs = lambda n: n * (n - 1) / 2
-    by_set = base.groupBy("w").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    cross = similar_sets(by_set, threshold)
-    size = by_set.select("id", "n")
-    predicted = by_set.agg(F.sum(pairs(F.col("n"))).alias("p"))
-    across = cross.join(size.withColumnRenamed("id", "a").withColumnRenamed("n", "na"), "a").join(size.withColumnRenamed("id", "b").withColumnRenamed("n", "nb"), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("x"))
-    # one normalised text has one token set, so pairs of a family are always predicted
-    true = base.groupBy("family").agg(F.count("*").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("t"))
-    one = predicted.crossJoin(across).crossJoin(true)
-    total = F.col("p") + F.col("x")
-    return one.select(F.col("t").cast("long").alias("tp"), (total - F.col("t")).cast("long").alias("fp"), F.lit(0).cast("long").alias("fn"), F.round(F.try_divide(F.col("t"), total), 6).alias("precision"), F.when(F.col("t") > 0, F.lit(1.0)).alias("recall"))
+    parts = base.groupBy("w", "family").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    by_set = parts.groupBy("w").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.sum(pairs(F.col("n"))).alias("same"))
+    by_set = written(by_set, "sets")
+    cross = written(similar_sets(by_set, threshold).select("a", "b"), "pairs")
+    of = lambda c: by_set.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    across = cross.join(of("a"), "a").join(of("b"), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("x"))
+    # texts of one family have one token set but for underscores, at which normalising splits; so few families lie in several sets
+    held = parts.join(by_set.select("w", F.col("id").alias("set")), "w").select("family", "set", "n")
+    split = held.join(held.groupBy("family").agg(F.count("*").alias("sets")).where("sets > 1").select("family"), "family", "left_semi")
+    one_side = lambda c: split.select("family", F.col("set").alias(c), F.col("n").alias(f"n{c}"))
+    met = cross.join(one_side("a"), "a").join(one_side("b"), ["family", "b"]).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("m"))
+    inside = by_set.agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("p"), F.coalesce(F.sum("same"), F.lit(0.0)).alias("s"))
+    true = base.groupBy("family").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("t"))
+    one = inside.crossJoin(across).crossJoin(met).crossJoin(true)
+    tp, predicted = F.col("s") + F.col("m"), F.col("p") + F.col("x")
+    return one.select(tp.cast("long").alias("tp"), (predicted - tp).cast("long").alias("fp"), (F.col("t") - tp).cast("long").alias("fn"), F.round(F.try_divide(tp, predicted), 6).alias("precision"), F.try_divide(tp.cast("double"), F.col("t").cast("double")).alias("recall"))

@@ -56,15 +56,20 @@ def keyed_random(seed: int, *keys: object) -> random.Random:
     return random.Random(int(hashlib.sha256(text.encode()).hexdigest()[:16], 16))
 
 
+COLUMNS = ["comparison", "stratum", "treatment", "metric", "n_pairs", "ci_low", "ci_high"]
+
+
 def bootstrap(diffs: DataFrame, seed: int = 202, replicates: int = 2000) -> DataFrame:
-    """Percentile interval with a Mersenne Twister keyed by the effect: one group per effect, resampled in its own task."""
+    """Percentile interval with a Mersenne Twister keyed by the effect: one group per effect, resampled in its own task; null below two values."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("seed")["diff"].tolist()
+        if len(values) < 2:
+            return pd.DataFrame([[*key, len(values), None, None]], columns=COLUMNS).astype({"ci_low": "float64", "ci_high": "float64"})
         source = keyed_random(seed, *map(str, key))
-        means = sorted(statistics.fmean(source.choices(values, k=len(values))) for _ in range(replicates))
+        means = sorted(statistics.mean(source.choices(values, k=len(values))) for _ in range(replicates))
         low, high = max(0, math.floor(0.025 * replicates) - 1), min(replicates - 1, math.ceil(0.975 * replicates) - 1)
-        return pd.DataFrame([[*key, len(values), means[low], means[high]]], columns=["comparison", "stratum", "treatment", "metric", "n_pairs", "ci_low", "ci_high"])
+        return pd.DataFrame([[*key, len(values), means[low], means[high]]], columns=COLUMNS)
 
     return diffs.groupBy("comparison", "stratum", "treatment", "metric").applyInPandas(one, "comparison string, stratum string, treatment string, metric string, n_pairs bigint, ci_low double, ci_high double")
 

@@ -18,20 +18,23 @@ def ranked_metrics(run: DataFrame, grades: DataFrame, k: int, by: str = "query_i
     """Per group: returned, judged, unjudged, precision_at_k with bounds, precision_judged, dcg, ndcg, recall, null reasons.
 
     ``run`` has the group, rank and id; judgements are by id.  The scope of a
-    group is its whole run; nDCG and recall are null unless all of it is judged.
+    group is its whole run; nDCG and recall are null unless all of it is judged,
+    and compare with all judgements, in the run or not.
     ``strict`` is the grade from which a document is relevant.
     """
-    j = run.join(grades, "id", "left").withColumn("ideal", F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last("grade"), "id")))
+    j = run.join(grades, "id", "left")
+    best = grades.where("grade is not null").orderBy(F.desc("grade"), "id").limit(k).withColumn("ideal", F.row_number().over(W.orderBy(F.desc("grade"), "id")))  # k rows
+    best = best.agg(F.coalesce(F.sum(gain(F.col("grade"), F.col("ideal"))), F.lit(0.0)).alias("idcg"))
+    supply = grades.agg(F.count_if(F.col("grade") >= strict).alias("supply"))
     inside, rel = F.col("rank") <= k, F.col("grade") >= strict
     g = j.groupBy(by).agg(
         F.count_if(inside).alias("returned"),
         F.count_if(inside & F.col("grade").isNotNull()).alias("judged"),
         F.count_if(inside & rel).alias("relevant"),
         F.coalesce(F.sum(F.when(inside, gain(F.col("grade"), F.col("rank")))), F.lit(0.0)).alias("dcg"),
-        F.coalesce(F.sum(F.when(F.col("ideal") <= k, gain(F.col("grade"), F.col("ideal")))), F.lit(0.0)).alias("idcg"),
         F.count_if(F.col("grade").isNull()).alias("unknown"),
-        F.count_if(rel).alias("supply"),
     )
+    g = g.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(supply))  # a row each
     un = F.col("returned") - F.col("judged")
     complete = F.col("unknown") == 0
     r = lambda c: F.round(c, 6)
@@ -54,14 +57,14 @@ def ranked_metrics(run: DataFrame, grades: DataFrame, k: int, by: str = "query_i
 
 
 def selection_metrics(run: DataFrame, grades: DataFrame, families: DataFrame, k: int = 3) -> DataFrame:
-    """Per query: families found over min(3, relevant families of the run), recall, precision over judged rows, duplicate pair ratio."""
+    """Per query: families found over min(3, all relevant families), recall over all of them, precision over judged rows, duplicate pair ratio."""
     j = run.join(families, "id").join(grades, "id", "left").withColumn("sel", F.col("rank") <= k)
-    gold = F.countDistinct(F.when(F.col("grade") >= 1, F.col("family")))
+    gold = grades.where("grade >= 1").join(families, "id").agg(F.countDistinct("family").alias("gold"))
     found = F.countDistinct(F.when(F.col("sel") & (F.col("grade") >= 1), F.col("family")))
     twins = j.where("sel").groupBy("query_id", "family").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("dup"), F.sum("n").alias("m"))
-    g = j.groupBy("query_id").agg(gold.alias("gold"), found.alias("found"), F.count_if(F.col("sel") & (F.col("grade") >= 1)).alias("pos"), F.count_if(F.col("sel") & F.col("grade").isNotNull()).alias("num"), F.count_if(F.col("sel") & F.col("grade").isNull()).alias("unjudged"))
+    g = j.groupBy("query_id").agg(found.alias("found"), F.count_if(F.col("sel") & (F.col("grade") >= 1)).alias("pos"), F.count_if(F.col("sel") & F.col("grade").isNotNull()).alias("num"), F.count_if(F.col("sel") & F.col("grade").isNull()).alias("unjudged"))
     pairs = F.col("m") * (F.col("m") - 1) / 2
-    return g.join(twins, "query_id").select(
+    return g.join(twins, "query_id").crossJoin(F.broadcast(gold)).select(
         "query_id",
         F.round(F.try_divide(F.col("found"), F.least(F.lit(3), F.col("gold"))), 6).alias("capacity_coverage"),
         F.round(F.try_divide(F.col("found"), F.col("gold")), 6).alias("family_recall"),
@@ -76,16 +79,24 @@ def cutoffs(run: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (3, 5, 10))
     spark = run.sparkSession
     dim = spark.createDataFrame([(k,) for k in ks], "k int").coalesce(1)
     per = run.crossJoin(F.broadcast(dim)).where(F.col("rank") <= F.col("k")).join(grades, "id", "left").groupBy("query_id", "topic_id", "k").agg(F.count("grade").alias("judged"), F.count_if(F.col("grade") >= 1).alias("rel"))
-    per.createOrReplaceTempView("__cutoffs")
     return spark.sql("""SELECT coalesce(topic_id, 'all') AS topic_id, k, count(*) AS n_queries, round(avg(try_divide(rel, judged)), 6) AS mean_precision,
-        round(avg(rel), 6) AS mean_relevant, round(avg(if(judged = 0, 1, 0)), 6) AS unjudged_rate FROM __cutoffs GROUP BY GROUPING SETS ((topic_id, k), (k))""")
+        round(avg(rel), 6) AS mean_relevant, round(avg(if(judged = 0, 1, 0)), 6) AS unjudged_rate FROM {per} GROUP BY GROUPING SETS ((topic_id, k), (k))""", per=per)
 
 
 def candidate_recall(run: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
-    """query_id, k, grade_rule, recall: relevant documents of the run within k over all of them."""
-    j = run.join(grades, "id")
-    cols = [F.struct(F.lit(k).alias("k"), F.lit(g).alias("grade_rule"), F.round(F.try_divide(F.count_if((F.col("rank") <= k) & (F.col("grade") >= g)), F.count_if(F.col("grade") >= g)), 6).alias("recall")) for k in ks for g in (1, 2)]
-    return j.groupBy("query_id").agg(F.array(*cols).alias("r")).select("query_id", F.explode("r").alias("r")).select("query_id", "r.*")
+    """query_id, k, grade_rule, recall: relevant documents within k over all judged relevant ones; k "all" is the whole ranking.
+
+    ``run`` needs the first ``max(ks)`` ranks.  A whole ranking holds every
+    paper, those that share no token last, so its recall is 1 where there is
+    anything to find.
+    """
+    rules = (1, 2)
+    total = grades.agg(*[F.count_if(F.col("grade") >= g).alias(f"t{g}") for g in rules])
+    j = run.join(grades, "id", "left")
+    found = j.groupBy("query_id").agg(*[F.count_if((F.col("rank") <= k) & (F.col("grade") >= g)).alias(f"f{k}_{g}") for k in ks for g in rules]).crossJoin(F.broadcast(total))
+    row = lambda k, g, n: F.struct(F.lit(str(k)).alias("k"), F.lit(g).alias("grade_rule"), F.round(F.try_divide(n, F.col(f"t{g}")), 6).alias("recall"))
+    cols = [row(k, g, F.col(f"f{k}_{g}")) for k in ks for g in rules] + [row("all", g, F.col(f"t{g}")) for g in rules]
+    return found.select("query_id", F.explode(F.array(*cols)).alias("r")).select("query_id", "r.*")
 
 
 def exclusion(gate: Column, candidate_rank: Column, kept: Column, returned: Column) -> Column:
@@ -132,9 +143,8 @@ def label_views(pairs: DataFrame) -> DataFrame:
 
 def ratio_of_sums(rows: DataFrame) -> DataFrame:
     """Coverage as a ratio of sums per topic and policy, per topic, and overall (grouping sets)."""
-    rows.createOrReplaceTempView("__ratios")
     return rows.sparkSession.sql("""SELECT coalesce(topic_id, 'all') AS topic_id, coalesce(policy, 'all') AS policy, count(*) AS n, round(try_divide(sum(num), sum(den)), 6) AS ratio
-        FROM __ratios GROUP BY GROUPING SETS ((topic_id, policy), (topic_id), ())""")
+        FROM {rows} GROUP BY GROUPING SETS ((topic_id, policy), (topic_id), ())""", rows=rows)
 
 
 def calibration(scores: DataFrame, grid: DataFrame) -> DataFrame:

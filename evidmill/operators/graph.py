@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests on one machine)."""
+    """The folder all machines share: spark.checkpoint.dir, or one of our own where it is unset and all is one machine (tests); elsewhere raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evidmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 def terminals(merges: DataFrame, depth: int = 64) -> DataFrame:
     """project_id, terminal at the end of each merge chain; a chain longer than ``depth`` is a cycle and raises."""
-    merges.createOrReplaceTempView("__merges")
     out = merges.sparkSession.sql(f"""WITH RECURSIVE chain(project_id, at, n) MAX RECURSION LEVEL {depth + 2} AS (
-        SELECT project_id, project_id, 0 FROM __merges UNION ALL
-        SELECT c.project_id, m.merged_into, c.n + 1 FROM chain c JOIN __merges m ON m.project_id = c.at WHERE m.merged_into IS NOT NULL AND c.n <= {depth})
-        SELECT project_id, max_by(at, n) AS terminal, max(n) AS steps FROM chain GROUP BY project_id""")
+        SELECT project_id, project_id, 0 FROM {{merges}} UNION ALL
+        SELECT c.project_id, m.merged_into, c.n + 1 FROM chain c JOIN {{merges}} m ON m.project_id = c.at WHERE m.merged_into IS NOT NULL AND c.n <= {depth})
+        SELECT project_id, max_by(at, n) AS terminal, max(n) AS steps FROM chain GROUP BY project_id""", merges=merges)
     return out.withColumn("terminal", F.when(F.col("steps") > depth, F.raise_error(F.lit("merge chain has a cycle"))).otherwise(F.col("terminal"))).drop("steps")
 
 

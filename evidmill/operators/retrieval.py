@@ -31,21 +31,17 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | N
     return out.where(F.col(into) <= k) if k is not None else out
 
 
-def postings(papers: DataFrame) -> DataFrame:
-    """id, token, tf, length, from title and abstract."""
-    words = T.all_words(content())
-    return papers.select("id", F.size(words).alias("length"), F.explode(words).alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
-
-
 def bm25(papers: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score (rounded) of every pair that shares a token; pairs without one score 0 and are left out.
 
-    A token repeated in a query counts each time.  Only postings of query
-    tokens are aggregated and joined; the corpus statistics are one row.
+    A token repeated in a query counts each time.  Texts are split once, into
+    words that are written; only postings of query tokens are aggregated and
+    joined, and the corpus statistics are one row.
     """
     terms = queries.select("query_id", F.explode(T.all_words(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    words = T.all_words(content())
-    docs = papers.select("id", words.alias("words"))
+    # a generator keeps the title's and abstract's expressions from being computed again inside the words'
+    texts = papers.select("id", F.explode(F.array(content())).alias("text"))
+    docs = written(texts.select("id", T.all_words(F.col("text")).alias("words")), "words")
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))
     wanted = terms.select("token").distinct()
     hits = docs.select("id", F.size("words").alias("length"), F.explode("words").alias("token")).join(wanted, "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
@@ -122,16 +118,18 @@ def evidence(papers: DataFrame, topics: DataFrame, bounded: bool, window: int =
 
     ``bounded`` matches phrases as whole words with the fixed plural map, else
     as substrings of words without plural s.  Concept groups count in one
-    sentence, or within ``window`` words unless the topic is sentence-only.
-    The window is only tried where each group occurs somewhere in the paper.
+    sentence, or within ``window`` words unless the topic is sentence-only; no
+    groups never count, and one group needs no window.  Phrases without a word
+    are left out.  The window is only tried where each group occurs somewhere
+    in the paper.
     """
     words_of = T.mapped_words if bounded else T.folded_words
     t = topics.select(
         "topic_id",
         F.col("field").alias("topic_field"),
-        F.transform("phrases", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")).alias("phrases"),
+        F.filter(F.transform("phrases", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")), lambda p: F.trim(p) != "").alias("phrases"),
         F.transform("concept_groups", lambda g: F.transform(g, lambda a: T.padded(words_of(a)))).alias("groups"),
-        F.transform("generic", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")).alias("generic"),
+        F.filter(F.transform("generic", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")), lambda p: F.trim(p) != "").alias("generic"),
         "sentence_only",
     )
     join = T.padded if bounded else lambda w: F.array_join(w, " ")
@@ -139,9 +137,9 @@ def evidence(papers: DataFrame, topics: DataFrame, bounded: bool, window: int =
     p = p.withColumn("__all", T.padded(F.col("__w")))
     df = p.crossJoin(F.broadcast(t))  # 12 topics
     hit = lambda text: F.exists("phrases", lambda x: F.col(text).contains(x))
-    sentence = F.exists("__s", lambda s: _group_hit(s, F.col("groups")))
+    sentence = (F.size("groups") > 0) & F.exists("__s", lambda s: _group_hit(s, F.col("groups")))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w")))
-    near = F.when(~F.col("sentence_only") & _group_hit(F.col("__all"), F.col("groups")), F.exists(starts, lambda i: _group_hit(T.padded(F.slice("__w", i, window)), F.col("groups")))).otherwise(F.lit(False))
+    near = F.when(~F.col("sentence_only") & (F.size("groups") > 1) & _group_hit(F.col("__all"), F.col("groups")), F.exists(starts, lambda i: _group_hit(T.padded(F.slice("__w", i, window)), F.col("groups")))).otherwise(F.lit(False))
     score = F.when(hit("__t"), 1.0).when(hit("__a"), 0.9).when(sentence, 0.8).when(near, 0.8).otherwise(0.0)
     generic_text = F.col("__all") if bounded else F.concat_ws(" ", "__t", "__a")
     generic = F.exists("generic", lambda x: generic_text.contains(x))

@@ -78,6 +78,8 @@ def world(seed: int, policy: str, network: str, ticks: int = TICKS) -> list[dict
             elif phase == 1 and not free and projects[a["project"]]["owner"] == a["id"] and a["id"] % 2 == cycle % 2:
                 others = [b for b in agents if b["project"] is not None and b["project"] != a["project"] and projects[b["project"]]["owner"] == b["id"] and (network == "open" or b["field"] == a["field"])]
                 options = [("decline", 0.3)]
+                # the cycle's candidates: the first eight by hash, so any agent may be offered
+                others.sort(key=lambda b: draw("offer", cycle, a["id"], b["id"]))
                 for b in others[:8]:
                     match = float(projects[b["project"]]["topic"] == projects[a["project"]]["topic"])
                     options.append((f"{b['id']:02d}", 0.35 * 0.5 + 0.35 * match + 0.3 * b["rep"] + policy_part(0.5 * match, 0.5 * b["rep"]) - 0.25 * 0.5))

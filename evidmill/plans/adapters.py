@@ -19,7 +19,7 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     d = tables(spark, sf, "documents")[0]
     title = F.split_part(F.coalesce("text", F.lit("")), F.lit("."), F.lit(1))
     return d.select(
-        F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"),
+        F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"),
         title.alias("title"),
         F.expr("substr(coalesce(text, ''), length(split_part(coalesce(text, ''), '.', 1)) + 2)").alias("abstract"),
         (F.lit(2015) + F.col("doc_id") % 12).cast("int").alias("year"),
@@ -45,7 +45,7 @@ def bench_queries(spark: SparkSession, sf: str) -> DataFrame:
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
     """Graded documents; a document that isn't here is unjudged."""
     d = tables(spark, sf, "labels")[0]
-    return d.select(F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("id"), (F.col("quality") * (2 - F.col("toxic"))).cast("int").alias("grade"))
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"), (F.col("quality") * (2 - F.col("toxic"))).cast("int").alias("grade"))
 
 
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,10 +90,10 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _G = "['agents', 'learning', 'science']"
-SQL_PAPERS = f"papers AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, split_part(coalesce(text, ''), '.', 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), '.', 1)) + 2) AS abstract, CAST(2015 + doc_id % 12 AS INTEGER) AS year, {_G}[doc_id % 3 + 1] AS field FROM documents)"
+SQL_PAPERS = f"papers AS (SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS id, split_part(coalesce(text, ''), '.', 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), '.', 1)) + 2) AS abstract, CAST(2015 + doc_id % 12 AS INTEGER) AS year, {_G}[doc_id % 3 + 1] AS field FROM documents)"
 SQL_TOPICS = "topics AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f}', ['{k[0]}', '{k[1]}'], {str(s).lower()})" for t, f, k, s in TOPICS) + ") AS v(topic_id, field, keywords, sentence_only))"
 SQL_POLICIES = "policies AS (SELECT * FROM (VALUES ('balanced', 0.5::DOUBLE, 0.5::DOUBLE), ('novelty', 1.0::DOUBLE, 0.0::DOUBLE), ('recognition', 0.0::DOUBLE, 1.0::DOUBLE)) AS v(policy, w_novelty, w_recognition))"
-SQL_QRELS = "qrels AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, CAST(quality * (2 - toxic) AS INTEGER) AS grade FROM labels)"
+SQL_QRELS = "qrels AS (SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS id, CAST(quality * (2 - toxic) AS INTEGER) AS grade FROM labels)"
 SQL_LEDGER = "ledger AS (SELECT event_id AS entry_id, user_id AS agent_id, user_id % 40 AS project_id, event_type AS action, CAST(round(value) AS BIGINT) AS units, CAST(event_id % 30 AS INTEGER) AS tick FROM events)"
 SQL_MERGES = "merges AS (SELECT i AS project_id, CASE WHEN i % 3 = 1 THEN i // 2 END AS merged_into FROM range(40) AS r(i))"
 SQL_BRANCHES = "branches AS (SELECT CAST(c_nationkey % 10 AS INTEGER) AS seed, ['balanced', 'novelty', 'recognition'][o_orderkey % 3 + 1] AS policy, CASE WHEN o_custkey % 2 = 0 THEN 'closed' ELSE 'open' END AS network, count(*) AS outputs, CAST(sum(CAST(trunc(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS effort, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS completed, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS started FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3)"

@@ -70,5 +70,5 @@ ORACLES = {
     "response_validation": "SELECT event_type, coalesce(length(trim(event_type)) > 0 AND event_id % 5 <= 2 AND value / 100 BETWEEN 0 AND 1, false) AS valid, count(*) AS n FROM events GROUP BY 1, 2",
     "baseline_compare": f"WITH {A.SQL_BRANCHES} SELECT CASE WHEN seed = 3 THEN 'missing' WHEN seed = 1 THEN 'changed' ELSE 'equal' END AS status, count(*) AS n FROM branches GROUP BY 1",
     "metric_span": f"WITH {A.SQL_BRANCHES} SELECT policy, max(effort) - min(effort) AS span FROM branches GROUP BY 1",
-    "text_diversity": f"WITH {RQ._P}, w AS (SELECT field, id, {A.sql_tokens(RQ._TEXT)} AS w FROM papers WHERE year = 2015), p AS (SELECT a.field, round(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS j FROM w a JOIN w b ON a.field = b.field AND a.id < b.id) SELECT f.field, round(coalesce(1 - sum(j) / count(j), 0), 6) AS diversity FROM (SELECT DISTINCT field FROM w) AS f LEFT JOIN p USING (field) GROUP BY 1",
+    "text_diversity": f"WITH {RQ._P}, w AS (SELECT field, id, {A.sql_tokens(RQ._TEXT)} AS w FROM papers), p AS (SELECT a.field, round(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS j FROM w a JOIN w b ON a.field = b.field AND a.id < b.id) SELECT f.field, round(coalesce(1 - sum(j) / count(j), 0), 6) AS diversity FROM (SELECT DISTINCT field FROM w) AS f LEFT JOIN p USING (field) GROUP BY 1",
 }

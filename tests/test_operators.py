@@ -158,3 +158,48 @@ def test_text_diversity_of_all_papers_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(checks, "SETS", block)
         got = {r["field"]: r["diversity"] for r in Q.QUERIES["text_diversity"](spark, sf).collect()}
         assert set(got) == {r["field"] for r in rows} and all(abs(got[f] - x) < 2e-6 for f, x in want(rows).items())
+
+
+def test_pairs_whose_texts_agree_but_not_their_token_sets(spark):
+    rows = [("a", "", "x_y"), ("b", "", "x y"), ("c", "", "p q r"), ("d", "", "p q r"), ("e", "", "r q p")]
+    r = dedup.pair_quality(spark.createDataFrame(rows, "id string, title string, abstract string")).first()
+    # a and b are one family in two sets; c, d, e one set of two families
+    assert (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"]) == (1, 2, 1, round(1 / 3, 6), 0.5)
+    r = dedup.pair_quality(spark.createDataFrame(rows[:2], "id string, title string, abstract string")).first()
+    assert (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"]) == (0, 0, 1, None, 0.0)
+
+
+def test_empty_groups_and_phrases_are_no_evidence(spark):
+    papers = spark.createDataFrame([("1", "f", "alpha", "beta gamma. delta")], "id string, field string, title string, abstract string")
+    kind = "topic_id string, field string, phrases array<string>, concept_groups array<array<string>>, generic array<string>, sentence_only boolean"
+    topics = [("none", "f", [], [], [], True), ("blank", "f", ["--"], [], ["!"], False), ("one", "f", [], [["gamma"]], [], True), ("window", "f", [], [["alpha"], ["delta"]], [], False), ("phrase", "f", ["beta gamma"], [], [], True)]
+    for bounded in (True, False):
+        got = {r["topic_id"]: (r["evidence"], r["generic_only"]) for r in retrieval.evidence(papers, spark.createDataFrame(topics, kind), bounded).collect()}
+        assert got == {"none": (0.0, False), "blank": (0.0, False), "one": (0.8, False), "window": (0.8, False), "phrase": (0.9, False)}
+
+
+def test_recall_counts_what_the_run_has_not(spark):
+    run = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, id string, rank int")
+    grades = spark.createDataFrame([("a", 2), ("b", 0), ("far", 2), ("off", 1)], "id string, grade int")
+    got = {(r["k"], r["grade_rule"]): r["recall"] for r in evaluate.candidate_recall(run, grades).collect()}
+    assert got == {("10", 1): round(1 / 3, 6), ("20", 1): round(1 / 3, 6), ("all", 1): 1.0, ("10", 2): 0.5, ("20", 2): 0.5, ("all", 2): 1.0}
+    m = evaluate.ranked_metrics(run, grades, 2).first()
+    assert m["recall"] == round(1 / 3, 6) and m["ndcg"] == round(3 / (3 + 3 / 1.584962500721156), 6)
+    families = spark.createDataFrame([("a", "f"), ("b", "g"), ("far", "f"), ("off", "h")], "id string, family string")
+    s = evaluate.selection_metrics(run, grades, families).first()
+    assert (s["family_recall"], s["capacity_coverage"]) == (0.5, 0.5)
+
+
+def test_bootstrap_of_one_value_has_no_interval(spark):
+    from evidmill.operators import effects
+
+    rows = [("c", "s", "t", "one", 1, 2.0)] + [("c", "s", "t", "two", k, float(k)) for k in range(3)]
+    got = {r["metric"]: (r["n_pairs"], r["ci_low"], r["ci_high"]) for r in effects.bootstrap(spark.createDataFrame(rows, "comparison string, stratum string, treatment string, metric string, seed int, diff double"), replicates=50).collect()}
+    assert got["one"] == (1, None, None) and got["two"][1] <= 1.0 <= got["two"][2]
+
+
+def test_long_document_numbers_stay_apart(spark, tmp_path):
+    from evidmill.plans import adapters
+
+    spark.createDataFrame([(123456789012, "a. b"), (123456789013, "a. c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert adapters.papers(spark, str(tmp_path)).select("id").distinct().count() == 2
