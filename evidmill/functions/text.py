@@ -63,6 +63,14 @@ def overlap(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+def overlaps(a: Column, b: Column) -> list[Column]:
+    """Columns jaccard, intersection_over_min and reason (both_empty, one_empty or null) of two arrays of distinct ids."""
+    least = F.least(F.size(a), F.size(b))
+    over = F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), least)
+    why = F.when(F.size(a) + F.size(b) == 0, "both_empty").when(least == 0, "one_empty")
+    return [F.round(overlap(a, b), 6).alias("jaccard"), F.round(over, 6).alias("intersection_over_min"), why.alias("reason")]
+
+
 def coverage(query: Column, words: Column) -> Column:
     """Share of a query's distinct words among the words; 0 for an empty query."""
     return F.when(F.size(query) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(query, words)) / F.size(query))

@@ -108,52 +108,125 @@ def _sentences(words_of) -> Column:
     return F.transform(F.filter(F.split(F.concat(F.col("title"), F.lit(". "), F.col("abstract")), "[.!?;]+"), lambda s: F.trim(s) != ""), lambda s: T.padded(words_of(s)))
 
 
+def _once(c: Column) -> Column:
+    """c through a generator, so that filters and later columns read its value instead of computing it again."""
+    return F.explode(F.array(c))
+
+
 def _group_hit(segment: Column, groups: Column) -> Column:
-    """Whether every group has an alternative in the padded segment (alternatives are single words here as padded texts)."""
-    return F.forall(groups, lambda alts: F.exists(alts, lambda a: segment.contains(a)))
+    """Whether every group has an alternative all of whose padded texts are in the padded segment."""
+    return F.forall(groups, lambda alts: F.exists(alts, lambda a: F.forall(a, lambda t: segment.contains(t))))
 
 
 def evidence(papers: DataFrame, topics: DataFrame, bounded: bool, window: int = WINDOW_TOKENS) -> DataFrame:
-    """id, field, title, abstract, topic_id, topic_field, evidence in {0, .8, .9, 1} and generic_only of every pair with evidence or a generic term.
+    """id, field, title, abstract, topic_id, topic_field, evidence in {0, .8, .9, 1} and generic_only of every paper and topic.
 
     ``bounded`` matches phrases as whole words with the fixed plural map, else
-    as substrings of words without plural s.  Concept groups count in one
-    sentence, or within ``window`` words unless the topic is sentence-only; no
-    groups never count, and one group needs no window.  Phrases without a word
-    are left out.  The window is only tried where each group occurs somewhere
-    in the paper.
+    as substrings of words without plural s.  Every concept group must have an
+    alternative in one sentence or, unless the topic is sentence-only, within
+    ``window`` words.  A bounded alternative is a run of words; an unbounded one
+    is a set of words in any order, needs no word if it has none, and its window
+    is tried only with two groups or more.  Bounded, no groups at all count for
+    any text with a word unless the topic is sentence-only.  Phrases without a
+    word are left out.  Windows start only at words that open an alternative,
+    and only where each group occurs somewhere in the paper.
     """
     words_of = T.mapped_words if bounded else T.folded_words
-    t = topics.select(
-        "topic_id",
-        F.col("field").alias("topic_field"),
-        F.filter(F.transform("phrases", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")), lambda p: F.trim(p) != "").alias("phrases"),
-        F.transform("concept_groups", lambda g: F.transform(g, lambda a: T.padded(words_of(a)))).alias("groups"),
-        F.filter(F.transform("generic", lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")), lambda p: F.trim(p) != "").alias("generic"),
-        "sentence_only",
-    )
+    alone = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    worded = lambda c: F.filter(c, lambda p: F.trim(p) != "")
+    phrases = lambda c: worded(F.transform(c, lambda p: T.padded(words_of(p)) if bounded else F.array_join(words_of(p), " ")))
+    alternatives = (lambda g: F.transform(worded(F.transform(g, lambda a: T.padded(words_of(a)))), lambda p: F.array(p))) if bounded else (lambda g: F.transform(g, lambda a: F.transform(words_of(a), alone)))
+    t = topics.select("topic_id", F.col("field").alias("topic_field"), phrases("phrases").alias("phrases"), F.transform("concept_groups", alternatives).alias("groups"), phrases("generic").alias("generic"), "sentence_only")
+    t = t.withColumn("cues", F.array_distinct(F.transform(F.flatten(F.flatten("groups")), lambda p: F.get(F.split(p, " "), F.lit(1)))))
     join = T.padded if bounded else lambda w: F.array_join(w, " ")
     p = papers.withColumns({"__t": join(words_of(F.col("title"))), "__a": join(words_of(F.col("abstract"))), "__s": _sentences(words_of), "__w": words_of(content())})
     p = p.withColumn("__all", T.padded(F.col("__w")))
     df = p.crossJoin(F.broadcast(t))  # 12 topics
     hit = lambda text: F.exists("phrases", lambda x: F.col(text).contains(x))
+    somewhere = _group_hit(F.col("__all"), F.col("groups"))
     sentence = (F.size("groups") > 0) & F.exists("__s", lambda s: _group_hit(s, F.col("groups")))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w")))
-    near = F.when(~F.col("sentence_only") & (F.size("groups") > 1) & _group_hit(F.col("__all"), F.col("groups")), F.exists(starts, lambda i: _group_hit(T.padded(F.slice("__w", i, window)), F.col("groups")))).otherwise(F.lit(False))
-    score = F.when(hit("__t"), 1.0).when(hit("__a"), 0.9).when(sentence, 0.8).when(near, 0.8).otherwise(0.0)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w"))), lambda i: (i == 1) | F.array_contains("cues", F.get("__w", i - 1)))
+    wide = ~F.col("sentence_only") & (F.size("__w") > 0) & (F.lit(True) if bounded else F.size("groups") > 1)
+    near = wide & F.exists(starts, lambda i: _group_hit(T.padded(F.slice("__w", i, window)), F.col("groups")))
+    grouped = F.when(somewhere, F.when(sentence, 0.8).when(near, 0.8).otherwise(0.0)).otherwise(0.0)
+    df = df.select("*", _once(F.when(hit("__t"), 1.0).when(hit("__a"), 0.9).otherwise(grouped)).alias("evidence"))
     generic_text = F.col("__all") if bounded else F.concat_ws(" ", "__t", "__a")
-    generic = F.exists("generic", lambda x: generic_text.contains(x))
-    return df.withColumn("evidence", score).withColumn("generic_only", generic & (F.col("evidence") == 0)).drop("__t", "__a", "__s", "__w", "__all", "phrases", "groups", "generic", "sentence_only")
+    generic = F.when(F.col("evidence") == 0, F.exists("generic", lambda x: generic_text.contains(x))).otherwise(False)
+    return df.select(*papers.columns, "topic_id", "topic_field", "evidence", _once(generic).alias("generic_only"))
 
 
 def qualified(papers: DataFrame, topics: DataFrame, bounded: bool) -> DataFrame:
-    """id, field, topic_id, topic_field, evidence of pairs with MIN_EVIDENCE or more.
+    """id, field, topic_id, topic_field, evidence of pairs with MIN_EVIDENCE or more; written, as texts are searched once."""
+    return written(evidence(papers, topics, bounded).where(F.col("evidence") >= MIN_EVIDENCE).select("id", "field", "topic_id", "topic_field", "evidence"), "evidence")
+
+
+def gate_reasons(papers: DataFrame, topics: DataFrame, bounded: bool = True) -> DataFrame:
+    """topic_id, gate_reason, n over all papers: passed_semantic_evidence, generic_only or no_semantic_evidence."""
+    reason = F.when(F.col("evidence") >= MIN_EVIDENCE, "passed_semantic_evidence").when(F.col("generic_only"), "generic_only").otherwise("no_semantic_evidence")
+    return evidence(papers, topics, bounded).groupBy("topic_id", reason.alias("gate_reason")).agg(F.count("*").alias("n"))
+
+
+# ---- queries, memory and reading history ------------------------------------
+
+
+def memory_words(memory: DataFrame, topics: DataFrame, variant: str) -> DataFrame:
+    """topic_id, words: distinct words of the memory terms (columns topic_id, m_topic, m_text) of each query.
+
+    ``relevance`` takes the terms as they are.  ``fixed`` prefers a term's text
+    and ``repaired`` its topic; one that names a topic, whatever its case,
+    blanks and hyphens, is expanded: ``fixed`` adds the topic's description and
+    keywords, ``repaired`` puts description, phrases and concept words in its
+    place.
+    """
+    value = F.coalesce("m_topic", "m_text", F.lit("")) if variant == "repaired" else F.coalesce("m_text", "m_topic", F.lit(""))
+    m = memory.select("topic_id", value.alias("value"), F.regexp_replace(F.lower(F.trim(value)), "[_\\-\\s]+", "_").alias("key"))
+    if variant == "relevance":
+        words = T.token_set(F.col("value"))
+    else:
+        parts = [F.col("description"), F.array_join("phrases", " "), F.array_join(F.flatten("concept_groups"), " ")] if variant == "repaired" else [F.col("description"), F.array_join("keywords", " ")]
+        m = m.join(F.broadcast(topics.select(F.col("topic_id").alias("key"), F.concat_ws(" ", *parts).alias("material"))), "key", "left")  # topics are a dimension
+        words = T.mapped_words(F.coalesce("material", "value")) if variant == "repaired" else T.comparable_set(F.concat_ws(" ", "value", "material"))
+    return m.groupBy("topic_id").agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("words"))
+
+
+def memory_status(memory: DataFrame, topics: DataFrame) -> DataFrame:
+    """topic_id, input, status, resolved: which memory terms name a topic."""
+    value = F.coalesce("m_topic", "m_text", F.lit(""))
+    m = memory.select("topic_id", value.alias("input"), F.regexp_replace(F.lower(F.trim(value)), "[_\\-\\s]+", "_").alias("key"))
+    j = m.join(F.broadcast(topics.select(F.col("topic_id").alias("resolved"))), F.col("key") == F.col("resolved"), "left")
+    return j.select("topic_id", "input", F.when(F.col("resolved").isNull(), "unknown_literal").otherwise("resolved_topic").alias("status"), "resolved")
+
+
+def _with_memory(topics: DataFrame, memory: DataFrame | None, variant: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    if memory is None:
+        return topics.withColumn("qm", none)
+    m = memory_words(memory, topics, variant).withColumnRenamed("words", "qm")
+    return topics.join(m, "topic_id", "left").withColumn("qm", F.coalesce("qm", none))
+
 
-    Evidence is written before it is filtered: pushed down, the filter would
-    split each text again for every window.
+def built_queries(topics: DataFrame, memory: DataFrame | None, fixed: bool) -> DataFrame:
+    """topic_id, topic_field, qt, qf, qm: the words of topic, field and memory a query is made of.
+
+    ``fixed`` takes the keywords alone for the topic, with hyphens and
+    underscores as separators; else the topic's id and description count too.
+    """
+    t = _with_memory(topics, memory, "fixed" if fixed else "relevance")
+    words = T.comparable_set if fixed else T.token_set
+    parts = [F.array_join("keywords", " ")] if fixed else [F.regexp_replace("topic_id", "_", " "), F.col("description"), F.array_join("keywords", " ")]
+    return t.select("topic_id", F.col("field").alias("topic_field"), words(F.concat_ws(" ", *parts)).alias("qt"), words(F.col("field")).alias("qf"), "qm")
+
+
+def explored(pool: DataFrame, reads: DataFrame | None, by: Sequence[str], field: bool = False) -> DataFrame:
+    """Adds exploration: the mean of 1 - Jaccard between a candidate and each text its reader has read, 0.5 without any.
+
+    ``reads`` has the columns ``by`` and w, the words of title and abstract.
     """
-    found = evidence(papers, topics, bounded).where("evidence > 0 or generic_only").select("id", "field", "topic_id", "topic_field", "evidence")
-    return written(found, "evidence").where(F.col("evidence") >= MIN_EVIDENCE)
+    if reads is None:
+        return pool.withColumn("exploration", F.lit(0.5))
+    own = pool.select(*by, "id", _once(T.token_set(content(field))).alias("__w"))
+    far = own.join(reads.select(*by, F.col("w").alias("__r")), list(by)).groupBy(*by, "id").agg(F.round(F.avg(1 - T.jaccard(F.col("__w"), F.col("__r"))), DIGITS).alias("exploration"))
+    return pool.join(far, [*by, "id"], "left").withColumn("exploration", F.coalesce("exploration", F.lit(0.5)))
 
 
 # ---- near duplicates in a pool and capped selection -------------------------
@@ -162,12 +235,18 @@ def qualified(papers: DataFrame, topics: DataFrame, bounded: bool) -> DataFrame:
 def pool_clusters(pool: DataFrame, by: Sequence[str], threshold: float = NEAR) -> DataFrame:
     """Adds cluster_id: greedy leaders within each pool, in order of id.
 
-    A row joins the first earlier leader with the same normalised text or a
-    token-set Jaccard of ``threshold`` or more, else it leads.  Members never
-    lead, so clusters aren't transitive.  Pools are small (POOL rows), so one
-    fold over each pool's array does it without Python.
+    A row joins the cluster of an earlier row with its DOI or, without one, its
+    normalised text, or else the first earlier leader with a token-set Jaccard
+    of ``threshold`` or more, or else it leads.  Members never lead, so clusters
+    aren't transitive.  A column doi may be missing; with a column synthetic,
+    such rows lose scenario and variant numbers before texts are compared.
+    Pools are small (POOL rows), so one fold over each pool's array does it
+    without Python.
     """
-    item = F.struct("id", T.normalized(content()).alias("key"), T.token_set(content()).alias("w"))
+    text = T.fixture_text(content(), F.coalesce("synthetic", F.lit(False))) if "synthetic" in pool.columns else T.normalized(content())
+    doi = F.nullif(F.lower(F.trim("doi")), F.lit("")) if "doi" in pool.columns else F.lit(None).cast("string")
+    key = F.coalesce(F.concat(F.lit("doi:"), doi), F.concat(F.lit("text:"), text))
+    item = F.struct("id", key.alias("key"), T.token_set(content()).alias("w"))
     g = pool.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
     zero = F.array().cast("array<struct<id:string,key:string,w:array<string>,lead:string>>")
 
@@ -188,70 +267,135 @@ def capped(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int = T
     return ranked(kept, by, order, k, "selected_rank")
 
 
-def shortfall_reason(selected: Column, qualified: Column, zero: Column, k: int = TOP_K, none: str = "insufficient_relevant_documents", nothing: str = "all_relevance_zero") -> Column:
-    return F.when(selected >= k, None).when(zero, nothing).when(qualified < k, none).otherwise("near_duplicate_limit")
+def shortfall_reason(variant: str, selected: Column, passed: Column, anything: Column, k: int = TOP_K) -> Column:
+    """Why fewer than k rows were selected, null if not: ``passed`` rows got through the gate, ``anything`` scored above 0 before it."""
+    short = F.when(selected >= k, None)
+    if variant in ("guarded", "repaired"):
+        return short.when(passed == 0, "no_qualified_evidence").otherwise("insufficient_distinct_evidence")
+    if variant == "fixed":
+        short = short.when((passed == 0) & ~anything, "all_evidence_relevance_zero").when(passed == 0, "no_qualified_evidence")
+    else:
+        short = short.when(~anything, "all_relevance_zero")
+    return short.when(passed < k, "insufficient_relevant_documents").otherwise("near_duplicate_limit")
 
 
-def gate_pool(papers: DataFrame, topics: DataFrame, variant: str) -> DataFrame:
-    """Qualified pool of every topic, with evidence, raw, relevance and share (of relevance in the final score).
+def base_pool(papers: DataFrame, topics: DataFrame, variant: str, memory: DataFrame | None = None) -> DataFrame:
+    """Candidates of every topic: id, topic_id, candidate_rank, evidence, raw, relevance, share (of relevance in the final score), qualified.
 
     Variants differ in order and scale: ``relevance`` cuts the pool by relevance
     and then gates it, normalising by the peak of all; ``fixed`` cuts by topic
     evidence, gates, and normalises by the peak of the qualified; ``guarded``
-    and ``repaired`` gate by phrase evidence first and cut then.
+    and ``repaired`` gate by phrase evidence first and cut then.  Only words of
+    a query are joined; papers without any come last, by id.
     """
     if variant in ("guarded", "repaired"):
         df = qualified(papers, topics, bounded=variant == "repaired")
         same = (F.col("field") == F.col("topic_field")).cast("double")
-        if variant == "repaired":
-            df = df.withColumn("raw", F.lit(0.0)).withColumn("relevance", (1 - BETA_FIELD) * F.col("evidence") + BETA_FIELD * same).withColumn("share", F.lit(ALPHA))
-        else:
+        if variant == "guarded":
             df = df.withColumn("raw", FIELD_CONTEXT * same).withColumn("relevance", F.col("evidence")).withColumn("share", F.lit(RELEVANCE_WEIGHT))
-        pool = ranked(df, ["topic_id"], [F.desc("evidence"), F.desc("raw"), F.asc("id")], POOL, "candidate_rank")
-        return pool.join(papers.select("id", "title", "abstract"), "id")
-    words = T.comparable_set if variant == "fixed" else T.token_set
-    q = topics.select("topic_id", F.col("field").alias("topic_field"), F.array_distinct("keywords").alias("qt"), F.array("field").alias("qf"))
-    p = papers.withColumn("__w", words(content(field=True)))
-    df = p.crossJoin(F.broadcast(q)).withColumn("evidence", T.coverage(F.col("qt"), F.col("__w")))
-    df = df.withColumn("raw", F.round(WEIGHTS[0] * F.col("evidence") + WEIGHTS[1] * T.coverage(F.col("qf"), F.col("__w")), DIGITS)).drop("__w", "qt", "qf")
-    top = F.max("raw").over(W.partitionBy("topic_id"))
-    if variant == "relevance":
-        # the peak of all leads the order by raw, so the pool holds it
-        df = ranked(df, ["topic_id"], [F.desc("raw"), F.asc("id")], POOL, "candidate_rank").withColumn("peak", top).where(F.col("raw") >= MIN_RELEVANCE)
-    else:
-        df = ranked(df, ["topic_id"], [F.desc("evidence"), F.desc("raw"), F.asc("id")], POOL, "candidate_rank").where(F.col("evidence") >= MIN_RELEVANCE).withColumn("peak", top)
-    return df.withColumn("relevance", F.when(F.col("peak") > 0, F.col("raw") / F.col("peak")).otherwise(0.0)).withColumn("share", F.lit(RELEVANCE_WEIGHT)).drop("peak")
+        pool = ranked(df.withColumn("__same", same), ["topic_id"], [F.desc("evidence"), F.asc("id")] if variant == "repaired" else [F.desc("evidence"), F.desc("raw"), F.asc("id")], POOL, "candidate_rank")
+        if variant == "repaired":
+            m = _with_memory(topics, memory, "repaired").select("topic_id", "qm")
+            pool = pool.join(papers.select("id", T.mapped_words(content()).alias("__words")), "id").join(F.broadcast(m), "topic_id")  # topics are a dimension
+            remembered = T.coverage(F.col("qm"), F.array_distinct("__words"))
+            beta = F.when(F.size("qm") > 0, BETA_MEMORY).otherwise(0.0)
+            pool = pool.withColumn("raw", F.round(remembered, DIGITS)).withColumn("relevance", F.round((1 - BETA_FIELD - beta) * F.col("evidence") + BETA_FIELD * F.col("__same") + beta * F.col("raw"), DIGITS)).withColumn("share", F.lit(ALPHA))
+        return pool.select("id", "topic_id", "candidate_rank", "evidence", "raw", "relevance", "share", F.lit(True).alias("qualified"))
+    fixed = variant == "fixed"
+    q = built_queries(topics, memory, fixed)
+    part = lambda c, i: F.transform(c, lambda w: F.struct(F.lit(i).alias("part"), w.alias("token")))
+    terms = q.select("topic_id", F.explode(F.concat(part("qt", 0), part("qf", 1), part("qm", 2))).alias("x")).select("topic_id", "x.*")
+    sizes = q.select("topic_id", *[F.size(c).alias(f"n_{c}") for c in ("qt", "qf", "qm")])
+    words = T.comparable_set if fixed else T.token_set
+    hits = lambda p: p.select("id", F.explode(words(content(field=True))).alias("token")).join(F.broadcast(terms), "token")  # noqa: E731  # words of 12 topics and their memories
+    found = hits(papers).groupBy("topic_id", "id").agg(*[F.count_if(F.col("part") == i).alias(c) for i, c in enumerate(("qt", "qf", "qm"))])
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"n_{c}")), F.lit(0.0))
+    scored = found.join(F.broadcast(sizes), "topic_id").select("topic_id", "id", share("qt").alias("evidence"), F.round(WEIGHTS[0] * share("qt") + WEIGHTS[1] * share("qf") + WEIGHTS[2] * share("qm"), DIGITS).alias("raw"))
+    order = [F.desc("evidence"), F.desc("raw"), F.asc("id")] if fixed else [F.desc("raw"), F.asc("id")]
+    top = ranked(scored, ["topic_id"], order, POOL, "candidate_rank").drop("candidate_rank")
+    # a pool that isn't full has less than POOL papers with a word, so the rest is found among the first 2 * POOL ids
+    first = papers.orderBy("id").limit(2 * POOL)
+    rest = first.select("id").crossJoin(q.select("topic_id")).join(hits(first).select("topic_id", "id"), ["topic_id", "id"], "left_anti")
+    base = ranked(top.unionByName(rest.select("topic_id", "id", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("raw"))), ["topic_id"], order, POOL, "candidate_rank")
+    base = base.withColumn("qualified", F.col("evidence" if fixed else "raw") >= MIN_RELEVANCE)
+    peak = F.max(F.when(F.col("qualified") | F.lit(not fixed), F.col("raw"))).over(W.partitionBy("topic_id"))  # the peak of all leads the order by raw, so the pool holds it
+    base = base.withColumn("peak", peak).withColumn("relevance", F.when(F.col("peak") > 0, F.col("raw") / F.col("peak")).otherwise(0.0))
+    return base.select("id", "topic_id", "candidate_rank", "evidence", "raw", "relevance", F.lit(RELEVANCE_WEIGHT).alias("share"), "qualified")
+
+
+def gate_pool(papers: DataFrame, topics: DataFrame, variant: str, memory: DataFrame | None = None) -> DataFrame:
+    """The qualified candidates of base_pool()."""
+    return base_pool(papers, topics, variant, memory).where("qualified").drop("qualified")
+
+
+def final_order(variant: str) -> list[Column]:
+    ties = {"relevance": ["raw"], "fixed": ["evidence", "raw"]}.get(variant, ["evidence"])
+    return [F.desc("final_score"), *map(F.desc, ties), F.asc("id")]
+
+
+def gated(papers: DataFrame, topics: DataFrame, policies: DataFrame, weights: DataFrame, labels: DataFrame, variant: str, reads: DataFrame | None = None, memory: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
+    """Selections for every topic and policy, one schema for all variants: topic_id, policy, selected_rank, id, evidence, raw, final_score, cluster_id.
+
+    ``reads`` is the reading history by topic_id (see explored()), ``memory``
+    the memory terms, ``pool`` a base pool that is there already.
+    """
+    base = written(base_pool(papers, topics, variant, memory), "pool") if pool is None else pool  # POOL rows a topic, read three times
+    texts = [c for c in ("title", "abstract", "doi", "synthetic") if c in papers.columns]
+    df = base.where("qualified").drop("qualified").join(papers.select("id", *texts), "id")
+    df = explored(pool_clusters(df, ["topic_id"]), reads, ["topic_id"])
+    rec = recognition(base.select("id").distinct(), labels, weights)
+    df = df.join(rec, "id").crossJoin(F.broadcast(policies))
+    policy = F.col("w_novelty") * F.col("exploration") + F.col("w_recognition") * F.col("recognition")
+    df = df.withColumn("final_score", F.round(F.col("share") * F.col("relevance") + (1 - F.col("share")) * policy, DIGITS))
+    return capped(df, ["topic_id", "policy"], final_order(variant)).select("topic_id", "policy", "selected_rank", "id", F.round("evidence", DIGITS).alias("evidence"), "raw", "final_score", "cluster_id")
 
 
-def gated(papers: DataFrame, topics: DataFrame, policies: DataFrame, weights: DataFrame, labels: DataFrame, variant: str) -> DataFrame:
-    """Selections for every topic and policy, one schema for all variants: topic_id, policy, selected_rank, id, evidence, raw, final_score, cluster_id."""
-    rec = recognition(papers, labels, weights)
-    df = pool_clusters(gate_pool(papers, topics, variant), ["topic_id"]).join(rec, "id").crossJoin(F.broadcast(policies))
-    policy = F.col("w_novelty") * 0.5 + F.col("w_recognition") * F.col("recognition")
-    df = df.withColumn("final_score", F.round(F.col("share") * F.col("relevance") + (1 - F.col("share")) * policy, DIGITS))
-    order = [F.desc("final_score"), F.desc("evidence"), F.desc("raw"), F.asc("id")] if variant != "relevance" else [F.desc("final_score"), F.desc("raw"), F.asc("id")]
-    return capped(df, ["topic_id", "policy"], order).select("topic_id", "policy", "selected_rank", "id", F.round("evidence", DIGITS).alias("evidence"), "raw", "final_score", "cluster_id")
+def fallbacks(base: DataFrame, selected: DataFrame, topics: DataFrame, policies: DataFrame, variant: str) -> DataFrame:
+    """topic_id, policy, selected_count, fallback: why a selection is short, for every topic and policy."""
+    stats = base.groupBy("topic_id").agg(F.count_if("qualified").alias("passed"), F.max(F.col("evidence" if variant == "fixed" else "raw") > 0).alias("anything"))
+    n = selected.groupBy("topic_id", "policy").agg(F.count("*").alias("selected_count"))
+    every = topics.select("topic_id").crossJoin(policies.select("policy")).join(n, ["topic_id", "policy"], "left").join(stats, "topic_id", "left").na.fill(0, ["selected_count", "passed"])
+    why = shortfall_reason(variant, F.col("selected_count"), F.col("passed"), F.coalesce("anything", F.lit(False)))
+    return every.select("topic_id", "policy", "selected_count", why.alias("fallback"))
 
 
-def legacy_topk(papers: DataFrame, queries: DataFrame, rec: DataFrame, policies: DataFrame, pool: int = POOL, k: int = TOP_K) -> DataFrame:
-    """Jaccard pool, then half relevance and half policy features; neither gate nor duplicate control."""
-    df = ranked(jaccard_hits(papers, queries), ["query_id"], [F.desc("score"), F.asc("id")], pool, "pool_rank").join(rec, "id").crossJoin(F.broadcast(policies))
-    score = F.round(0.5 * F.col("score") + 0.5 * (F.col("w_novelty") * 0.5 + F.col("w_recognition") * F.col("recognition")), DIGITS)
+def legacy_topk(papers: DataFrame, queries: DataFrame, rec: DataFrame, policies: DataFrame, pool: int = POOL, k: int = TOP_K, reads: DataFrame | None = None) -> DataFrame:
+    """Jaccard pool, then half relevance and half policy features; neither gate nor duplicate control.  ``reads`` is by query_id."""
+    df = ranked(jaccard_hits(papers, queries), ["query_id"], [F.desc("score"), F.asc("id")], pool, "pool_rank")
+    df = explored(df.join(papers.select("id", "field", "title", "abstract"), "id"), reads, ["query_id"], field=True).join(rec, "id").crossJoin(F.broadcast(policies))
+    score = F.round(0.5 * F.col("score") + 0.5 * (F.col("w_novelty") * F.col("exploration") + F.col("w_recognition") * F.col("recognition")), DIGITS)
     return ranked(df.withColumn("retrieval_score", score), ["query_id", "policy"], [F.desc("retrieval_score"), F.asc("id")], k).select("query_id", "policy", "rank", "id", "retrieval_score")
 
 
-def audit_metrics(pool: DataFrame, selected: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per topic and policy: counts, topic match rate, pool minimum, upper median and maximum, cluster ratio, shortfall."""
-    stats = pool.groupBy("topic_id").agg(F.count("*").alias("qualified"), F.round(F.min("raw"), 6).alias("pool_min"), F.round(F.max("raw"), 6).alias("pool_max"), F.sort_array(F.collect_list("raw")).alias("scores"))
+#: Retrieval modes and the variants of gated() that they name.
+MODES = {"relevance_gated": "relevance", "stage_a_fixed": "fixed", "stage_a_semantic_guarded": "guarded", "stage_a_repaired_v1": "repaired"}
+
+
+def retrieve(mode: str, papers: DataFrame, topics: DataFrame, policies: DataFrame, weights: DataFrame, labels: DataFrame, reads: DataFrame | None = None, memory: DataFrame | None = None) -> DataFrame:
+    """Selections by the name of a mode; an unknown mode raises.  The legacy ranker takes free queries: legacy_topk()."""
+    if mode not in MODES:
+        raise ValueError(f"unknown retrieval mode {mode}")
+    return gated(papers, topics, policies, weights, labels, MODES[mode], reads, memory)
+
+
+def audit_metrics(base: DataFrame, selected: DataFrame, labels: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Per topic and policy with a selection: counts, topic match rate and coverage, the base pool's relevance, duplicate rates, shortfall and fallback."""
+    stats = base.groupBy("topic_id").agg(F.round(F.min("raw"), 6).alias("pool_min"), F.round(F.max("raw"), 6).alias("pool_max"), F.sort_array(F.collect_list("raw")).alias("scores"), F.round(F.avg((F.col("raw") == 0).cast("int")), 6).alias("pool_zero_rate"), F.round(F.avg(F.col("qualified").cast("int")), 6).alias("pool_qualified_rate"))
     stats = stats.withColumn("pool_median", F.round(F.get("scores", F.floor(F.size("scores") / 2).cast("int")), 6)).drop("scores")
-    own = labels.groupBy("id").agg(F.collect_set("topic_id").alias("topics"))
-    s = selected.join(own, "id", "left").groupBy("topic_id", "policy").agg(
+    own = labels.join(selected.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("topic_id").alias("topics"))
+    marked = selected.join(own, "id", "left")
+    twins = selected.groupBy("topic_id", "policy", "cluster_id").agg(F.count("*").alias("n")).groupBy("topic_id", "policy").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("twins"))
+    s = marked.groupBy("topic_id", "policy").agg(
         F.count("*").alias("selected_count"),
         F.round(F.avg(F.when(F.col("topics").isNotNull(), F.array_contains("topics", F.col("topic_id")).cast("int"))), 6).alias("topic_match_rate"),
         F.count_if(F.col("topics").isNull()).alias("unlabeled_selected"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topic_coverage"),
+        F.round(F.avg("raw"), 6).alias("selected_relevance_mean"),
         F.round(F.countDistinct("cluster_id") / F.count("*"), 6).alias("unique_cluster_ratio"),
     )
-    return s.join(stats, "topic_id").withColumn("retrieval_shortfall", F.col("selected_count") < TOP_K)
+    n = F.col("selected_count")
+    rate = F.round(F.try_divide(F.col("twins"), n * (n - 1) / 2), 6).alias("near_duplicate_pair_rate")
+    return s.join(twins, ["topic_id", "policy"]).join(stats, "topic_id").join(reasons.select("topic_id", "policy", "fallback"), ["topic_id", "policy"]).select("*", rate, (n < TOP_K).alias("retrieval_shortfall")).drop("twins")
 
 
 def soft_rerank(papers: DataFrame, queries: DataFrame, topics: DataFrame, weight: float = LAMBDA) -> DataFrame:

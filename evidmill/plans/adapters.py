@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidmill.functions import text as T
+
 _KEYS = ["ther thon", "thre thes", "erin anea", "eren thtion", "thing erst", "anon attion", "onre ernt", "ersh ertion", "onan erth", "ened inea", "stth heer", "tian anre"]
 FIELDS = ["agents", "learning", "science"]
 #: (topic_id, field, keywords, sentence_only)
@@ -29,8 +31,26 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
 
 def topics(spark: SparkSession) -> DataFrame:
     """The 12 frozen topics with their profiles: a dimension of fixed size."""
-    rows = [(t, f, k, [" ".join(k), "the " + k[0]], [[k[0]], [k[1]]], ["the"], s) for t, f, k, s in TOPICS]
-    return spark.createDataFrame(rows, "topic_id string, field string, keywords array<string>, phrases array<string>, concept_groups array<array<string>>, generic array<string>, sentence_only boolean").coalesce(1)
+    rows = [(t, f, f"{k[0]} beside {k[1]}", k, [" ".join(k), "the " + k[0]], [[k[0]], [k[1]]], ["the"], s) for t, f, k, s in TOPICS]
+    return spark.createDataFrame(rows, "topic_id string, field string, description string, keywords array<string>, phrases array<string>, concept_groups array<array<string>>, generic array<string>, sentence_only boolean").coalesce(1)
+
+
+#: (topic_id, topic named, text) of the memory terms of the twelve readers; some have none.
+MEMORY = [(t, f"T{(i + 6) % 12:02d} ", None) for i, (t, *_) in enumerate(TOPICS) if i % 3 != 2] + [(t, f"T{(i + 1) % 12:02d}" if i % 2 else None, "the onan-erth") for i, (t, *_) in enumerate(TOPICS) if i % 4 == 1]
+
+
+def memory(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MEMORY, "topic_id string, m_topic string, m_text string").coalesce(1)
+
+
+def reads(spark: SparkSession, sf: str, by: DataFrame | None = None) -> DataFrame:
+    """topic_id, id, w: what the reader of each topic (the user of its number) has viewed or clicked; with ``by``, for its query_id instead."""
+    e = tables(spark, sf, "events")[0].where(F.col("event_type").isin("view", "click"))
+    topic = F.concat(F.lit("t"), F.lpad(F.col("user_id").cast("string"), 2, "0"))
+    seen = e.where(F.col("user_id") < len(TOPICS)).select(topic.alias("topic_id"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("id"))
+    text = papers(spark, sf).select("id", T.token_set(F.concat_ws(" ", "title", "abstract")).alias("w"))
+    seen = seen.join(text, "id")
+    return seen if by is None else seen.join(by.select("query_id", "topic_id"), "topic_id").drop("topic_id")
 
 
 def policies(spark: SparkSession) -> DataFrame:
@@ -91,7 +111,8 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 _G = "['agents', 'learning', 'science']"
 SQL_PAPERS = f"papers AS (SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS id, split_part(coalesce(text, ''), '.', 1) AS title, substr(coalesce(text, ''), length(split_part(coalesce(text, ''), '.', 1)) + 2) AS abstract, CAST(2015 + doc_id % 12 AS INTEGER) AS year, {_G}[doc_id % 3 + 1] AS field FROM documents)"
-SQL_TOPICS = "topics AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f}', ['{k[0]}', '{k[1]}'], {str(s).lower()})" for t, f, k, s in TOPICS) + ") AS v(topic_id, field, keywords, sentence_only))"
+SQL_TOPICS = "topics AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f}', ['{k[0]}', '{k[1]}'], {str(s).lower()}, '{k[0]} beside {k[1]}')" for t, f, k, s in TOPICS) + ") AS v(topic_id, field, keywords, sentence_only, description))"
+SQL_MEMORY = "memory AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in row) + ")" for row in MEMORY) + ") AS v(topic_id, m_topic, m_text))"
 SQL_POLICIES = "policies AS (SELECT * FROM (VALUES ('balanced', 0.5::DOUBLE, 0.5::DOUBLE), ('novelty', 1.0::DOUBLE, 0.0::DOUBLE), ('recognition', 0.0::DOUBLE, 1.0::DOUBLE)) AS v(policy, w_novelty, w_recognition))"
 SQL_QRELS = "qrels AS (SELECT lpad(CAST(doc_id AS VARCHAR), 19, '0') AS id, CAST(quality * (2 - toxic) AS INTEGER) AS grade FROM labels)"
 SQL_LEDGER = "ledger AS (SELECT event_id AS entry_id, user_id AS agent_id, user_id % 40 AS project_id, event_type AS action, CAST(round(value) AS BIGINT) AS units, CAST(event_id % 30 AS INTEGER) AS tick FROM events)"
@@ -106,3 +127,7 @@ def sql_words(x: str) -> str:
 
 def sql_tokens(x: str) -> str:
     return f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9_]+'))"
+
+
+#: Needs papers; rd has the words of what each topic's reader has read.
+SQL_READS = f"rd AS (SELECT 't' || lpad(CAST(user_id AS VARCHAR), 2, '0') AS topic_id, papers.id, {sql_tokens("title || ' ' || abstract")} AS w FROM events JOIN papers ON papers.id = lpad(CAST(event_id AS VARCHAR), 19, '0') WHERE user_id < 12 AND event_type IN ('view', 'click'))"

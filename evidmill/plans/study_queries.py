@@ -236,6 +236,7 @@ ORACLES = {
     "dup_components": f"WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM pr WHERE score >= 0.82 UNION ALL SELECT b, a FROM pr WHERE score >= 0.82), r AS (SELECT id AS a, id AS b FROM sets UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY 1) SELECT p.id, component FROM (SELECT id, list_sort({A.sql_tokens(_TEXT)}) AS w FROM papers) AS p JOIN sets USING (w) JOIN c ON c.id = sets.id",
     "dup_pair_quality": f"WITH {_P}, {_FAM}, x AS (SELECT id, family, list_sort({A.sql_tokens(_TEXT)}) AS w FROM papers JOIN fam USING (id)), y AS (SELECT id, family, len(w) AS n, unnest(w) AS t FROM x), z AS (SELECT a.id AS a, b.id AS b, any_value(a.family) = any_value(b.family) AS same, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM y a JOIN y b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2), c AS (SELECT count(*) FILTER (same AND score >= 0.97) AS tp, count(*) FILTER (NOT same AND score >= 0.97) AS fp, (SELECT count(*) FROM fam a JOIN fam b ON a.family = b.family AND a.id < b.id) AS pos FROM z) SELECT tp, fp, pos - tp AS fn, round(tp / (tp + fp), 6) AS precision, CAST(tp / pos AS DOUBLE) AS recall FROM c",
     "import_aliases": f"WITH {_P}, {_FAM} SELECT id, canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY family) AS canonical_id FROM fam) WHERE id <> canonical_id",
+    "greedy_dup_clusters": f"WITH RECURSIVE {_RUN}, rt AS (SELECT query_id, id FROM run WHERE rank <= 20), {RQ.sql_clusters('rt', 'query_id', 0.6)} SELECT query_id, id, lead AS cluster_id FROM cl",
     "capped_topk": f"WITH {_RUN}, {_FAM}, f AS (SELECT query_id, id, rank FROM run JOIN fam USING (id) WHERE rank <= 20 QUALIFY row_number() OVER (PARTITION BY query_id, family ORDER BY rank) = 1) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS selected_rank, id FROM f QUALIFY selected_rank <= 3",
     "ranked_metrics": _metrics(1, False),
     "strict_metrics": _metrics(2, True),
