@@ -12,8 +12,8 @@ from evidmill.functions.text import uniform
 
 
 def adjudication_queue(pairs: DataFrame) -> DataFrame:
-    """Items that both reviewers scored and scored differently (columns item_id, r1, r2)."""
-    return pairs.where("r1 is not null and r2 is not null and r1 <> r2").select("item_id", "r1", "r2")
+    """Items both reviewers rated where one is unsure (a null score) or the scores differ (columns item_id, r1, r2, rated: ratings received)."""
+    return pairs.where("rated >= 2 and (r1 is null or r2 is null or r1 <> r2)").select("item_id", "r1", "r2")
 
 
 def conflicts(grades: DataFrame, key: str, grade: str) -> DataFrame:

@@ -13,7 +13,7 @@ from evidmill.plans import retrieval_queries as RQ
 
 def _pairs(s, d):
     r = A.ratings(s, d)
-    return r.groupBy("item_id").agg(F.max(F.when(F.col("reviewer") == 1, F.col("d0"))).alias("r1"), F.max(F.when(F.col("reviewer") == 2, F.col("d0"))).alias("r2"))
+    return r.groupBy("item_id").agg(F.max(F.when(F.col("reviewer") == 1, F.col("d0"))).alias("r1"), F.max(F.when(F.col("reviewer") == 2, F.col("d0"))).alias("r2"), F.countDistinct("reviewer").alias("rated"))
 
 
 def _graded_families(s, d):
@@ -59,7 +59,7 @@ QUERIES = {
 
 _HEX = " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (12 - i)}" for i in range(13))
 ORACLES = {
-    "adjudication_queue": f"WITH {A.SQL_RATINGS}, p AS (SELECT item_id, max(d0) FILTER (reviewer = 1) AS r1, max(d0) FILTER (reviewer = 2) AS r2 FROM ratings GROUP BY 1) SELECT item_id, r1, r2 FROM p WHERE r1 <> r2",
+    "adjudication_queue": f"WITH {A.SQL_RATINGS}, p AS (SELECT item_id, max(d0) FILTER (reviewer = 1) AS r1, max(d0) FILTER (reviewer = 2) AS r2, count(DISTINCT reviewer) AS rated FROM ratings GROUP BY 1) SELECT item_id, r1, r2 FROM p WHERE rated = 2 AND (r1 IS NULL OR r2 IS NULL OR r1 <> r2)",
     "gold_conflicts": f"WITH {RQ._P}, {A.SQL_QRELS} SELECT md5(array_to_string({A.sql_words(RQ._TEXT)}, ' ')) AS family, count(DISTINCT grade) AS grades FROM papers JOIN qrels USING (id) GROUP BY 1 HAVING count(DISTINCT grade) > 1",
     "evidence_proposals": f"WITH {RQ._P}, {RQ._T}, j AS (SELECT topic_id, contains(lower({RQ._TEXT}), keywords[1]) AS a, contains(lower({RQ._TEXT}), keywords[2]) AS b FROM papers CROSS JOIN topics) SELECT topic_id, CASE WHEN a AND b THEN 'supported' ELSE 'ambiguous' END AS status, count(*) AS n FROM j WHERE a OR b GROUP BY 1, 2",
     "alternating_roles": f"WITH {A.SQL_LEDGER}, a AS (SELECT DISTINCT agent_id FROM ledger) SELECT agent_id, CASE WHEN (row_number() OVER (PARTITION BY agent_id % 3 ORDER BY agent_id) - 1 + 3) % 2 = 0 THEN 'leader' ELSE 'follower' END AS role FROM a",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from evidmill.plans import check_queries, retrieval_queries, study_queries
+from evidmill.plans import audit_queries, check_queries, retrieval_queries, study_queries
 
-QUERIES: dict = {**retrieval_queries.QUERIES, **study_queries.QUERIES, **check_queries.QUERIES}
-ORACLES: dict[str, str] = {**retrieval_queries.ORACLES, **study_queries.ORACLES, **check_queries.ORACLES}
+_PARTS = (retrieval_queries, study_queries, check_queries, audit_queries)
+QUERIES: dict = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
