@@ -282,11 +282,6 @@ dc AS (SELECT *, abs(kb - ab) > 1e-9 OR abs(kt - atp) > 1e-9 AS ch FROM dn)"""
 _AGENTS = f"{A.SQL_LEDGER}, ag AS (SELECT agent_id, agent_id % 3 AS field, round(avg(units), 3) AS reputation, count(DISTINCT action) AS topics, CAST(sum(units) AS BIGINT) AS energy, last(action ORDER BY entry_id) <> 'error' AS available, agent_id // 20 AS world FROM ledger GROUP BY 1)"
 _OFFERS = f"{_AGENTS}, fa AS (SELECT DISTINCT agent_id, agent_id % 3 AS f FROM ledger), of AS (SELECT x.agent_id AS leader, y.agent_id AS candidate, CASE WHEN x.f = y.f THEN 'same' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY x.agent_id, x.f = y.f ORDER BY sha256(x.agent_id || '|' || y.agent_id), y.agent_id) AS place FROM fa x JOIN fa y ON x.agent_id <> y.agent_id QUALIFY place <= CASE WHEN kind = 'same' THEN 1 ELSE 2 END)"
 _REQ = "rq AS (SELECT user_id % 2 AS model, ['balanced', 'novelty', 'recognition'][event_id % 3 + 1] AS policy, event_type AS stage, event_id // 3 AS draw, value < 90 AS ok, value < 70 AS fp, value BETWEEN 70 AND 80 AS rp, value AS latency, CAST(round(value) AS BIGINT) AS tokens, CASE WHEN event_id % 5 <> 0 THEN CAST(user_id % 3 AS VARCHAR) END AS action FROM events)"
-_IMPORT = f"""{_P}, rc AS (SELECT CAST(id AS BIGINT) AS n, * FROM papers), rk AS (SELECT *, CASE WHEN n % 5 = 0 THEN '10.1/a' || (n // 15) WHEN n % 7 = 0 THEN '10.1/a' || (n % 9) END AS doi, CASE WHEN n % 4 = 0 THEN '2401.' || lpad(CAST(n // 12 AS VARCHAR), 5, '0') END AS ax, md5(array_to_string({A.sql_words(_TEXT)}, ' ')) AS tx, CASE WHEN trim(title) = '' OR trim(abstract) = '' THEN 'missing' WHEN year >= 2026 THEN 'year_not_before_cutoff' END AS why FROM rc),
-sq AS (SELECT *, row_number() OVER (ORDER BY n) AS i FROM rk WHERE why IS NULL),
-st AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS canon, CAST([] AS STRUCT(d VARCHAR, a VARCHAR, t VARCHAR, id VARCHAR)[]) AS acc UNION ALL
-SELECT i, id, canon, CASE WHEN canon IS NULL THEN list_append(acc, {{'d': doi, 'a': ax, 't': tx, 'id': id}}) ELSE acc END FROM (SELECT s.i, s.id, s.doi, s.ax, s.tx, st.acc, coalesce(list_filter(st.acc, lambda x: x.a = s.ax)[1].id, list_filter(st.acc, lambda x: x.d = s.doi)[1].id, list_filter(st.acc, lambda x: x.t = s.tx)[1].id) AS canon FROM st JOIN sq s ON s.i = st.i + 1))"""
-
 ORACLES = {
     "gold_expansion": f"WITH {_P}, {_T}, {_FAM}, {A.SQL_QRELS}, {_GOLD}, j AS (SELECT topic_id, papers.id, family, grade, contains(lower({_TEXT}), keywords[1]) AND contains(lower({_TEXT}), keywords[2]) AS ok FROM gold JOIN fam USING (family) JOIN papers ON papers.id = fam.id JOIN topics USING (topic_id) WHERE grade >= 1) SELECT topic_id, id, family, grade AS old_grade, CASE WHEN ok THEN 'supported' ELSE 'ambiguous' END AS status, CASE WHEN ok THEN grade END AS proposed_grade FROM j",
     "gold_decisions": f"WITH {_DEC} SELECT * FROM dd",
@@ -296,7 +291,6 @@ inc AS (SELECT * FROM i0 UNION ALL SELECT * FROM i0 WHERE reviewer = 1 AND score
 SELECT CASE WHEN k > 1 THEN 'duplicate_row' WHEN stratum = 5 THEN 'unknown_item' WHEN (NOT unsure AND NOT coalesce(score IN (0, 1, 2), false)) OR rationale IS NULL THEN 'incomplete' WHEN old AND score IS NOT DISTINCT FROM os AND NOT unsure AND rationale = 'first' THEN 'unchanged' WHEN NOT old AND revision <> 1 THEN 'first_revision_not_one' WHEN old AND revision <= 1 THEN 'revision_not_higher' WHEN old AND NOT coalesce(changed, false) THEN 'no_change_reason' ELSE 'appended' END AS status, count(*) AS n FROM j GROUP BY 1""",
     "review_lifecycle": f"WITH {A.SQL_RATINGS}, g AS (SELECT stratum, count(*) AS requested, count(*) FILTER ((stratum = 1 OR (stratum > 1 AND d0 IS NOT NULL)) AND (stratum <> 2 OR reviewer = 1)) AS received FROM (SELECT DISTINCT stratum, item_id, reviewer, d0 FROM ratings) GROUP BY 1) SELECT *, CASE WHEN received = 0 THEN 'awaiting_external_reviews' WHEN received = requested THEN 'reviews_imported_complete' ELSE 'reviews_partially_imported' END AS status FROM g",
     "annotation_migration": f"WITH {SQ._RUN} SELECT run.query_id || '-' || run.id AS old_id, CASE WHEN run.query_id <> 3 THEN left(sha256(sha256(query) || '|' || sha256(title || '|' || abstract || '|' || year) || '|scope-1'), 24) END AS new_pair_id, run.query_id, run.id, CASE WHEN run.query_id <> 3 THEN 'matched' ELSE 'unmatched' END AS status FROM run JOIN q USING (query_id) JOIN papers ON papers.id = run.id WHERE rank <= 20",
-    "import_corpus": f"WITH RECURSIVE {_IMPORT} SELECT rk.id, why IS NULL AND canon IS NULL AS accepted, canon AS canonical_id, coalesce(why, 'duplicate_of:' || canon) AS reason FROM rk LEFT JOIN st USING (id)",
     "canonical_papers": f"WITH {_P}, {_FAM} SELECT min(id) AS id, family FROM fam GROUP BY family",
     "family_map_faults": f"WITH {_P}, {_FAM} SELECT family, count(DISTINCT CAST(id AS BIGINT) % 2) AS splits, CAST(1 AS BIGINT) AS leaders FROM fam GROUP BY 1 HAVING count(DISTINCT CAST(id AS BIGINT) % 2) > 1",
     "query_import_checks": f"WITH {_Q}, o AS (SELECT count(*) FILTER (trim(coalesce(query, '')) = '') AS a, count(*) FILTER (topic_id = 't05') AS b, count(*) FILTER (query_id % 9 = 0) AS c, count(*) - count(DISTINCT query_id) AS d FROM q), r AS (SELECT unnest(['complete', 'known_topics', 'known_splits', 'distinct_ids']) AS \"check\", unnest([a, b, c, d]) AS n FROM o) SELECT \"check\", n = 0 AS passed, n FROM r",
