@@ -1,9 +1,9 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Every vector is described by its nearest pivots, in order.  An inverted list
-per pivot holds the vectors that have it among their nearest; two vectors that
-meet in a list and share enough pivots are candidates, and their cosine is
-computed in double precision.
+per pivot holds the vectors that have it among the first of this order.  In a
+list the shared pivots of two whole descriptions are counted; pairs that share
+enough are candidates, and only their cosine is computed, in double precision.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from evidmill.llm.common import connected_components, discard, table, written
 
-#: Pivots nearest to a vector that describe it, shared pivots a candidate pair needs at least, and rows of a block.
-NEAREST, SHARED, BLOCK = 12, 2, 1024
+#: Pivots nearest to a vector that describe it, the first of them in whose lists it is, shared pivots of a candidate pair, and rows of a block.
+NEAREST, POSTED, SHARED, BLOCK = 12, 6, 3, 1024
 #: Bound of the sample of vectors that become pivots; it grows with the square root of the input up to it.
 MOST_PIVOTS = 16_384
 
@@ -72,7 +72,15 @@ def nearest_pivots(pivots: np.ndarray, nearest: int):
     return run
 
 
-def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared: int) -> pd.DataFrame:
+def _marks(descriptions: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A row per description and a column per pivot given: 1 where it occurs."""
+    out = np.zeros((len(descriptions), len(pivots) + 1), np.float32)
+    at = np.minimum(np.searchsorted(pivots, descriptions), len(pivots) - 1)
+    out[np.arange(len(descriptions))[:, None], np.where(pivots[at] == descriptions, at, len(pivots))] = 1
+    return out[:, :-1]
+
+
+def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared: int, posted: int) -> pd.DataFrame:
     """Links of one list's block, or of two blocks: partial counts per vector, and edges of a spanning forest of what is linked here."""
     a = pdf if diagonal else pdf[pdf["block"] == pdf["low"]]
     b = pdf if diagonal else pdf[pdf["block"] != pdf["low"]]
@@ -82,6 +90,8 @@ def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared:
     ua = _unit(a["vector"].tolist(), dim)
     ub = ua if diagonal else _unit(b["vector"].tolist(), dim)
     pa_, pb = np.array(a["pivots"].tolist()), np.array(b["pivots"].tolist())
+    common = np.intersect1d(pa_, pb)  # holds the list's own pivot
+    ma, mb = _marks(pa_, common), _marks(pb, common)
     ida, idb, na, nb = a["cls"].to_numpy(), b["cls"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
     count_a, count_b, parent = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), {}
 
@@ -91,7 +101,10 @@ def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared:
         return x
 
     for s in range(0, len(a), 256):
-        i, j = np.nonzero(ua[s : s + 256] @ ub.T >= least - 1e-12)
+        candidate = ma[s : s + 256] @ mb.T >= shared
+        if candidate.mean() > 0.1:  # so many that one product of the rows costs less than gathering them
+            candidate &= ua[s : s + 256] @ ub.T >= least - 1e-12
+        i, j = np.nonzero(candidate)
         i = i + s
         if diagonal:
             i, j = i[i < j], j[i < j]
@@ -99,11 +112,10 @@ def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared:
             ii, jj = i[t : t + 65_536], j[t : t + 65_536]
             exact = (ua[ii] * ub[jj]).sum(axis=1) >= least
             ii, jj = ii[exact], jj[exact]
-            same = pa_[ii][:, :, None] == pb[jj][:, None, :]
-            meet = same.any(axis=2)
-            # a pair belongs to the list of its smallest shared pivot alone
-            first = np.where(meet, pa_[ii], np.iinfo(np.int32).max).min(axis=1)
-            own = (meet.sum(axis=1) >= shared) & (first == pivot)
+            heads = pa_[ii, :posted]
+            meet = (heads[:, :, None] == pb[jj, None, :posted]).any(axis=2)
+            # a pair belongs to the smallest list alone of those that hold both
+            own = np.where(meet, heads, np.iinfo(np.int32).max).min(axis=1) == pivot
             ii, jj = ii[own], jj[own]
             np.add.at(count_a, ii, nb[jj])
             np.add.at(count_b, jj, na[ii])
@@ -117,8 +129,8 @@ def _pairs(pdf: pd.DataFrame, pivot: int, diagonal: bool, least: float, shared:
     return pd.DataFrame({"node": nodes, "n": [n[x] for x in nodes], "root": [find(x) for x in nodes]})
 
 
-def _worker(least: float, shared: int):
-    return lambda group, pdf: _pairs(pdf, int(group[0]), bool(group[1] == group[2]), least, shared)
+def _worker(least: float, shared: int, posted: int):
+    return lambda group, pdf: _pairs(pdf, int(group[0]), bool(group[1] == group[2]), least, shared, posted)
 
 
 def _forest(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -137,7 +149,7 @@ def _forest(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, nearest: int = NEAREST, posted: int = POSTED, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: key, n_links, component_id, kept.
 
     n_links counts the other rows whose cosine with this one is ``least`` or
@@ -148,16 +160,18 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     part, but names no component unless all of its keys are null.
 
     Pivots are a sample of at most MOST_PIVOTS vectors, 4 * sqrt(rows) of them,
-    drawn by hash and thinned by apart(); every vector is indexed.  A list longer than ``block`` is
-    worked off by pairs of blocks, each a task of its own, and a pair is counted
-    in the list of its smallest shared pivot only.  Recall against brute force
-    is measured in the tests.
+    drawn by hash and thinned by apart(); every vector is indexed, in the lists
+    of the first ``posted`` of its ``nearest`` pivots.  Candidates share at least
+    ``shared`` of ``nearest``.  A list longer than ``block`` is worked off by
+    pairs of blocks, each a task of its own, and a pair is counted only in the
+    list of the smallest pivot among those that hold both.  Recall against brute
+    force is measured in the tests.  Other columns of ``vectors`` are left out.
     """
-    base = vectors.select(F.col(key).alias("key"), F.when(usable(vector), F.col(vector).cast("array<double>")).alias("vector"))
+    base = vectors.select(F.col(key).alias("key"), F.when(usable(vector), F.col(vector)).alias("vector"))
     good = base.where("vector is not null").groupBy("vector").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     classes = written(good.withColumn("cls", F.monotonically_increasing_id()), "vectors")
     dims = [r["d"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("c")).where("c > 1").collect()]
-    links = None
+    links, spent = None, []
     for d in sorted(dims):
         part = classes.where(F.size("vector") == d)
         total = part.count()
@@ -165,21 +179,23 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         drawn = part.orderBy(F.xxhash64("vector"), "cls").limit(want).select("vector").collect()
         pivots = apart(_unit([r["vector"] for r in drawn], d))
         take = min(shared, len(pivots))
-        posted = part.withColumn("pivots", nearest_pivots(pivots, nearest)(F.col("vector")))
-        posted = written(posted, "posted")
-        rows = posted.select("cls", "n", "vector", "pivots", F.explode("pivots").alias("pivot"))
-        sizes = posted.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
+        described = written(part.withColumn("pivots", nearest_pivots(pivots, nearest)(F.col("vector"))), "described")
+        spent.append(described)
+        heads = F.slice("pivots", 1, posted)
+        rows = described.select("cls", "n", "vector", "pivots", F.explode(heads).alias("pivot"))
+        sizes = described.select(F.explode(heads).alias("pivot")).groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
         sizes = F.broadcast(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))  # a row per pivot, MOST_PIVOTS at most
         rows = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
         tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        found = rows.select("pivot", "low", "high", "block", "cls", "n", "vector", "pivots").repartition(tasks, "pivot", "low", "high").groupBy("pivot", "low", "high").applyInPandas(_worker(least, take), "node bigint, n bigint, root bigint")
+        found = rows.select("pivot", "low", "high", "block", "cls", "n", "vector", "pivots").repartition(tasks, "pivot", "low", "high").groupBy("pivot", "low", "high").applyInPandas(_worker(least, take, posted), "node bigint, n bigint, root bigint")
         links = found if links is None else links.union(found)
     out = classes.select("cls", "key", F.col("n").alias("copies"), "vector")
     if links is not None:
         links = written(links, "links")
+        discard(*spent)
         roots = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = links.groupBy("node").agg(F.sum("n").alias("n"))
         out = out.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(counts.withColumnRenamed("node", "cls"), "cls", "left")
