@@ -18,6 +18,8 @@ MIN_RELEVANCE, RELEVANCE_WEIGHT = 0.08, 0.75
 MIN_EVIDENCE, WINDOW_TOKENS, FIELD_CONTEXT = 0.8, 18, 0.05
 ALPHA, BETA_FIELD, BETA_MEMORY = 0.75, 0.05, 0.10
 K1, B, LAMBDA, CANDIDATES, OUTPUT = 1.2, 0.75, 0.10, 20, 10
+#: Counted rows up to which the terms of all queries are broadcast.
+BROADCAST_ROWS = 500_000
 DIGITS = 9
 
 
@@ -35,18 +37,23 @@ def bm25(papers: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     """query_id, id, score (rounded) of every pair that shares a token; pairs without one score 0 and are left out.
 
     A token repeated in a query counts each time.  Texts are split once, into
-    words that are written; only postings of query tokens are aggregated and
-    joined, and the corpus statistics are one row.
+    words that are written; only postings of query tokens are aggregated,
+    written and dealt by paper, so that what a paper gives to a query is summed
+    where its postings are.  The terms go to them by broadcast if they are
+    counted to be BROADCAST_ROWS at most, else both meet by token.  The corpus
+    statistics are one row.
     """
-    terms = queries.select("query_id", F.explode(T.all_words(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    terms = written(queries.select("query_id", F.explode(T.all_words(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "terms")
+    sent = F.broadcast if terms.count() <= BROADCAST_ROWS else lambda df: df
     # a generator keeps the title's and abstract's expressions from being computed again inside the words'
     texts = papers.select("id", F.explode(F.array(content())).alias("text"))
     docs = written(texts.select("id", T.all_words(F.col("text")).alias("words")), "words")
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length"))
-    wanted = terms.select("token").distinct()
+    wanted = sent(terms.select("token").distinct())
     hits = docs.select("id", F.size("words").alias("length"), F.explode("words").alias("token")).join(wanted, "token", "left_semi").groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+    hits = written(hits, "postings")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(terms.join(df, "token"), "token").crossJoin(F.broadcast(stats))
+    scored = hits.repartition("id").join(sent(terms.join(df, "token")), "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
@@ -57,8 +64,8 @@ def bm25_topk(papers: DataFrame, queries: DataFrame, k: int = OUTPUT) -> DataFra
 
 
 def jaccard_hits(papers: DataFrame, queries: DataFrame, field: bool = True) -> DataFrame:
-    """query_id, id, score: token-set Jaccard of pairs that share a token, by an inverted join."""
-    d = papers.select("id", T.token_set(content(field)).alias("w")).select("id", F.size("w").alias("nd"), F.explode("w").alias("token"))
+    """query_id, id, score: token-set Jaccard of pairs that share a token, by an inverted join; every text is split once."""
+    d = papers.select("id", _once(T.token_set(content(field))).alias("w")).select("id", F.size("w").alias("nd"), F.explode("w").alias("token"))
     q = queries.select("query_id", T.token_set(F.col("query")).alias("w")).select("query_id", F.size("w").alias("nq"), F.explode("w").alias("token"))
     both = d.join(q, "token").groupBy("query_id", "id", "nd", "nq").agg(F.count("*").alias("both"))
     return both.select("query_id", "id", F.round(F.col("both") / (F.col("nd") + F.col("nq") - F.col("both")), DIGITS).alias("score"))

@@ -17,8 +17,18 @@ def tables(spark: SparkSession, sf: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf}/{n}.parquet") for n in names]
 
 
+def spread(df: DataFrame, key: str, least: int = 16 << 20) -> DataFrame:
+    """Deals the rows of an input with less than ``least`` bytes a core over all cores: its few row groups would keep most of them idle.
+
+    A larger input is left as its files are split, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < least * cores else df
+
+
 def papers(spark: SparkSession, sf: str) -> DataFrame:
-    d = tables(spark, sf, "documents")[0]
+    d = spread(tables(spark, sf, "documents")[0].select("doc_id", "text"), "doc_id")
     title = F.split_part(F.coalesce("text", F.lit("")), F.lit("."), F.lit(1))
     return d.select(
         F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"),
