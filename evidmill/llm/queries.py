@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidmill.llm import attention_lm, embed_dedup, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count, weak_classifier
+from evidmill.llm import attention_lm, conversation_repair, decontaminate, embed_dedup, hard_negatives, html_extract, ngram_join, packing, pii, quality_rules, spm_codec, token_count, weak_classifier
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_sentencepiece": spm_codec.op8_sentencepiece,
         "op9_pii": pii.op9_pii,
         "op10_token_counts": token_count.op10_token_counts,
+        "op11_benchmark_decontamination": decontaminate.op11_benchmark_decontamination,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.OP2_SQL,
         "op3_ngram_jaccard_join": ngram_join.OP3_SQL,
         "op9_pii": pii.OP9_SQL,
+        "op11_benchmark_decontamination": decontaminate.OP11_SQL,
+        "op12_conversation_repair": conversation_repair.OP12_SQL,
+        "op13_hard_negatives": hard_negatives.OP13_SQL,
     }
