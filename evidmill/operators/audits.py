@@ -91,10 +91,11 @@ def view_metrics(runs: DataFrame, views: DataFrame, k: int) -> DataFrame:
     """view, ranker, topic_id (or 'all'), n_queries, mean_ndcg, mean_precision at k, over judged documents of each label view.
 
     ``runs`` has ranker, query_id, topic_id, id, rank; ``views`` view, id,
-    grade.  Unjudged documents leave the run and the others move up; ideal gain
+    grade, and query_id if grades differ by query.  Unjudged documents leave the run and the others move up; ideal gain
     comes from the query's judged documents in the run.
     """
-    j = runs.join(views.where("grade is not null"), "id")
+    on = [c for c in views.columns if c not in ("view", "grade")]
+    j = runs.join(views.where("grade is not null"), on)
     by = ["view", "ranker", "query_id", "topic_id"]
     j = j.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("rank"))).withColumn("ideal", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("grade"), "rank")))
     sums = lambda p: F.sum(F.when(F.col(p) <= k, gain(F.col("grade"), F.col(p))).otherwise(0.0))

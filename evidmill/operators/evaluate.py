@@ -1,6 +1,8 @@
 """Evaluation of rankings against graded, partly missing judgements.
 
 Throughout, a missing grade is unknown, not 0; a rate over nothing is null.
+Judgements have id and grade, and whatever else they are keyed by: with
+query_id (or topic_id) a grade holds for that query alone, without for all.
 """
 
 from __future__ import annotations
@@ -9,23 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidmill.operators.judged import gain, scopes
 
-def gain(grade: Column, rank: Column) -> Column:
-    return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
+
+def keys_of(grades: DataFrame) -> list[str]:
+    """What judgements are keyed by besides the document."""
+    return [c for c in grades.columns if c not in ("id", "grade")]
+
+
+def _with(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of judgements beside each row: those of its key, or the one row over all."""
+    return df.join(totals, keys, "left") if keys else df.crossJoin(F.broadcast(totals))
 
 
 def ranked_metrics(run: DataFrame, grades: DataFrame, k: int, by: str = "query_id", strict: int = 1) -> DataFrame:
     """Per group: returned, judged, unjudged, precision_at_k with bounds, precision_judged, dcg, ndcg, recall, null reasons.
 
-    ``run`` has the group, rank and id; judgements are by id.  The scope of a
+    ``run`` has the group, rank and id; judgements are by id or by query_id and id.  The scope of a
     group is its whole run; nDCG and recall are null unless all of it is judged,
-    and compare with all judgements, in the run or not.
+    and compare with all judgements of the query, in the run or not.  ``by`` must
+    hold what judgements are keyed by.
     ``strict`` is the grade from which a document is relevant.
     """
-    j = run.join(grades, "id", "left")
-    best = grades.where("grade is not null").orderBy(F.desc("grade"), "id").limit(k).withColumn("ideal", F.row_number().over(W.orderBy(F.desc("grade"), "id")))  # k rows
-    best = best.agg(F.coalesce(F.sum(gain(F.col("grade"), F.col("ideal"))), F.lit(0.0)).alias("idcg"))
-    supply = grades.agg(F.count_if(F.col("grade") >= strict).alias("supply"))
+    keys = keys_of(grades)
+    j = run.join(grades, [*keys, "id"], "left")
+    best = scopes(grades, keys, (k,), (strict,)).select(*keys, F.col(f"idcg_{k}").alias("idcg"), F.col(f"supply_{strict}").alias("supply"))
     inside, rel = F.col("rank") <= k, F.col("grade") >= strict
     g = j.groupBy(by).agg(
         F.count_if(inside).alias("returned"),
@@ -34,7 +44,7 @@ def ranked_metrics(run: DataFrame, grades: DataFrame, k: int, by: str = "query_i
         F.coalesce(F.sum(F.when(inside, gain(F.col("grade"), F.col("rank")))), F.lit(0.0)).alias("dcg"),
         F.count_if(F.col("grade").isNull()).alias("unknown"),
     )
-    g = g.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(supply))  # a row each
+    g = _with(g, best, keys).na.fill({"idcg": 0.0, "supply": 0})
     un = F.col("returned") - F.col("judged")
     complete = F.col("unknown") == 0
     r = lambda c: F.round(c, 6)
@@ -58,13 +68,14 @@ def ranked_metrics(run: DataFrame, grades: DataFrame, k: int, by: str = "query_i
 
 def selection_metrics(run: DataFrame, grades: DataFrame, families: DataFrame, k: int = 3) -> DataFrame:
     """Per query: families found over min(3, all relevant families), recall over all of them, precision over judged rows, duplicate pair ratio."""
-    j = run.join(families, "id").join(grades, "id", "left").withColumn("sel", F.col("rank") <= k)
-    gold = grades.where("grade >= 1").join(families, "id").agg(F.countDistinct("family").alias("gold"))
+    keys = keys_of(grades)
+    j = run.join(families, "id").join(grades, [*keys, "id"], "left").withColumn("sel", F.col("rank") <= k)
+    gold = grades.where("grade >= 1").join(families, "id").groupBy(*keys).agg(F.countDistinct("family").alias("gold"))
     found = F.countDistinct(F.when(F.col("sel") & (F.col("grade") >= 1), F.col("family")))
     twins = j.where("sel").groupBy("query_id", "family").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("dup"), F.sum("n").alias("m"))
     g = j.groupBy("query_id").agg(found.alias("found"), F.count_if(F.col("sel") & (F.col("grade") >= 1)).alias("pos"), F.count_if(F.col("sel") & F.col("grade").isNotNull()).alias("num"), F.count_if(F.col("sel") & F.col("grade").isNull()).alias("unjudged"))
     pairs = F.col("m") * (F.col("m") - 1) / 2
-    return g.join(twins, "query_id").crossJoin(F.broadcast(gold)).select(
+    return _with(g.join(twins, "query_id"), gold, keys).na.fill(0, ["gold"]).select(
         "query_id",
         F.round(F.try_divide(F.col("found"), F.least(F.lit(3), F.col("gold"))), 6).alias("capacity_coverage"),
         F.round(F.try_divide(F.col("found"), F.col("gold")), 6).alias("family_recall"),
@@ -78,24 +89,29 @@ def cutoffs(run: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (3, 5, 10))
     """Mean judged precision, mean relevant and share without judgements, by topic and k and over all topics (grouping sets)."""
     spark = run.sparkSession
     dim = spark.createDataFrame([(k,) for k in ks], "k int").coalesce(1)
-    per = run.crossJoin(F.broadcast(dim)).where(F.col("rank") <= F.col("k")).join(grades, "id", "left").groupBy("query_id", "topic_id", "k").agg(F.count("grade").alias("judged"), F.count_if(F.col("grade") >= 1).alias("rel"))
+    per = run.crossJoin(F.broadcast(dim)).where(F.col("rank") <= F.col("k")).join(grades, [*keys_of(grades), "id"], "left").groupBy("query_id", "topic_id", "k").agg(F.count("grade").alias("judged"), F.count_if(F.col("grade") >= 1).alias("rel"))
     return spark.sql("""SELECT coalesce(topic_id, 'all') AS topic_id, k, count(*) AS n_queries, round(avg(try_divide(rel, judged)), 6) AS mean_precision,
         round(avg(rel), 6) AS mean_relevant, round(avg(if(judged = 0, 1, 0)), 6) AS unjudged_rate FROM {per} GROUP BY GROUPING SETS ((topic_id, k), (k))""", per=per)
 
 
-def candidate_recall(run: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
+def candidate_recall(run: DataFrame, grades: DataFrame, corpus: DataFrame | None = None, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
     """query_id, k, grade_rule, recall: relevant documents within k over all judged relevant ones; k "all" is the whole ranking.
 
     ``run`` needs the first ``max(ks)`` ranks.  A whole ranking holds every
-    paper, those that share no token last, so its recall is 1 where there is
-    anything to find.
+    document of ``corpus`` (id), those that share no token last; relevant ones that
+    are not there lower it.  Without a corpus there is no "all".
     """
-    rules = (1, 2)
-    total = grades.agg(*[F.count_if(F.col("grade") >= g).alias(f"t{g}") for g in rules])
-    j = run.join(grades, "id", "left")
-    found = j.groupBy("query_id").agg(*[F.count_if((F.col("rank") <= k) & (F.col("grade") >= g)).alias(f"f{k}_{g}") for k in ks for g in rules]).crossJoin(F.broadcast(total))
+    rules, keys = (1, 2), keys_of(grades)
+    count = lambda name: [F.count_if(F.col("grade") >= g).alias(f"{name}{g}") for g in rules]
+    total = grades.groupBy(*keys).agg(*count("t"))
+    j = run.join(grades, [*keys, "id"], "left")
+    found = _with(j.groupBy("query_id").agg(*[F.count_if((F.col("rank") <= k) & (F.col("grade") >= g)).alias(f"f{k}_{g}") for k in ks for g in rules]), total, keys)
     row = lambda k, g, n: F.struct(F.lit(str(k)).alias("k"), F.lit(g).alias("grade_rule"), F.round(F.try_divide(n, F.col(f"t{g}")), 6).alias("recall"))
-    cols = [row(k, g, F.col(f"f{k}_{g}")) for k in ks for g in rules] + [row("all", g, F.col(f"t{g}")) for g in rules]
+    cols = [row(k, g, F.col(f"f{k}_{g}")) for k in ks for g in rules]
+    if corpus is not None:
+        held = grades.join(corpus.select("id").distinct(), "id", "left_semi").groupBy(*keys).agg(*count("a"))
+        found = _with(found, held, keys)
+        cols += [row("all", g, F.coalesce(f"a{g}", F.lit(0))) for g in rules]
     return found.select("query_id", F.explode(F.array(*cols)).alias("r")).select("query_id", "r.*")
 
 
@@ -111,7 +127,7 @@ def loss_by_stage(trace: DataFrame, grades: DataFrame, by: str = "topic_id") ->
     """Per group and stage: entered, lost, and the same of relevant documents with their conditional loss rate."""
     spark = trace.sparkSession
     dim = spark.createDataFrame(list(enumerate(STAGES)), "pos int, stage string").coalesce(1)
-    j = trace.join(grades, "id", "left").withColumn("rel", F.coalesce(F.col("grade") >= 1, F.lit(False)))
+    j = trace.join(grades, [*keys_of(grades), "id"], "left").withColumn("rel", F.coalesce(F.col("grade") >= 1, F.lit(False)))
     lost = j.groupBy(by, F.col("reason").alias("stage")).agg(F.count("*").alias("lost"), F.count_if("rel").alias("lost_relevant"))
     total = j.groupBy(by).agg(F.count("*").alias("n"), F.count_if("rel").alias("nrel"))
     full = total.crossJoin(F.broadcast(dim)).join(lost, [by, "stage"], "left").na.fill(0, ["lost", "lost_relevant"])
@@ -124,7 +140,7 @@ def ranking_regression(base: DataFrame, other: DataFrame, grades: DataFrame, k:
     """Per query: documents that entered and left the first k, and the change of DCG."""
     a = base.where(F.col("rank") <= k).select("query_id", "id", F.col("rank").alias("ra"))
     b = other.where(F.col("rank") <= k).select("query_id", "id", F.col("rank").alias("rb"))
-    j = a.join(b, ["query_id", "id"], "full").join(grades, "id", "left")
+    j = a.join(b, ["query_id", "id"], "full").join(grades, [*keys_of(grades), "id"], "left")
     part = lambda r: F.when(F.col(r).isNotNull(), F.coalesce(gain(F.col("grade"), F.col(r)), F.lit(0.0))).otherwise(0.0)
     return j.groupBy("query_id").agg(F.count_if(F.col("ra").isNull()).alias("entered"), F.count_if(F.col("rb").isNull()).alias("exited"), F.round(F.sum(part("rb") - part("ra")), 6).alias("delta_dcg"))
 

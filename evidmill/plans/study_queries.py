@@ -148,7 +148,7 @@ QUERIES = {
     "strict_metrics": lambda s, d: evaluate.ranked_metrics(_run(s, d).join(A.qrels(s, d), "id", "left_semi"), A.qrels(s, d), 5, strict=2),
     "selection_metrics": lambda s, d: evaluate.selection_metrics(_run(s, d), A.qrels(s, d), _families(s, d)),
     "metrics_grouping_sets": lambda s, d: evaluate.cutoffs(_run(s, d), A.qrels(s, d)),
-    "candidate_recall": lambda s, d: evaluate.candidate_recall(_run(s, d), A.qrels(s, d)),
+    "candidate_recall": lambda s, d: evaluate.candidate_recall(_run(s, d), A.qrels(s, d), A.papers(s, d)),
     "exclusion_trace": lambda s, d: _trace(s, d).groupBy("topic_id", "reason").agg(F.count("*").alias("n")),
     "loss_by_stage": lambda s, d: evaluate.loss_by_stage(_trace(s, d), A.qrels(s, d)),
     "ranking_regression": lambda s, d: evaluate.ranking_regression(_run(s, d), R.jaccard_topk(A.papers(s, d), A.bench_queries(s, d), 20), A.qrels(s, d)),
@@ -242,7 +242,7 @@ ORACLES = {
     "strict_metrics": _metrics(2, True),
     "selection_metrics": f"WITH {_RUN}, {_FAM}, {A.SQL_QRELS}, j AS (SELECT run.query_id, run.id, family, grade, rank <= 3 AS sel FROM run JOIN fam USING (id) LEFT JOIN qrels USING (id) WHERE rank <= 20), g AS (SELECT query_id, (SELECT count(DISTINCT family) FROM qrels JOIN fam USING (id) WHERE grade >= 1) AS gold, count(DISTINCT family) FILTER (sel AND grade >= 1) AS found, count(*) FILTER (sel AND grade >= 1) AS pos, count(grade) FILTER (sel) AS num, count(*) FILTER (sel AND grade IS NULL) AS unjudged, count(*) FILTER (sel) AS m FROM j GROUP BY 1), t AS (SELECT a.query_id, count(*) FILTER (a.family = b.family) AS dup FROM j a JOIN j b ON a.query_id = b.query_id AND a.id < b.id AND a.sel AND b.sel GROUP BY 1) SELECT query_id, round(CASE WHEN gold > 0 THEN found / least(3, gold) END, 6) AS capacity_coverage, round(CASE WHEN gold > 0 THEN found / gold END, 6) AS family_recall, round(CASE WHEN num > 0 THEN pos / num END, 6) AS document_precision, unjudged, round(CASE WHEN m > 1 THEN coalesce(dup, 0) / (m * (m - 1) / 2) ELSE 0 END, 6) AS duplicate_pair_ratio FROM g LEFT JOIN t USING (query_id)",
     "metrics_grouping_sets": f"WITH {_RUN}, {A.SQL_QRELS}, c AS (SELECT query_id, topic_id, k, count(grade) AS judged, count(*) FILTER (grade >= 1) AS rel FROM (SELECT * FROM run CROSS JOIN (VALUES (3), (5), (10)) AS v(k) WHERE rank <= k) LEFT JOIN qrels USING (id) GROUP BY 1, 2, 3) SELECT coalesce(topic_id, 'all') AS topic_id, k, count(*) AS n_queries, round(avg(CASE WHEN judged > 0 THEN rel / judged END), 6) AS mean_precision, round(avg(rel), 6) AS mean_relevant, round(avg(CASE WHEN judged = 0 THEN 1 ELSE 0 END), 6) AS unjudged_rate FROM c GROUP BY GROUPING SETS ((topic_id, k), (k))",
-    "candidate_recall": f"WITH {_RUN}, {A.SQL_QRELS}, j AS (SELECT query_id, rank, grade FROM run LEFT JOIN qrels USING (id)) SELECT query_id, k, CAST(g AS INTEGER) AS grade_rule, round(CASE WHEN any_value(t) > 0 THEN CASE WHEN k = 'all' THEN any_value(t) ELSE count(*) FILTER (grade >= g AND rank <= try_cast(k AS INTEGER)) END / any_value(t) END, 6) AS recall FROM j CROSS JOIN (VALUES ('10'), ('20'), ('all')) AS a(k) CROSS JOIN (SELECT g, (SELECT count(*) FROM qrels WHERE grade >= g) AS t FROM (VALUES (1), (2)) AS v(g)) AS b GROUP BY query_id, k, g",
+    "candidate_recall": f"WITH {_RUN}, {A.SQL_QRELS}, j AS (SELECT query_id, rank, grade FROM run LEFT JOIN qrels USING (id)) SELECT query_id, k, CAST(g AS INTEGER) AS grade_rule, round(CASE WHEN any_value(t) > 0 THEN CASE WHEN k = 'all' THEN any_value(held) ELSE count(*) FILTER (grade >= g AND rank <= try_cast(k AS INTEGER)) END / any_value(t) END, 6) AS recall FROM j CROSS JOIN (VALUES ('10'), ('20'), ('all')) AS a(k) CROSS JOIN (SELECT g, (SELECT count(*) FROM qrels WHERE grade >= g) AS t, (SELECT count(*) FROM qrels WHERE grade >= g AND id IN (SELECT id FROM papers)) AS held FROM (VALUES (1), (2)) AS v(g)) AS b GROUP BY query_id, k, g",
     "exclusion_trace": f"WITH {_TRACE} SELECT topic_id, reason, count(*) AS n FROM trace GROUP BY 1, 2",
     "loss_by_stage": f"WITH {_TRACE}, {A.SQL_QRELS}, j AS (SELECT topic_id, reason, coalesce(grade >= 1, false) AS rel FROM trace LEFT JOIN qrels USING (id)), st AS (SELECT * FROM (VALUES (0, 'topic_gate'), (1, 'candidate_truncation'), (2, 'deduplication'), (3, 'final_topk')) AS v(pos, stage)), c AS (SELECT t.topic_id, st.pos, st.stage, count(j.topic_id) FILTER (j.reason = st.stage) AS lost, count(*) FILTER (j.reason = st.stage AND rel) AS lost_relevant, count(*) FILTER (j.reason IS NULL OR (SELECT pos FROM st s2 WHERE s2.stage = j.reason) >= st.pos) AS entered, count(*) FILTER (rel AND (j.reason IS NULL OR (SELECT pos FROM st s2 WHERE s2.stage = j.reason) >= st.pos)) AS entered_relevant FROM topics t CROSS JOIN st JOIN j ON j.topic_id = t.topic_id GROUP BY 1, 2, 3) SELECT topic_id, stage, entered, lost, entered_relevant, lost_relevant, round(CASE WHEN entered_relevant > 0 THEN lost_relevant / entered_relevant END, 6) AS conditional_loss FROM c",
     "ranking_regression": f"WITH {_RUN}, {_JRUN}, {A.SQL_QRELS}, b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rb FROM hits QUALIFY rb <= 5), a AS (SELECT query_id, id, rank AS ra FROM run WHERE rank <= 5), f AS (SELECT * FROM a FULL JOIN b USING (query_id, id) LEFT JOIN qrels USING (id)) SELECT query_id, count(*) FILTER (ra IS NULL) AS entered, count(*) FILTER (rb IS NULL) AS exited, round(sum(coalesce((pow(2, grade) - 1) / log2(rb + 1), 0) - coalesce((pow(2, grade) - 1) / log2(ra + 1), 0)), 6) AS delta_dcg FROM f GROUP BY 1",

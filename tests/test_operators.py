@@ -182,7 +182,7 @@ def test_empty_groups_and_phrases_are_no_evidence(spark):
 def test_recall_counts_what_the_run_has_not(spark):
     run = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query_id int, id string, rank int")
     grades = spark.createDataFrame([("a", 2), ("b", 0), ("far", 2), ("off", 1)], "id string, grade int")
-    got = {(r["k"], r["grade_rule"]): r["recall"] for r in evaluate.candidate_recall(run, grades).collect()}
+    got = {(r["k"], r["grade_rule"]): r["recall"] for r in evaluate.candidate_recall(run, grades, grades).collect()}
     assert got == {("10", 1): round(1 / 3, 6), ("20", 1): round(1 / 3, 6), ("all", 1): 1.0, ("10", 2): 0.5, ("20", 2): 0.5, ("all", 2): 1.0}
     m = evaluate.ranked_metrics(run, grades, 2).first()
     assert m["recall"] == round(1 / 3, 6) and m["ndcg"] == round(3 / (3 + 3 / 1.584962500721156), 6)
