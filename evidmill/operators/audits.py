@@ -59,7 +59,7 @@ def quality_gates(means: DataFrame, base: str, new: str, topic: str, macro: floa
     n = means.where(F.col("ranker") == new).select("topic_id", F.col("mean_capacity_coverage").alias("x"), "empty_results", "all_irrelevant_returns")
     b = means.where(F.col("ranker") == base).select("topic_id", F.col("mean_capacity_coverage").alias("y"))
     one = n.join(b, "topic_id", "left").agg(
-        F.max(F.when(F.col("topic_id") == topic, F.col("x"))).alias("named"), F.avg("x").alias("macro"), F.min("x").alias("least"), F.greatest(F.lit(0.0), F.max(F.when(F.col("y") >= 0.8, F.col("y") - F.col("x")))).alias("drop"),
+        F.max(F.when(F.col("topic_id") == topic, F.col("x"))).alias("named"), F.avg("x").alias("macro"), F.min("x").alias("least"), F.when(F.count("y") > 0, F.greatest(F.lit(0.0), F.max(F.when(F.col("y") >= 0.8, F.col("y") - F.col("x"))))).alias("drop"),
         F.sum(F.when(F.col("x").isNotNull(), F.col("empty_results") + F.col("all_irrelevant_returns"))).cast("double").alias("zero"),
     )
     row = lambda name, c, ok: F.struct(F.lit(name).alias("check"), r6(F.col(c)).alias("value"), F.coalesce(ok, F.lit(False)).alias("passed"))
@@ -222,16 +222,22 @@ def population(effort: DataFrame, projects: DataFrame, texts: DataFrame) -> Data
     return j.select("project_id", F.when(F.col("contributors") >= 2, "team").otherwise("solo").alias("output_type"), "contributors", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
 
 
-def blind_export(cards: DataFrame, secret: list[str], public: list[str], salt: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables under one hashed review_id: what reviewers see, and the key.  A column in both, or a secret value in a public text, raises."""
+def blind_export(cards: DataFrame, secret: list[str], public: list[str], salt: str, sought: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two tables under one hashed review_id: what reviewers see, and the key.
+
+    A column in both raises; so does, when read, a public text that holds a
+    value of its row's secret columns as a run of whole words, however short and
+    whatever the case and punctuation.  ``sought`` names those of the secret columns whose
+    values are sought, if not all: a year, say, may stand in a text by chance.
+    """
     if set(secret) & set(public):
         raise ValueError("a column can't be both public and secret")
     rid = F.concat(F.lit("rvw_"), F.left(F.sha2(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in secret]), 256), F.lit(24)))
+    words = lambda c: F.concat(F.lit(" "), T.normalized(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(" "))
     leak = F.lit(False)
     for p in public:
-        for c in secret:
-            value = F.col(c).cast("string")
-            leak = leak | (F.coalesce(F.length(value) > 7, F.lit(False)) & F.coalesce(F.col(p).cast("string").contains(value), F.lit(False)))
+        for c in secret if sought is None else sought:
+            leak = leak | ((F.trim(words(c)) != "") & F.contains(words(p), words(c)))
     safe = F.when(leak, F.raise_error(F.lit("a public text holds a secret value"))).otherwise(rid)
     return cards.select(safe.alias("review_id"), *public), cards.select(rid.alias("review_id"), *secret)
 

@@ -56,22 +56,33 @@ def keyed_random(seed: int, *keys: object) -> random.Random:
     return random.Random(int(hashlib.sha256(text.encode()).hexdigest()[:16], 16))
 
 
-COLUMNS = ["comparison", "stratum", "treatment", "metric", "n_pairs", "ci_low", "ci_high"]
+COLUMNS = ["comparison", "stratum", "treatment", "metric", "n_pairs", "ci_low", "ci_high", "status"]
 
 
-def bootstrap(diffs: DataFrame, seed: int = 202, replicates: int = 2000) -> DataFrame:
-    """Percentile interval with a Mersenne Twister keyed by the effect: one group per effect, resampled in its own task; null below two values."""
+def bootstrap(diffs: DataFrame, seed: int = 202, replicates: int = 2000, seeds: list[int] | None = None) -> DataFrame:
+    """Percentile interval of the mean difference of each effect, and status: complete or incomplete.
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("seed")["diff"].tolist()
-        if len(values) < 2:
-            return pd.DataFrame([[*key, len(values), None, None]], columns=COLUMNS).astype({"ci_low": "float64", "ci_high": "float64"})
+    With ``seeds``, the seeds of the experiment, an effect is complete only if
+    it has one known difference for each of them and no other; an incomplete
+    one keeps its count but gets no interval, so that no part passes for the
+    whole.  Fewer than two values have no interval either.  The resampling
+    generator is keyed by the effect, whose differences (one a seed) are one task's.
+    """
+    wanted = None if seeds is None else sorted(seeds)
+
+    def interval(key: tuple, values: list[float]) -> tuple[float, float]:
         source = keyed_random(seed, *map(str, key))
         means = sorted(statistics.mean(source.choices(values, k=len(values))) for _ in range(replicates))
         low, high = max(0, math.floor(0.025 * replicates) - 1), min(replicates - 1, math.ceil(0.975 * replicates) - 1)
-        return pd.DataFrame([[*key, len(values), means[low], means[high]]], columns=COLUMNS)
+        return means[low], means[high]
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf.dropna(subset=["diff"]).sort_values("seed")
+        whole = wanted is None or known["seed"].tolist() == wanted
+        ends = interval(key, known["diff"].tolist()) if whole and len(known) > 1 else (None, None)
+        return pd.DataFrame([[*key, len(known), *ends, "complete" if whole else "incomplete"]], columns=COLUMNS).astype({"ci_low": "float64", "ci_high": "float64"})
 
-    return diffs.groupBy("comparison", "stratum", "treatment", "metric").applyInPandas(one, "comparison string, stratum string, treatment string, metric string, n_pairs bigint, ci_low double, ci_high double")
+    return diffs.groupBy("comparison", "stratum", "treatment", "metric").applyInPandas(one, "comparison string, stratum string, treatment string, metric string, n_pairs bigint, ci_low double, ci_high double, status string")
 
 
 def flow_decomposition(branches: DataFrame) -> DataFrame:

@@ -23,25 +23,28 @@ def expanded(qrels: DataFrame, families: DataFrame, papers: DataFrame, topics: D
     return j.select("topic_id", "id", "family", F.col("grade").alias("old_grade"), F.when(every, "supported").otherwise("ambiguous").alias("status"), F.when(every, F.col("grade")).alias("proposed_grade"))
 
 
-def decided(template: DataFrame, decisions: DataFrame, version: str) -> DataFrame:
+def decided(template: DataFrame, decisions: DataFrame, version: str, base: str | None = None) -> DataFrame:
     """review_id, topic_id, family, fault, proposed_grade of every decision; a fault is null or the first rule broken.
 
     ``template`` has review_id, topic_id, family, old_grade and text;
     ``decisions`` review_id, review_version, decision, grade, rationale,
-    excerpt, reviewer_id.  retain keeps the old grade, revise needs 0, 1 or 2,
-    insufficient_information has none; an excerpt must occur in the text,
-    whatever its case.
+    excerpt, reviewer_id, reviewed_at and, if ``base`` is given, base_hash, which
+    must equal it: a decision on other judgements is an unknown review.  retain
+    keeps the old grade, revise needs 0, 1 or 2, insufficient_information has
+    none; an excerpt must occur in the text, whatever its case, so a template
+    without a text accepts none.
     """
     d = decisions.withColumn("excerpt", F.trim(F.coalesce("excerpt", F.lit("")))).join(template.withColumn("__known", F.lit(True)), "review_id", "left")
     blank = F.lit(False)
-    for c in ("rationale", "excerpt", "reviewer_id"):
-        blank = blank | (F.trim(F.coalesce(c, F.lit(""))) == "")
+    for c in ("rationale", "excerpt", "reviewer_id", "reviewed_at"):
+        blank = blank | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
+    other = F.lit(False) if base is None else ~F.col("base_hash").eqNullSafe(F.lit(base))
     fault = (
-        F.when(F.col("__known").isNull() | ~F.col("review_version").eqNullSafe(F.lit(version)), "unknown_review")
+        F.when(F.col("__known").isNull() | ~F.col("review_version").eqNullSafe(F.lit(version)) | other, "unknown_review")
         .when(~F.coalesce(F.col("decision").isin("retain", "revise", "insufficient_information"), F.lit(False)), "invalid_decision")
         .when((F.col("decision") == "revise") & ~F.coalesce(F.col("grade").isin(0, 1, 2), F.lit(False)), "invalid_grade")
         .when(blank, "incomplete")
-        .when(~F.lower("text").contains(F.lower("excerpt")), "excerpt_not_in_text")
+        .when(~F.coalesce(F.lower("text").contains(F.lower("excerpt")), F.lit(False)), "excerpt_not_in_text")
     )
     grade = F.when(F.col("decision") == "retain", F.col("old_grade")).when(F.col("decision") == "revise", F.col("grade"))
     return d.withColumn("fault", fault).select("review_id", "topic_id", "family", "fault", F.when(F.col("fault").isNull(), grade).alias("proposed_grade"))
@@ -54,26 +57,30 @@ def overlaid(qrels: DataFrame, decisions: DataFrame) -> DataFrame:
     return j.select("topic_id", "family", F.coalesce("new", "grade").alias("grade"), F.when(F.col("new").isNull(), "unreviewed_retained").otherwise("revised").alias("decision_status"))
 
 
-def rating_import(history: DataFrame, incoming: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Every incoming rating (item_id, reviewer, score, unsure, rationale, revision, change_reason) with its status.
+RATED = ("score", "unsure", "rationale", "rated_at")
+
+
+def rating_import(history: DataFrame, incoming: DataFrame, allowed: DataFrame, pool: str | None = None) -> DataFrame:
+    """Every incoming rating (item_id, reviewer, score, unsure, rationale, rated_at, revision, change_reason) with its status.
 
     appended; unchanged if it repeats the last one; or a fault: duplicate_row,
-    unknown_item, incomplete (no score of 0 to 2 though not unsure, or no
-    rationale), first_revision_not_one, revision_not_higher, no_change_reason.
-    ``allowed`` has the pairs item_id, reviewer that were asked for.
+    unknown_item, incomplete (no score of 0 to 2 though not unsure, no
+    rationale or no rated_at), first_revision_not_one, revision_not_higher,
+    no_change_reason.  ``allowed`` has the pairs item_id, reviewer that were asked
+    for; with ``pool``, rows of another pool_version are unknown items too.
     """
     key = ["item_id", "reviewer"]
-    last = history.groupBy(*key).agg(F.max_by(F.struct("score", "unsure", "rationale", "revision"), "revision").alias("old"))
+    last = history.groupBy(*key).agg(F.max_by(F.struct(*RATED, "revision"), "revision").alias("old"))
     j = incoming.withColumn("__n", F.count("*").over(W.partitionBy(*key))).join(last, key, "left").join(allowed.select(*key).distinct().withColumn("__asked", F.lit(True)), key, "left")
     unsure = F.coalesce("unsure", F.lit(False))
     same = F.lit(True)
-    for c in ("score", "unsure", "rationale"):
+    for c in RATED:
         same = same & F.col(c).eqNullSafe(F.col(f"old.{c}"))
     new = F.col("old").isNull()
     status = (
         F.when(F.col("__n") > 1, "duplicate_row")
-        .when(F.col("__asked").isNull(), "unknown_item")
-        .when((~unsure & ~F.coalesce(F.col("score").isin(0, 1, 2), F.lit(False))) | (F.trim(F.coalesce("rationale", F.lit(""))) == ""), "incomplete")
+        .when(F.col("__asked").isNull() | (F.lit(False) if pool is None else ~F.col("pool_version").eqNullSafe(F.lit(pool))), "unknown_item")
+        .when((~unsure & ~F.coalesce(F.col("score").isin(0, 1, 2), F.lit(False))) | (F.trim(F.coalesce("rationale", F.lit(""))) == "") | (F.trim(F.coalesce(F.col("rated_at").cast("string"), F.lit(""))) == ""), "incomplete")
         .when(~new & same, "unchanged")
         .when(new & (F.col("revision") != 1), "first_revision_not_one")
         .when(~new & (F.col("revision") <= F.col("old.revision")), "revision_not_higher")
@@ -98,30 +105,39 @@ def lifecycle(requested: DataFrame, received: DataFrame, by: str, key: list[str]
     return g.select(by, "requested", "received", state.alias("status"))
 
 
-def migrated(blind: DataFrame, queries: DataFrame, papers: DataFrame, scope: str) -> DataFrame:
-    """old_id, new_pair_id, query_id, id, status: blind rows under ids made of the hashes of query, document and scope; lost sides are unmatched."""
+def migrated(blind: DataFrame, queries: DataFrame, papers: DataFrame, scope: str, partial: bool = False) -> DataFrame:
+    """old_id, new_pair_id, query_id, id, status: blind rows under ids made of the hashes of query, document and scope.
+
+    A row whose query or document is gone is unmatched: with ``partial`` it is
+    returned so, else the migration is incomplete and raises when read.
+    """
     q = queries.select("query_id", F.sha2("query", 256).alias("qh"))
     p = papers.select("id", F.sha2(F.concat_ws("|", "title", "abstract", F.col("year").cast("string")), 256).alias("ph"))
     j = blind.join(q, "query_id", "left").join(p, "id", "left")
     whole = F.col("qh").isNotNull() & F.col("ph").isNotNull()
     pair = F.when(whole, F.left(F.sha2(F.concat_ws("|", "qh", "ph", F.lit(scope)), 256), F.lit(24)))
-    return j.select("old_id", pair.alias("new_pair_id"), "query_id", "id", F.when(whole, "matched").otherwise("unmatched").alias("status"))
+    status = F.when(whole, "matched").otherwise(F.lit("unmatched") if partial else F.raise_error(F.concat(F.lit("incomplete migration: no counterpart of "), F.coalesce(F.col("old_id").cast("string"), F.lit("a row")))))
+    return j.select("old_id", pair.alias("new_pair_id"), "query_id", "id", status.alias("status"))
 
 
 def imported(records: DataFrame, cutoff: int) -> DataFrame:
     """id, accepted, canonical_id, reason: papers in order of ``place``, each accepted unless an accepted earlier one has its DOI, arXiv number or text.
 
-    ``records`` has place, id, title, abstract, year, doi, arxiv.  Rows without
-    id, title, abstract or year, or from the cutoff year on, are excluded first.
+    ``records`` has place, id, title, abstract, year, doi, arxiv.  An id that
+    two records have raises.  Rows without id, title, abstract or year, or from
+    the cutoff year on, are excluded first; the reason names the columns that
+    are missing.
     The alias of a row is the paper of its arXiv number, else of its DOI, else
     of its text; an alias adds no keys.  Rounds settle all rows whose earlier
     rivals are settled; each writes a table, and a key shared by many rows is
     combined map-side.
     """
-    blank = F.lit(False)
-    for c in ("id", "title", "abstract"):
-        blank = blank | (F.trim(F.coalesce(c, F.lit(""))) == "")
-    why = F.when(blank | F.col("year").isNull(), "missing").when(F.col("year") >= cutoff, "year_not_before_cutoff")
+    twice = records.where(F.trim(F.coalesce("id", F.lit(""))) != "").groupBy("id").count().where("count > 1").select("id").limit(1).collect()
+    if twice:
+        raise ValueError(f"two records have the id {twice[0]['id']}")
+    gone = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in ("id", "title", "abstract", "year")]
+    names = F.array_join(F.filter(F.array(*gone), lambda c: c.isNotNull()), "+")
+    why = F.when(names != "", F.concat(F.lit("missing:"), names)).when(F.col("year") >= cutoff, "year_not_before_cutoff")
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.nullif(c, F.lit("")).alias("key"))
     keys = F.array(key(0, T.identifier(F.col("arxiv"))), key(1, T.identifier(F.col("doi"))), key(2, F.sha2(T.normalized(content()), 256)))
     rows = written(records.select("place", "id", why.alias("why"), F.filter(keys, lambda k: k["key"].isNotNull()).alias("keys")), "records")

@@ -39,21 +39,21 @@ def _decisions(s, d):
     p = A.papers(s, d).select(F.col("id").alias("review_id"), F.col("id").cast("bigint").alias("n"), "title")
     kind = F.element_at(F.array(*map(F.lit, ["retain", "revise", "insufficient_information", "other"])), F.least(F.lit(4), F.col("n") % 10 + 1).cast("int"))
     kind = F.when(F.col("n") % 10 > 4, "revise").otherwise(kind)
-    return p.select("review_id", F.when(F.col("n") % 13 == 0, "old").otherwise("v1").alias("review_version"), kind.alias("decision"), (F.col("n") % 4).cast("int").alias("grade"), F.when(F.col("n") % 11 != 0, "seen").alias("rationale"), F.when(F.col("n") % 17 == 0, "nowhere to be found").otherwise(F.upper(F.left("title", F.lit(12)))).alias("excerpt"), F.lit("r1").alias("reviewer_id"))
+    return p.select("review_id", F.when(F.col("n") % 13 == 0, "old").otherwise("v1").alias("review_version"), kind.alias("decision"), (F.col("n") % 4).cast("int").alias("grade"), F.when(F.col("n") % 11 != 0, "seen").alias("rationale"), F.when(F.col("n") % 17 == 0, "nowhere to be found").otherwise(F.upper(F.left("title", F.lit(12)))).alias("excerpt"), F.lit("r1").alias("reviewer_id"), F.when(F.col("n") % 23 != 0, "2026-01-01").alias("reviewed_at"), F.when(F.col("n") % 31 == 0, "other").otherwise("qrels-1").alias("base_hash"))
 
 
 def _decided(s, d):
-    return J.decided(_template(s, d), _decisions(s, d), "v1")
+    return J.decided(_template(s, d), _decisions(s, d), "v1", "qrels-1")
 
 
 def _history(s, d):
     r = A.ratings(s, d).distinct()
-    return r.where("d0 <= 3").select("item_id", "reviewer", (F.col("d0") - 1).alias("score"), F.lit(False).alias("unsure"), F.lit("first").alias("rationale"), F.lit(1).alias("revision"), F.lit("").alias("change_reason"))
+    return r.where("d0 <= 3").select("item_id", "reviewer", (F.col("d0") - 1).alias("score"), F.lit(False).alias("unsure"), F.lit("first").alias("rationale"), F.lit("day 1").alias("rated_at"), F.lit(1).alias("revision"), F.lit("").alias("change_reason"))
 
 
 def _incoming(s, d):
     r = A.ratings(s, d).distinct()
-    out = r.select("item_id", "reviewer", F.when(F.col("d1") <= 4, F.col("d1") - 1).alias("score"), F.col("d1").isNull().alias("unsure"), F.when(F.col("d2") != 5, "first").otherwise(F.when(F.col("d3") != 2, "later")).alias("rationale"), F.coalesce(F.col("d3") % 3 + 1, F.lit(1)).alias("revision"), F.when(F.col("d3") > 2, "seen again").alias("change_reason"))
+    out = r.select("item_id", "reviewer", F.when(F.col("d1") <= 4, F.col("d1") - 1).alias("score"), F.col("d1").isNull().alias("unsure"), F.when(F.col("d2") != 5, "first").otherwise(F.when(F.col("d3") != 2, "later")).alias("rationale"), F.when(F.col("stratum") != 4, F.when(F.col("d3") != 4, "day 1").otherwise("day 2")).alias("rated_at"), F.coalesce(F.col("d3") % 3 + 1, F.lit(1)).alias("revision"), F.when(F.col("d3") > 2, "seen again").alias("change_reason"))
     return out.union(out.where("reviewer = 1 and score = 2 and revision = 3"))
 
 
@@ -71,7 +71,7 @@ def _lifecycle(s, d):
 def _blind(s, d):
     run = SQ._run(s, d)
     q = A.bench_queries(s, d)
-    return J.migrated(run.select(F.concat_ws("-", F.col("query_id").cast("string"), "id").alias("old_id"), "query_id", "id"), q.where("query_id <> 3"), A.papers(s, d), "scope-1")
+    return J.migrated(run.select(F.concat_ws("-", F.col("query_id").cast("string"), "id").alias("old_id"), "query_id", "id"), q.where("query_id <> 3"), A.papers(s, d), "scope-1", partial=True)
 
 
 def _records(s, d):
@@ -188,7 +188,7 @@ def _population(s, d):
 
 def _export(s, d):
     p = A.papers(s, d).withColumn("abstract", F.left("abstract", F.lit(40)))
-    public, key = U.blind_export(p.select("id", "field", "year", "title"), ["id", "field", "year"], ["title"], "round-1")
+    public, key = U.blind_export(p.select("id", "field", "year", "title"), ["id", "field", "year"], ["title"], "round-1", sought=["id", "field"])
     return public.join(key, "review_id")
 
 
@@ -245,7 +245,7 @@ _TID = "'t' || lpad(CAST(CAST(id AS BIGINT) % 12 AS VARCHAR), 2, '0')"
 _GOLD = f"gold AS (SELECT {_TID} AS topic_id, family, max(grade) AS grade FROM qrels JOIN fam USING (id) GROUP BY 1, 2)"
 _DEC = f"""{_P}, {_FAM}, {A.SQL_QRELS}, {_GOLD}, tp AS (SELECT id AS review_id, {_TID} AS topic_id, family, grade AS old_grade, {_TEXT} AS text FROM qrels JOIN fam USING (id) JOIN papers USING (id)),
 dc AS (SELECT id AS review_id, CASE WHEN n % 13 = 0 THEN 'old' ELSE 'v1' END AS ver, CASE WHEN n % 10 > 4 THEN 'revise' ELSE ['retain', 'revise', 'insufficient_information', 'other'][least(4, n % 10 + 1)] END AS decision, CAST(n % 4 AS INTEGER) AS grade, n % 11 <> 0 AS why, trim(CASE WHEN n % 17 = 0 THEN 'nowhere to be found' ELSE upper(left(title, 12)) END) AS excerpt FROM (SELECT *, CAST(id AS BIGINT) AS n FROM papers)),
-df AS (SELECT dc.*, topic_id, family, old_grade, CASE WHEN tp.review_id IS NULL OR ver <> 'v1' THEN 'unknown_review' WHEN decision = 'other' THEN 'invalid_decision' WHEN decision = 'revise' AND grade = 3 THEN 'invalid_grade' WHEN NOT why OR excerpt = '' THEN 'incomplete' WHEN NOT contains(lower(text), lower(excerpt)) THEN 'excerpt_not_in_text' END AS fault FROM dc LEFT JOIN tp USING (review_id)),
+df AS (SELECT dc.*, topic_id, family, old_grade, CASE WHEN tp.review_id IS NULL OR ver <> 'v1' OR CAST(dc.review_id AS BIGINT) % 31 = 0 THEN 'unknown_review' WHEN decision = 'other' THEN 'invalid_decision' WHEN decision = 'revise' AND grade = 3 THEN 'invalid_grade' WHEN NOT why OR excerpt = '' OR CAST(dc.review_id AS BIGINT) % 23 = 0 THEN 'incomplete' WHEN NOT contains(lower(text), lower(excerpt)) THEN 'excerpt_not_in_text' END AS fault FROM dc LEFT JOIN tp USING (review_id)),
 dd AS (SELECT review_id, topic_id, family, fault, CASE WHEN fault IS NULL THEN CASE decision WHEN 'retain' THEN old_grade WHEN 'revise' THEN grade END END AS proposed_grade FROM df)"""
 
 
@@ -286,9 +286,9 @@ ORACLES = {
     "gold_expansion": f"WITH {_P}, {_T}, {_FAM}, {A.SQL_QRELS}, {_GOLD}, j AS (SELECT topic_id, papers.id, family, grade, contains(lower({_TEXT}), keywords[1]) AND contains(lower({_TEXT}), keywords[2]) AS ok FROM gold JOIN fam USING (family) JOIN papers ON papers.id = fam.id JOIN topics USING (topic_id) WHERE grade >= 1) SELECT topic_id, id, family, grade AS old_grade, CASE WHEN ok THEN 'supported' ELSE 'ambiguous' END AS status, CASE WHEN ok THEN grade END AS proposed_grade FROM j",
     "gold_decisions": f"WITH {_DEC} SELECT * FROM dd",
     "gold_overlay": f"WITH {_DEC}, o AS (SELECT topic_id, family, min(proposed_grade) AS new FROM dd WHERE fault IS NULL AND proposed_grade IS NOT NULL GROUP BY 1, 2 HAVING min(proposed_grade) = max(proposed_grade)) SELECT topic_id, family, coalesce(new, grade) AS grade, CASE WHEN new IS NULL THEN 'unreviewed_retained' ELSE 'revised' END AS decision_status FROM gold LEFT JOIN o USING (topic_id, family)",
-    "rating_import": f"""WITH {A.SQL_RATINGS}, rt AS (SELECT DISTINCT * FROM ratings), h AS (SELECT item_id, reviewer, d0 - 1 AS score FROM rt WHERE d0 <= 3), i0 AS (SELECT item_id, stratum, reviewer, CASE WHEN d1 <= 4 THEN d1 - 1 END AS score, d1 IS NULL AS unsure, CASE WHEN d2 <> 5 THEN 'first' WHEN d3 <> 2 THEN 'later' END AS rationale, coalesce(d3 % 3 + 1, 1) AS revision, d3 > 2 AS changed FROM rt),
+    "rating_import": f"""WITH {A.SQL_RATINGS}, rt AS (SELECT DISTINCT * FROM ratings), h AS (SELECT item_id, reviewer, d0 - 1 AS score FROM rt WHERE d0 <= 3), i0 AS (SELECT item_id, stratum, reviewer, CASE WHEN d1 <= 4 THEN d1 - 1 END AS score, d1 IS NULL AS unsure, CASE WHEN d2 <> 5 THEN 'first' WHEN d3 <> 2 THEN 'later' END AS rationale, coalesce(d3 % 3 + 1, 1) AS revision, d3 > 2 AS changed, CASE WHEN stratum <> 4 THEN CASE WHEN d3 <> 4 THEN 'day 1' ELSE 'day 2' END END AS rated FROM rt),
 inc AS (SELECT * FROM i0 UNION ALL SELECT * FROM i0 WHERE reviewer = 1 AND score = 2 AND revision = 3), j AS (SELECT inc.*, count(*) OVER (PARTITION BY inc.item_id, inc.reviewer) AS k, h.score AS os, h.item_id IS NOT NULL AS old FROM inc LEFT JOIN h ON h.item_id = inc.item_id AND h.reviewer = inc.reviewer)
-SELECT CASE WHEN k > 1 THEN 'duplicate_row' WHEN stratum = 5 THEN 'unknown_item' WHEN (NOT unsure AND NOT coalesce(score IN (0, 1, 2), false)) OR rationale IS NULL THEN 'incomplete' WHEN old AND score IS NOT DISTINCT FROM os AND NOT unsure AND rationale = 'first' THEN 'unchanged' WHEN NOT old AND revision <> 1 THEN 'first_revision_not_one' WHEN old AND revision <= 1 THEN 'revision_not_higher' WHEN old AND NOT coalesce(changed, false) THEN 'no_change_reason' ELSE 'appended' END AS status, count(*) AS n FROM j GROUP BY 1""",
+SELECT CASE WHEN k > 1 THEN 'duplicate_row' WHEN stratum = 5 THEN 'unknown_item' WHEN (NOT unsure AND NOT coalesce(score IN (0, 1, 2), false)) OR rationale IS NULL OR rated IS NULL THEN 'incomplete' WHEN old AND score IS NOT DISTINCT FROM os AND NOT unsure AND rationale = 'first' AND rated = 'day 1' THEN 'unchanged' WHEN NOT old AND revision <> 1 THEN 'first_revision_not_one' WHEN old AND revision <= 1 THEN 'revision_not_higher' WHEN old AND NOT coalesce(changed, false) THEN 'no_change_reason' ELSE 'appended' END AS status, count(*) AS n FROM j GROUP BY 1""",
     "review_lifecycle": f"WITH {A.SQL_RATINGS}, g AS (SELECT stratum, count(*) AS requested, count(*) FILTER ((stratum = 1 OR (stratum > 1 AND d0 IS NOT NULL)) AND (stratum <> 2 OR reviewer = 1)) AS received FROM (SELECT DISTINCT stratum, item_id, reviewer, d0 FROM ratings) GROUP BY 1) SELECT *, CASE WHEN received = 0 THEN 'awaiting_external_reviews' WHEN received = requested THEN 'reviews_imported_complete' ELSE 'reviews_partially_imported' END AS status FROM g",
     "annotation_migration": f"WITH {SQ._RUN} SELECT run.query_id || '-' || run.id AS old_id, CASE WHEN run.query_id <> 3 THEN left(sha256(sha256(query) || '|' || sha256(title || '|' || abstract || '|' || year) || '|scope-1'), 24) END AS new_pair_id, run.query_id, run.id, CASE WHEN run.query_id <> 3 THEN 'matched' ELSE 'unmatched' END AS status FROM run JOIN q USING (query_id) JOIN papers ON papers.id = run.id WHERE rank <= 20",
     "canonical_papers": f"WITH {_P}, {_FAM} SELECT min(id) AS id, family FROM fam GROUP BY family",

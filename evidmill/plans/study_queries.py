@@ -169,7 +169,7 @@ QUERIES = {
     "paired_effects": lambda s, d: effects.effects(_diffs(s, d)),
     "did_effects": lambda s, d: effects.effects(_diffs(s, d).where("comparison = 'policy_x_network'")),
     "bootstrap_ci": lambda s, d: effects.arithmetic_bootstrap(_diffs(s, d)),
-    "bootstrap_exact": lambda s, d: effects.bootstrap(_diffs(s, d)),
+    "bootstrap_exact": lambda s, d: effects.bootstrap(_diffs(s, d), seeds=list(range(10))),
     "flow_decomposition": lambda s, d: effects.flow_decomposition(A.branches(s, d)),
     "merge_chain_effort": lambda s, d: ledger.effort_by_final_project(A.ledger(s, d), A.merges(s)),
     "author_credits": lambda s, d: ledger.credits(A.ledger(s, d), A.merges(s)),

@@ -19,7 +19,7 @@ def test_import_follows_the_order_of_the_records(spark):
     ]
     df = spark.createDataFrame(rows, "place long, id string, title string, abstract string, year int, doi string, arxiv string")
     got = {r["id"]: r["reason"] for r in judgements.imported(df, 2026).collect()}
-    assert got == {"a": None, "b": "duplicate_of:a", "c": None, "d": "duplicate_of:c", "e": "duplicate_of:a", "f": "year_not_before_cutoff", "g": "missing", "h": None}
+    assert got == {"a": None, "b": "duplicate_of:a", "c": None, "d": "duplicate_of:c", "e": "duplicate_of:a", "f": "year_not_before_cutoff", "g": "missing:title", "h": None}
     assert judgements.imported(df.limit(0), 2026).count() == 0
 
 
@@ -30,12 +30,16 @@ def test_one_text_in_many_records(spark):
 
 
 def test_ratings_are_appended_or_refused(spark):
-    kind = "item_id string, reviewer int, score int, unsure boolean, rationale string, revision int, change_reason string"
-    history = spark.createDataFrame([("a", 1, 1, False, "r", 1, "")], kind)
-    new = [("a", 1, 1, False, "r", 9, ""), ("b", 1, 2, False, "r", 1, None), ("b", 2, None, True, "r", 1, None), ("c", 1, 3, False, "r", 1, None), ("d", 1, 1, False, "r", 2, None), ("z", 1, 1, False, "r", 1, None)]
+    kind = "item_id string, reviewer int, score int, unsure boolean, rationale string, rated_at string, revision int, change_reason string"
+    history = spark.createDataFrame([("a", 1, 1, False, "r", "d", 1, "")], kind)
+    new = [("a", 1, 1, False, "r", "d", 9, ""), ("b", 1, 2, False, "r", "d", 1, None), ("b", 2, None, True, "r", "d", 1, None), ("c", 1, 3, False, "r", "d", 1, None), ("d", 1, 1, False, "r", "d", 2, None), ("z", 1, 1, False, "r", "d", 1, None), ("d", 2, 1, False, "r", " ", 1, None)]
     allowed = spark.createDataFrame([(i, r) for i in "abcd" for r in (1, 2)], "item_id string, reviewer int")
     got = {(r["item_id"], r["reviewer"]): r["status"] for r in judgements.rating_import(history, spark.createDataFrame(new, kind), allowed).collect()}
-    assert got == {("a", 1): "unchanged", ("b", 1): "appended", ("b", 2): "appended", ("c", 1): "incomplete", ("d", 1): "first_revision_not_one", ("z", 1): "unknown_item"}
+    assert got == {("a", 1): "unchanged", ("b", 1): "appended", ("b", 2): "appended", ("c", 1): "incomplete", ("d", 1): "first_revision_not_one", ("z", 1): "unknown_item", ("d", 2): "incomplete"}
+    later = spark.createDataFrame([("a", 1, 1, False, "r", "e", 1, "x")], kind)
+    assert judgements.rating_import(history, later, allowed).first()["status"] == "revision_not_higher"
+    other = later.withColumn("pool_version", F.lit("p2"))
+    assert judgements.rating_import(history, other, allowed, "p1").first()["status"] == "unknown_item"
     assert judgements.with_ratings(history, spark.createDataFrame(new[:3], kind), allowed).count() == 3
     with pytest.raises(Exception, match="incomplete"):
         judgements.with_ratings(history, spark.createDataFrame(new[3:4], kind), allowed).collect()
@@ -77,3 +81,36 @@ def test_duplicates_of_branches_count_equal_texts_with_unlike_sets(spark):
     got = {r["branch"]: r.asDict() for r in audits.branch_duplicates(spark.createDataFrame(rows, "branch string, id string, key string, w array<string>"), "branch", 0.8).collect()}
     assert got["p"]["unique_clusters"] == 2 and got["p"]["near_duplicate_pair_rate"] == got["p"]["exact_duplicate_pair_rate"] == round(1 / 3, 6)
     assert got["r"]["near_duplicate_pair_rate"] is None and got["r"]["unique_clusters"] == 1
+
+
+def test_audits_refuse_what_they_must(spark):
+    means = spark.createDataFrame([("new", "t", 0.9, 0, 0)], "ranker string, topic_id string, mean_capacity_coverage double, empty_results long, all_irrelevant_returns long")
+    gates = {r["check"]: (r["value"], r["passed"]) for r in audits.quality_gates(means, "base", "new", "t", 0.8, 0.5, 0.05).collect()}
+    assert gates["baseline_drop"] == (None, False) and gates["macro"] == (0.9, True)
+    template = spark.createDataFrame([("a", "t", "f", 1, None), ("b", "t", "g", 1, "Some text")], "review_id string, topic_id string, family string, old_grade int, text string")
+    row = lambda i, **kw: tuple((dict(review_id=i, review_version="v1", decision="retain", grade=None, rationale="r", excerpt="some", reviewer_id="x", reviewed_at="d", base_hash="h") | kw).values())
+    kind = "review_id string, review_version string, decision string, grade int, rationale string, excerpt string, reviewer_id string, reviewed_at string, base_hash string"
+    fault = lambda *r: judgements.decided(template, spark.createDataFrame([row(*r[:1], **(r[1] if len(r) > 1 else {}))], kind), "v1", "h").first()["fault"]
+    assert [fault("a"), fault("b"), fault("b", dict(reviewed_at=None)), fault("b", dict(base_hash="g")), fault("b", dict(base_hash=None))] == ["excerpt_not_in_text", None, "incomplete", "unknown_review", "unknown_review"]
+    twice = spark.createDataFrame([(1, "a", "t", "x", 2000, None, None), (2, "a", "u", "y", 2000, None, None)], "place long, id string, title string, abstract string, year int, doi string, arxiv string")
+    with pytest.raises(ValueError, match="two records have the id a"):
+        judgements.imported(twice, 2026)
+    for value, title in (("p1", "work of P1, mostly"), ("novelty", "a novelty-led group"), ("42", "answer: 42.")):
+        with pytest.raises(Exception, match="secret"):
+            audits.blind_export(spark.createDataFrame([(value, title)], "s string, title string"), ["s"], ["title"], "x")[0].collect()
+    assert audits.blind_export(spark.createDataFrame([("p1", "p12 up1"), (None, "any")], "s string, title string"), ["s"], ["title"], "x")[0].count() == 2
+    blind = spark.createDataFrame([("o1", 1, "d"), ("o2", 2, "d")], "old_id string, query_id int, id string")
+    queries, papers = spark.createDataFrame([(1, "q")], "query_id int, query string"), spark.createDataFrame([("d", "t", "a", 2000)], "id string, title string, abstract string, year int")
+    with pytest.raises(Exception, match="incomplete migration"):
+        judgements.migrated(blind, queries, papers, "s").collect()
+    assert {r["status"] for r in judgements.migrated(blind, queries, papers, "s", partial=True).collect()} == {"matched", "unmatched"}
+    assert judgements.migrated(blind.where("query_id = 1"), queries, papers, "s").count() == 1
+
+
+def test_an_effect_without_all_seeds_has_no_interval(spark):
+    from evidmill.operators import effects
+
+    rows = [("c", "s", "t", m, k, float(k)) for m, n in (("all", 3), ("part", 2)) for k in range(n)] + [("c", "s", "t", "null", k, None if k == 1 else 1.0) for k in range(3)]
+    df = spark.createDataFrame(rows, "comparison string, stratum string, treatment string, metric string, seed int, diff double")
+    got = {r["metric"]: (r["n_pairs"], r["ci_low"] is None, r["status"]) for r in effects.bootstrap(df, replicates=50, seeds=[0, 1, 2]).collect()}
+    assert got == {"all": (3, False, "complete"), "part": (2, True, "incomplete"), "null": (2, True, "incomplete")}
