@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidmill.functions.text import uniform
 
@@ -63,6 +64,60 @@ def leaks(df: DataFrame, columns: list[str], banned: list[str]) -> DataFrame:
     return one.select(F.expr(f"stack({len(columns)}, " + ", ".join(f"'{c}', {c}" for c in columns) + ") AS (column, n)"))
 
 
+HIT = "array<struct<path:string,kind:string,found:string>>"
+
+
+def hits(value: Column, kind: T.DataType, keys: list[str], markers: list[str], path: Column) -> Column:
+    """Array of (path, kind, found) of what a value of any nested type must not hold.
+
+    ``keys`` are banned names of struct fields and keys of maps, unless their
+    value is null; ``markers`` banned parts of strings, whatever their case; a
+    string has the first marker it holds.  Made from the schema: one
+    expression, however deep.
+    """
+    none = F.array().cast(HIT)
+    hit = lambda at, what, found: F.array(F.struct(at.alias("path"), F.lit(what).alias("kind"), found.alias("found"))).cast(HIT)
+    flat = lambda parts: F.coalesce(F.filter(F.flatten(parts), lambda h: h.isNotNull()), none)
+    if isinstance(kind, T.StringType):
+        first = F.coalesce(*[F.when(F.lower(value).contains(m), F.lit(m)) for m in markers]) if markers else F.lit(None).cast("string")
+        return F.when(first.isNotNull(), hit(path, "marker", first)).otherwise(none)
+    if isinstance(kind, T.StructType):
+        parts = []
+        for f in kind.fields:
+            at, v = F.concat(path, F.lit("." + f.name)), value[f.name]
+            if f.name in keys:
+                parts.append(F.when(v.isNotNull(), hit(at, "key", F.lit(f.name))).otherwise(none))
+            parts.append(hits(v, f.dataType, keys, markers, at))
+        return F.concat(*parts) if parts else none
+    if isinstance(kind, T.ArrayType):
+        return flat(F.transform(value, lambda x, i: hits(x, kind.elementType, keys, markers, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    if isinstance(kind, T.MapType):
+
+        def entry(e: Column) -> Column:
+            name = e["key"].cast("string")
+            at = F.concat(path, F.lit("."), name)
+            return F.concat(F.when(name.isin(keys) & e["value"].isNotNull(), hit(at, "key", name)).otherwise(none), hits(e["value"], kind.valueType, keys, markers, at))
+
+        return flat(F.transform(F.map_entries(value), entry))
+    return none
+
+
+def nested_leaks(df: DataFrame, keys: list[str], markers: list[str], by: list[str]) -> DataFrame:
+    """``by``, path, kind, found: every banned key and marker of every row, in all columns but ``by``, at any depth.
+
+    Paths are as in $.refs[2].note.  A null holds nothing.
+    """
+    parts = []
+    for f in df.schema.fields:
+        if f.name not in by:
+            at = F.lit("$." + f.name)
+            if f.name in keys:
+                parts.append(F.when(F.col(f.name).isNotNull(), F.array(F.struct(at.alias("path"), F.lit("key").alias("kind"), F.lit(f.name).alias("found"))).cast(HIT)).otherwise(F.array().cast(HIT)))
+            parts.append(hits(F.col(f.name), f.dataType, keys, markers, at))
+    every = F.concat(*parts) if parts else F.array().cast(HIT)
+    return df.select(*by, F.explode(every).alias("hit")).select(*by, "hit.*")
+
+
 def valid_card(text: Column, references: Column, visible: Column, score: Column) -> Column:
     """A response is legal: text of at most 8000 characters that isn't blank, references among the visible, score in [0, 1]."""
     return F.coalesce((F.length(F.trim(text)) > 0) & (F.length(text) <= 8000) & (F.size(F.array_except(references, visible)) == 0) & score.between(0.0, 1.0), F.lit(False))

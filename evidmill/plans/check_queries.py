@@ -9,6 +9,7 @@ from evidmill.operators import checks as K
 from evidmill.operators import retrieval as R
 from evidmill.plans import adapters as A
 from evidmill.plans import retrieval_queries as RQ
+from evidmill.sources import fingerprints
 
 
 def _pairs(s, d):
@@ -42,6 +43,26 @@ def _diversity(s, d):
     return K.text_diversity(p.select("field", "id", T.token_set(R.content()).alias("w")), "field")
 
 
+def _canonical(s, d):
+    """Events as JSON in two layouts, by number; one in 50 repeats a key, one in 70 isn't finite, one in 90 is broken."""
+    e = A.tables(s, d, "events")[0]
+    n, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
+    tags = F.concat(F.lit("["), n.cast("string"), F.lit(",null,true]"))
+    wide = F.concat(F.lit('\ufeff{ "user" : '), user, F.lit(', "props": '), F.col("props"), F.lit(', "tags": '), tags, F.lit(',\r\n "kind": "'), kind, F.lit('\\r\\nend" }'))
+    tight = F.concat(F.lit('{"kind":"'), kind, F.lit('\\nend","props":'), F.col("props"), F.lit(',"tags":'), tags, F.lit(',"user":'), user, F.lit("}"))
+    text = F.when(n % 50 == 0, '{"a":1,"a":2}').when(n % 70 == 0, '{"a":[NaN]}').when(n % 90 == 0, '{"a":').when(n % 2 == 0, wide).otherwise(tight)
+    return e.select("event_id", fingerprints.canonical_json(text).alias("c")).select("event_id", "c.*")
+
+
+def _cards(s, d):
+    """Documents as nested cards: a map of their source and, for some, a network; parts with notes and, for some, an agent."""
+    t = A.tables(s, d, "documents")[0]
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    meta = F.create_map(F.lit("source"), F.col("source"), F.lit("network"), F.when(n % 7 == 0, F.lit("open")))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("note"), F.when(n % 5 == 0, n).alias("agent_id")))
+    return t.select("doc_id", F.struct(F.struct(F.col("lang").alias("lang"), meta.alias("meta")).alias("head"), parts.alias("parts")).alias("card"))
+
+
 QUERIES = {
     "adjudication_queue": lambda s, d: K.adjudication_queue(_pairs(s, d)),
     "gold_conflicts": lambda s, d: K.conflicts(_graded_families(s, d), "family", "grade"),
@@ -55,6 +76,8 @@ QUERIES = {
     "baseline_compare": _compared,
     "metric_span": lambda s, d: K.spans(A.branches(s, d), "policy", "effort"),
     "text_diversity": _diversity,
+    "canonical_records": _canonical,
+    "nested_leaks": lambda s, d: K.nested_leaks(_cards(s, d), ["network", "agent_id"], ["license", "@"], ["doc_id"]),
 }
 
 _HEX = " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (12 - i)}" for i in range(13))
@@ -71,4 +94,12 @@ ORACLES = {
     "baseline_compare": f"WITH {A.SQL_BRANCHES} SELECT CASE WHEN seed = 3 THEN 'missing' WHEN seed = 1 THEN 'changed' ELSE 'equal' END AS status, count(*) AS n FROM branches GROUP BY 1",
     "metric_span": f"WITH {A.SQL_BRANCHES} SELECT policy, max(effort) - min(effort) AS span FROM branches GROUP BY 1",
     "text_diversity": f"WITH {RQ._P}, w AS (SELECT field, id, {A.sql_tokens(RQ._TEXT)} AS w FROM papers), p AS (SELECT a.field, round(len(list_intersect(a.w, b.w)) / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 9) AS j FROM w a JOIN w b ON a.field = b.field AND a.id < b.id) SELECT f.field, round(coalesce(1 - sum(j) / count(j), 0), 6) AS diversity FROM (SELECT DISTINCT field FROM w) AS f LEFT JOIN p USING (field) GROUP BY 1",
+    "canonical_records": """WITH t AS (SELECT event_id, event_id % 50 = 0 AS twice, event_id % 70 = 0 AS nan, event_id % 90 = 0 AS broken, '{"kind":"' || event_type || '\\nend","props":' || replace(props, ': ', ':') || ',"tags":[' || event_id || ',null,true],"user":' || user_id || '}' AS c FROM events)
+SELECT event_id, CASE WHEN NOT (twice OR nan OR broken) THEN c END AS canonical, CASE WHEN NOT (twice OR nan OR broken) THEN sha256(c) END AS sha256, CASE WHEN twice THEN 'repeated key' WHEN nan THEN 'non-finite number' WHEN broken THEN 'not JSON' END AS fault FROM t""",
+    "nested_leaks": """WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS note, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents), m AS (SELECT *, CASE WHEN contains(lower(note), 'license') THEN 'license' WHEN contains(note, '@') THEN '@' END AS found FROM p)
+SELECT doc_id, '$.card.head.meta.network' AS path, 'key' AS kind, 'network' AS found FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id, '$.card.parts[' || i || '].agent_id', 'key', 'agent_id' FROM p WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, '$.card.parts[' || i || '].note', 'marker', found FROM m WHERE found IS NOT NULL
+UNION ALL SELECT doc_id, '$.card.head.lang', 'marker', CASE WHEN contains(lower(lang), 'license') THEN 'license' ELSE '@' END FROM documents WHERE contains(lower(lang), 'license') OR contains(lang, '@')
+UNION ALL SELECT doc_id, '$.card.head.meta.source', 'marker', CASE WHEN contains(lower(source), 'license') THEN 'license' ELSE '@' END FROM documents WHERE contains(lower(source), 'license') OR contains(source, '@')""",
 }

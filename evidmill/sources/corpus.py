@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAPER = "id string, title string, abstract string, year int, field string, synthetic boolean, topic_ids array<string>, doi string, source_url string"
@@ -68,13 +70,25 @@ def strict_line(line: str) -> str | None:
 
 
 def strict_faults(spark: SparkSession, path: str) -> DataFrame:
-    """line, fault of every line of a JSON-lines file that the strict reader would reject."""
-
-    @F.udf("string")
-    def fault(line: str) -> str | None:
-        return strict_line(line)
-
-    return spark.read.text(path).select(F.col("value").alias("line"), fault("value").alias("fault")).where("fault is not null")
+    """file, number (from 1), line, fault of every line of JSON-lines files that the strict reader would reject; blank lines are none.
+
+    A file is read in blocks.  A line's number is its place in its block and the
+    lines of the blocks before it, of which there is a row each: no file goes
+    through one task.
+    """
+
+    @F.arrow_udf("string")
+    def fault(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([strict_line(x) if x.strip() else None for x in part.to_pylist()], pa.string())
+
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    blocks = lines.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bad = lines.withColumn("fault", fault("line")).where("fault is not null")
+    j = bad.join(blocks.withColumn("before", before), ["file", "start"])
+    return j.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), "line", "fault")
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
