@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidmill.functions import text as T
-from evidmill.operators import admission, branches, review_import, trajectories
+from evidmill.operators import admission, branches, review_import, runs, trajectories
+from evidmill.operators.graph import shared_dir
 from evidmill.plans import adapters as A
 
 
@@ -111,11 +114,53 @@ def _review_lifecycle(s, d):
     return review_import.lifecycle(asked, old.select("review_id", "reviewer_id").union(good.select("review_id", "reviewer_id")))
 
 
+# runs
+
+
+def _topic_cells(s, d, changed=False):
+    """Cells of 12 topics and 3 policies, with a digest of the topic's documents; ``changed`` alters those of topic 3."""
+    t = A.tables(s, d, "documents")[0].select((F.col("doc_id") % 12).alias("topic"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    body = F.when((F.col("topic") == 3) & F.lit(changed), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    t = t.withColumn("text", body)
+    digest = t.groupBy("topic").agg(F.bit_xor(F.xxhash64("doc_id", "text")).alias("input"))
+    return t, digest.crossJoin(F.broadcast(A.policies(s).select("policy", "w_novelty")))
+
+
+def _by_dependency(s, d):
+    """Results of all cells after the documents of one topic changed: only its cells are computed again."""
+    store = runs.ResultStore(s, f"{shared_dir(s)}/evidmill/cells-{uuid.uuid4().hex}")
+
+    def once(changed):
+        t, cells = _topic_cells(s, d, changed)
+        words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+        compute = lambda todo: todo.join(t.groupBy("topic").agg(F.count("*").alias("n"), F.sum(words).alias("words"), F.sum(F.length("text")).alias("chars")), "topic").select("dep_key", "n", "words", F.round(F.col("chars") * F.col("w_novelty"), 3).alias("score"))
+        return store.get(cells, ["topic", "policy", "input"], {"code": "1"}, compute)
+
+    once(False)
+    return once(True).select("topic", "policy", "n", "words", "score", "hit")
+
+
+def _log(s, d):
+    e = A.tables(s, d, "events")[0]
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type").isin("view", "purchase"), "started").when(F.col("event_type") == "error", F.when((n % 501 == 0) & (F.col("user_id") % 5 < 3), "fatal").otherwise("failed")).otherwise("completed")
+    return e.select((F.col("user_id") % 5).cast("int").alias("model"), F.concat_ws("-", F.col("user_id").cast("string"), (n % 31).cast("string")).alias("cell_id"), n.alias("seq"), (n * 2).alias("at"), kind.alias("event"))
+
+
+def _resume(s, d):
+    """The plan for 40 cells of every user, of whose events some began, ended or blocked cells."""
+    users = A.tables(s, d, "events")[0].select("user_id").distinct()
+    schedule = users.select((F.col("user_id") % 5).cast("int").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("c"), "user_id").select("model", F.concat_ws("-", F.col("user_id").cast("string"), F.col("c").cast("string")).alias("cell_id"))
+    return runs.resume_plan(schedule, runs.cell_states(_log(s, d)), now=15_000, lease=5_000)
+
+
 QUERIES = {
     "admission_ledger": lambda s, d: admission.admitted(_requests(s, d), _limits(s, d)),
     "branch_trajectories": lambda s, d: trajectories.trajectories(_entries(s, d), _merges(s, d), CYCLES),
     "branch_measures": lambda s, d: branches.measures(*_world(s, d), START),
     "review_import_faults": _review_faults,
+    "dependency_results": _by_dependency,
+    "resume_plan": _resume,
     "review_import_lifecycle": _review_lifecycle,
 }
 
@@ -174,4 +219,10 @@ SELECT branch, CAST(coalesce(cand, 0) AS BIGINT) AS candidate_ideas_generated, C
 FROM rp LEFT JOIN dr USING (branch) LEFT JOIN rd USING (branch) LEFT JOIN ps USING (branch) LEFT JOIN iv USING (branch) LEFT JOIN au USING (branch) LEFT JOIN te USING (branch) LEFT JOIN o USING (branch) LEFT JOIN tx USING (branch)""",
     "review_import_faults": f"WITH {_REVIEWS} SELECT coalesce(fault, 'none') AS fault, count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM fx GROUP BY 1",
     "review_import_lifecycle": f"WITH {_REVIEWS}, g AS (SELECT review_id, reviewer_id FROM fx WHERE fault IS NULL UNION SELECT item, who FROM bo WHERE k % 19 = 0 AND w = 1), c AS (SELECT count(*) AS requested, count(g.review_id) AS imported FROM (SELECT DISTINCT item, who FROM bo WHERE k % 23 <> 0) AS a LEFT JOIN g ON g.review_id = a.item AND g.reviewer_id = a.who) SELECT requested, imported, requested - imported AS remaining, CASE WHEN imported = 0 THEN 'awaiting_reviews' WHEN requested = imported THEN 'reviews_imported_complete' ELSE 'reviews_partially_imported' END AS status FROM c",
+    "dependency_results": f"WITH {A.SQL_POLICIES}, t AS (SELECT doc_id % 12 AS topic, coalesce(text, '') || CASE WHEN doc_id % 12 = 3 THEN '!' ELSE '' END AS text FROM documents) SELECT topic, policy, count(*) AS n, CAST(sum(len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS BIGINT) AS words, round(CAST(sum(length(text)) AS BIGINT) * any_value(w_novelty), 3) AS score, topic <> 3 AS hit FROM t CROSS JOIN policies GROUP BY topic, policy",
+    "resume_plan": """WITH l AS (SELECT CAST(user_id % 5 AS INTEGER) AS model, user_id || '-' || event_id % 31 AS cell_id, event_id AS seq, event_id * 2 AS at_, CASE WHEN event_type IN ('view', 'purchase') THEN 'started' WHEN event_type = 'error' THEN CASE WHEN event_id % 501 = 0 AND user_id % 5 < 3 THEN 'fatal' ELSE 'failed' END ELSE 'completed' END AS event FROM events),
+f AS (SELECT model, cell_id, min(seq) AS s FROM l WHERE event = 'started' GROUP BY 1, 2), x AS (SELECT l.model, l.cell_id, arg_min(event, seq) AS outcome FROM l JOIN f ON f.model = l.model AND f.cell_id = l.cell_id WHERE event <> 'started' AND seq > s GROUP BY 1, 2),
+b AS (SELECT DISTINCT model FROM x WHERE outcome = 'fatal'), sc AS (SELECT CAST(user_id % 5 AS INTEGER) AS model, user_id || '-' || c AS cell_id FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN range(40) AS r(c)),
+p AS (SELECT sc.*, outcome, CASE WHEN outcome = 'completed' THEN 'completed' WHEN outcome IS NOT NULL THEN 'failed' WHEN s * 2 + 5000 > 15000 THEN 'in_flight' WHEN s IS NOT NULL THEN 'interrupted' WHEN b.model IS NOT NULL THEN 'blocked' ELSE 'to_run' END AS status FROM sc LEFT JOIN f USING (model, cell_id) LEFT JOIN x USING (model, cell_id) LEFT JOIN b ON b.model = sc.model)
+SELECT model, cell_id, status, CASE status WHEN 'blocked' THEN 'model' WHEN 'failed' THEN outcome WHEN 'interrupted' THEN 'in_flight_unknown' END AS reason FROM p""",
 }
