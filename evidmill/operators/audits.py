@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,8 +56,12 @@ def condition_means(cases: DataFrame, by: list[str], names: list[str]) -> DataFr
     return g.withColumn("null_reason", F.when(F.col("mean").isNull(), "no_defined_denominator"))
 
 
-def quality_gates(means: DataFrame, base: str, new: str, topic: str, macro: float, least: float, drop: float) -> DataFrame:
-    """check, value, passed: thresholds on the topic means of a new ranker against a base one; a check without a value fails."""
+def quality_gates(means: DataFrame, base: str, new: str, topic: str, macro: float, least: float, drop: float, further: DataFrame | None = None) -> DataFrame:
+    """check, value, passed: thresholds on the topic means of a new ranker against a base one; a check without a value fails.
+
+    ``further`` has rows of check and value for gates that must be 0, such as
+    generic_negatives and gold_isolation (see gold_changes()).
+    """
     n = means.where(F.col("ranker") == new).select("topic_id", F.col("mean_capacity_coverage").alias("x"), "empty_results", "all_irrelevant_returns")
     b = means.where(F.col("ranker") == base).select("topic_id", F.col("mean_capacity_coverage").alias("y"))
     one = n.join(b, "topic_id", "left").agg(
@@ -65,7 +71,37 @@ def quality_gates(means: DataFrame, base: str, new: str, topic: str, macro: floa
     row = lambda name, c, ok: F.struct(F.lit(name).alias("check"), r6(F.col(c)).alias("value"), F.coalesce(ok, F.lit(False)).alias("passed"))
     c = F.col
     rows = [row("named_topic", "named", c("named") >= macro), row("macro", "macro", c("macro") >= macro), row("minimum_topic", "least", c("least") >= least), row("baseline_drop", "drop", c("drop") <= drop), row("zero_relevant_returns", "zero", c("zero") == 0)]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    gates = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if further is not None:
+        gates = gates.union(further.select("check", F.col("value").cast("double"), F.coalesce(F.col("value") == 0, F.lit(False))))
+    return gates
+
+
+def permuted(gold: DataFrame, by: str, key: str, value: str, seed: int = 1931) -> DataFrame:
+    """The rows with the values of each group dealt anew among its keys, in order of a keyed hash."""
+    at = F.row_number().over(W.partitionBy(by).orderBy(key))
+    new = F.row_number().over(W.partitionBy(by).orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), key))
+    left = gold.select(by, key, at.alias("__n"))
+    right = gold.select(by, F.col(value).alias(value), new.alias("__n"))
+    return left.join(right, [by, "__n"]).drop("__n")
+
+
+def gold_changes(rank: Callable[[DataFrame], DataFrame], gold: DataFrame, by: str, key: str, value: str) -> DataFrame:
+    """check gold_isolation and value: rows of a ranking that differ when the judgements are permuted.
+
+    ``rank`` gets the judgements and returns the ranking, as production would be
+    run beside them: one that doesn't look at them gives equal rows.
+    """
+    a, b = written(rank(gold), "ranked"), written(rank(permuted(gold, by, key, value)), "ranked")
+    n = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("value"))
+    return n.select(F.lit("gold_isolation").alias("check"), "value")
+
+
+def negative_passes(challenges: DataFrame) -> DataFrame:
+    """check generic_negatives and value: eligible negatives of any kind whose evidence passes the gate; null without eligible negatives."""
+    e = challenges.where(F.col("eligible") & F.col("challenge_type").isin("generic_negative", "context_negative", "context_negative_holdout"))
+    n = e.agg(F.sum(F.col("evidence_passed").cast("bigint")).alias("value"))
+    return n.select(F.lit("generic_negatives").alias("check"), "value")
 
 
 def regression_slice(cases: DataFrame, ranker: str, topic: str) -> DataFrame:

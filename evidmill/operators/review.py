@@ -53,16 +53,59 @@ def quality_scores(p: DataFrame, weights: list[float] | None = None) -> DataFram
 SCHEMES = {"equal": [0.25] * 4} | {f"double_{d}": [0.4 if x == d else 0.2 for x in DIMS] for d in DIMS}
 
 
+def scored(p: DataFrame, apart: int = 2) -> DataFrame:
+    """item_id, stratum, dims, disagreements (dimensions whose scores are ``apart`` or more), and qualities: the quality under every scheme, null unless all dimensions have two scores.
+
+    One aggregation of the pairs, a sum per scheme.
+    """
+    half = ((F.col("a") + F.col("b")) / 2 - 1) / 4
+    sums = []
+    for name, w in SCHEMES.items():
+        of = F.element_at(F.create_map(*[x for d, v in zip(DIMS, w) for x in (F.lit(d), F.lit(float(v)))]), F.col("dim"))
+        sums.append(F.round(F.sum(of * half), 9).alias(name))
+    g = p.groupBy("item_id", "stratum").agg(F.count("*").alias("dims"), F.count_if(F.abs(F.col("a") - F.col("b")) >= apart).alias("disagreements"), *sums)
+    whole = F.col("dims") == len(DIMS)
+    return g.select("item_id", "stratum", "dims", "disagreements", F.array(*[F.struct(F.lit(n).alias("scheme"), F.when(whole, F.col(n)).alias("quality")) for n in SCHEMES]).alias("qualities"))
+
+
 def sensitivity(p: DataFrame) -> DataFrame:
     """scheme, stratum (or 'all'), n, mean_quality under every weight scheme."""
-    each = None
-    for name, w in SCHEMES.items():
-        q = quality_scores(p, w).withColumn("scheme", F.lit(name))
-        each = q if each is None else each.union(q)
+    each = scored(p).where(F.col("dims") == len(DIMS)).select("stratum", F.explode("qualities").alias("q")).select("stratum", "q.*")
     g = each.rollup("scheme", "stratum").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.grouping("scheme").alias("g"))
     return g.where("g = 0").select("scheme", F.coalesce(F.col("stratum").cast("string"), F.lit("all")).alias("stratum"), "n", "mean_quality")
 
 
+def disagreements(p: DataFrame, apart: int = 2) -> DataFrame:
+    """item_id, dim, both scores and status of the pairs that a third party has to settle."""
+    return p.where(F.abs(F.col("a") - F.col("b")) >= apart).select("item_id", "dim", F.col("a").alias("reviewer_1_score"), F.col("b").alias("reviewer_2_score"), F.lit("awaiting_third_party_adjudication").alias("status"))
+
+
+def analysis(sample: DataFrame, p: DataFrame, conditions: list[str], kind: str = "output_type") -> DataFrame:
+    """Estimated totals of quality, with bounds, under every scheme, for every condition by kind of output and over all kinds, and over all conditions.
+
+    ``sample`` has item_id, stratum, population (of the stratum), the conditions
+    and the kind, both fixed within a stratum.  A stratum's Horvitz-Thompson
+    total is population / sample size times the sum; it is null if a sampled item has no
+    quality, and the bounds take those as 0 and 1.  Totals of strata add up;
+    one that is null makes those above it null.  Ratings are read once: an item has one
+    row with all its qualities; what is carried up are strata, by grouping sets.
+    """
+    j = sample.join(scored(p).drop("stratum"), "item_id", "left")
+    none = F.array(*[F.struct(F.lit(n).alias("scheme"), F.lit(None).cast("double").alias("quality")) for n in SCHEMES])
+    j = j.select("stratum", *conditions, kind, "population", F.coalesce("disagreements", F.lit(0)).alias("disagreements"), F.explode(F.coalesce("qualities", none)).alias("q")).select("*", "q.*")
+    w = F.col("population") / F.col("n")
+    g = j.groupBy("scheme", "stratum", *conditions, kind).agg(F.max("population").alias("population"), F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0.0)).alias("s"), F.count_if(F.col("quality").isNull()).alias("missing"), F.sum("disagreements").alias("disagreements"))
+    g = g.select("scheme", *conditions, kind, "population", "n", "missing", "disagreements", (w * F.col("s")).alias("low"), (w * (F.col("s") + F.col("missing"))).alias("high"))
+    by = ", ".join(conditions)
+    names = ", ".join(f"if(grouping({c}) = 1, 'all', cast({c} AS string)) AS {c}" for c in [*conditions, kind])
+    return g.sparkSession.sql(
+        f"""SELECT scheme, {names}, sum(population) AS population, sum(n) AS n, sum(missing) AS missing, sum(disagreements) AS disagreements, round(if(sum(missing) = 0, sum(low), NULL), 6) AS estimated_total,
+        round(if(sum(missing) = 0, sum(low) / sum(population), NULL), 6) AS estimated_mean, round(sum(low), 6) AS lower_bound, round(sum(high), 6) AS upper_bound
+        FROM {{g}} GROUP BY GROUPING SETS ((scheme, {by}, {kind}), (scheme, {by}), (scheme, {kind}), (scheme))""",
+        g=g,
+    )
+
+
 def stratified_sample(items: DataFrame, n: int, seed: int, key: str = "item_id", stratum: str = "stratum") -> DataFrame:
     """The first n of each stratum in order of a keyed hash, with population, sample size and inclusion probability."""
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key)), 256)

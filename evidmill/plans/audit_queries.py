@@ -104,12 +104,23 @@ def _means(s, d):
     return U.condition_means(_cases(s, d), ["ranker", "policy"], names)
 
 
-def _challenges(s, d):
+def _challenge_rows(s, d):
     p = A.papers(s, d).withColumn("n", F.col("id").cast("bigint"))
     ev = R.qualified(p, A.topics(s), True).select("id", "topic_id", F.lit(True).alias("ok"))
     j = p.join(A.qrels(s, d), "id").withColumn("topic_id", _topic(F.col("n"))).join(ev, ["id", "topic_id"], "left")
     kinds = F.element_at(F.array(*map(F.lit, ["positive", "generic_negative", "context_negative"])), (F.col("n") % 3 + 1).cast("int"))
-    return U.challenge_gate(j.select(kinds.alias("challenge_type"), (F.col("year") < 2024).alias("eligible"), (F.col("grade") >= 1).alias("expected_positive"), F.coalesce("ok", F.lit(False)).alias("evidence_passed")))
+    return j.select(kinds.alias("challenge_type"), (F.col("year") < 2024).alias("eligible"), (F.col("grade") >= 1).alias("expected_positive"), F.coalesce("ok", F.lit(False)).alias("evidence_passed"))
+
+
+def _challenges(s, d):
+    return U.challenge_gate(_challenge_rows(s, d))
+
+
+def _all_gates(s, d):
+    """The seven gates; the ranking is of papers by evidence for each topic."""
+    rank = lambda gold: R.ranked(R.qualified(A.papers(s, d), A.topics(s), True).select("topic_id", "id", "evidence"), ["topic_id"], [F.desc("evidence"), F.asc("id")], R.POOL)
+    further = U.gold_changes(rank, _gold(s, d), "topic_id", "family", "grade").unionByName(U.negative_passes(_challenge_rows(s, d)))
+    return U.quality_gates(U.topic_means(_cases(s, d)), "relevance", "repaired", "t03", 0.8, 0.5, 0.05, further)
 
 
 def _runs(s, d):
@@ -217,6 +228,7 @@ QUERIES = {
     "topic_metrics": lambda s, d: U.topic_means(_cases(s, d)),
     "condition_means": _means,
     "quality_gates": lambda s, d: U.quality_gates(U.topic_means(_cases(s, d)), "relevance", "repaired", "t03", 0.8, 0.5, 0.05),
+    "closure_gates": _all_gates,
     "historical_regression": lambda s, d: U.regression_slice(_cases(s, d), "relevance", "t03"),
     "challenge_gate": _challenges,
     "view_ranker_metrics": lambda s, d: U.view_metrics(_runs(s, d), _label_views(s, d), 5),
@@ -323,3 +335,9 @@ SELECT seed, network, agent, tick, policy, CASE WHEN reason IS NULL THEN round(l
     "mock_reviews": "WITH r AS (SELECT item_id AS query_id, unnest(['mock_a', 'mock_b']) AS reviewer FROM benchmark), h AS (SELECT *, sha256(query_id || '|' || reviewer) AS h FROM r) SELECT query_id, reviewer, CAST(1 + (" + " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (3 - i)}" for i in range(4)) + ") % 5 AS INTEGER) AS score, true AS is_mock FROM h",
     "ledger_flat": f"WITH {A.SQL_LEDGER} SELECT project_id, array_to_string(list_sort(list(DISTINCT agent_id)), ';') AS members, array_to_string(list_sort(list(entry_id)), ';') AS entries, CAST(sum(units) AS BIGINT) AS units FROM ledger GROUP BY 1",
 }
+
+#: A ranking that doesn't look at judgements has no changed row.
+ORACLES["closure_gates"] = (
+    f"SELECT * FROM ({ORACLES['quality_gates']}) UNION ALL SELECT 'generic_negatives', v, coalesce(v = 0, false) FROM (WITH {RQ._sql_evidence(True)}, {A.SQL_QRELS} SELECT CAST(sum(CASE WHEN coalesce(evidence >= 0.8, false) THEN 1 ELSE 0 END) AS DOUBLE) AS v FROM papers JOIN qrels USING (id) "
+    "LEFT JOIN ev ON ev.id = papers.id AND ev.topic_id = 't' || lpad(CAST(CAST(papers.id AS BIGINT) % 12 AS VARCHAR), 2, '0') WHERE year < 2024 AND CAST(papers.id AS BIGINT) % 3 <> 0) AS g UNION ALL SELECT 'gold_isolation', 0.0, true"
+)

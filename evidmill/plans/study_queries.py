@@ -57,6 +57,12 @@ def _topic_pairs(s, d):
     return j.select("a", "b", F.when(F.col("n_both") > 0, "shared").when(F.col("near"), "near").otherwise("far").alias("relation"), "n_both", F.round(F.try_divide(F.col("n_both"), F.col("na") + F.col("nb") - F.col("n_both")), 6).alias("overlap"))
 
 
+def _conditions(sample):
+    """The six strata as three policies with single and team outputs."""
+    kind = F.when(F.col("stratum") < 3, "solo").otherwise("team")
+    return sample.withColumn("policy", F.element_at(F.array(*map(F.lit, ["balanced", "novelty", "recognition"])), (F.col("stratum") % 3 + 1).cast("int"))).withColumn("output_type", kind)
+
+
 def _regression(s, d):
     """Jaccard (treatment) against BM25 (baseline) by topic: drop of judged precision beyond 0.05; a missing side is incomplete."""
     p, q, g = A.papers(s, d), RQ._queries(s, d), A.qrels(s, d)
@@ -162,6 +168,8 @@ QUERIES = {
     "calibration_select": _calibration,
     "rater_agreement": lambda s, d: review.agreement(review.pairs(A.ratings(s, d))),
     "quality_scores": lambda s, d: review.quality_scores(review.pairs(A.ratings(s, d))).withColumn("quality", F.round("quality", 6)),
+    "review_analysis": lambda s, d: review.analysis(_conditions(_sample(s, d)), review.pairs(A.ratings(s, d)), ["policy"]),
+    "rating_disagreements": lambda s, d: review.disagreements(review.pairs(A.ratings(s, d))),
     "quality_sensitivity": lambda s, d: review.sensitivity(review.pairs(A.ratings(s, d))),
     "stratified_sample": _sample,
     "ht_estimates": lambda s, d: review.ht_estimates(_sample(s, d), review.quality_scores(review.pairs(A.ratings(s, d)))),
@@ -230,6 +238,8 @@ _UTIL = f"{A.SQL_LEDGER}, u AS (SELECT project_id, action, round(avg(units) / 10
 _HEX = " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (12 - i)}" for i in range(13))
 _FACT = f"{_T}, {A.SQL_POLICIES}, fx AS (SELECT topic_id, memory, policy, left(sha256(topic_id || '|' || memory || '|' || policy), 16) AS case_id FROM topics CROSS JOIN (VALUES ('empty'), ('one'), ('many')) AS m(memory) CROSS JOIN policies)"
 
+_SCHEMES = "SELECT * FROM (VALUES ('equal', 'd0', 0.25::DOUBLE), ('equal', 'd1', 0.25), ('equal', 'd2', 0.25), ('equal', 'd3', 0.25), " + ", ".join(f"('double_d{x}', 'd{y}', {0.4 if x == y else 0.2})" for x in range(4) for y in range(4)) + ") AS v(scheme, dim, w)"
+
 ORACLES = {
     "exact_dup_clusters": f"WITH {_P}, {_FAM} SELECT min(id) AS cluster_id, count(*) AS size FROM fam GROUP BY family",
     "near_dup_pairs": f"WITH {_SETS} SELECT a, b, round(score, 6) AS score FROM pr WHERE score >= 0.8",
@@ -256,6 +266,8 @@ ORACLES = {
     "calibration_select": f"WITH {RQ._sql_jaccard(True)}, {A.SQL_QRELS}, s AS (SELECT score, grade >= 1 AS pos FROM hits JOIN qrels USING (id)), g AS (SELECT t AS threshold, count(*) FILTER (score >= t AND pos) AS tp, count(*) FILTER (score >= t AND NOT pos) AS fp, count(*) FILTER (score < t AND pos) AS fn FROM s CROSS JOIN (VALUES (0.0::DOUBLE), (0.02::DOUBLE), (0.04::DOUBLE), (0.06::DOUBLE), (0.08::DOUBLE), (0.1::DOUBLE)) AS v(t) GROUP BY t), f AS (SELECT *, round(coalesce(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 0), 6) AS f1 FROM g) SELECT threshold, tp, fp, fn, f1, row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS chosen FROM f",
     "rater_agreement": f"WITH {A.SQL_RATINGS}, {_LONG}, n AS (SELECT dim, count(*) AS n, avg(CAST(a = b AS INTEGER)) AS same, avg(CAST(abs(a - b) <= 1 AS INTEGER)) AS near, avg(pow((a - b) / 4, 2)) AS oq, avg(abs(a - b)) AS ol FROM pairs GROUP BY 1), ca AS (SELECT dim, a, count(*) AS c FROM pairs GROUP BY 1, 2), cb AS (SELECT dim, b, count(*) AS c FROM pairs GROUP BY 1, 2), e AS (SELECT dim, sum(ca.c * cb.c * pow((a - b) / 4, 2)) AS eq, sum(ca.c * cb.c * abs(a - b)) AS el FROM ca JOIN cb USING (dim) GROUP BY 1) SELECT dim, n AS common_items, round(same, 6) AS exact_rate, round(near, 6) AS within_one_rate, round(1 - oq * n * n / eq, 6) AS quadratic_kappa, round(1 - ol * n * n / el, 6) AS linear_kappa FROM n JOIN e USING (dim)",
     "quality_scores": f"WITH {A.SQL_RATINGS}, {_LONG}, {_QUAL} SELECT item_id, stratum, round(quality, 6) AS quality FROM qual",
+    "review_analysis": f"WITH {_SAMPLE}, {_LONG}, sc AS ({_SCHEMES}), qs AS (SELECT scheme, item_id, round(sum(w * ((a + b) / 2 - 1) / 4), 9) AS quality FROM pairs JOIN sc USING (dim) GROUP BY 1, 2 HAVING count(*) = 4), dg AS (SELECT item_id, count(*) FILTER (abs(a - b) >= 2) AS k FROM pairs GROUP BY 1), g AS (SELECT sn.scheme, ['balanced', 'novelty', 'recognition'][smp.stratum % 3 + 1] AS policy, CASE WHEN smp.stratum < 3 THEN 'solo' ELSE 'team' END AS output_type, max(population) AS population, count(*) AS n, count(*) FILTER (quality IS NULL) AS missing, coalesce(sum(quality), 0) AS s, coalesce(sum(k), 0) AS k FROM smp CROSS JOIN (SELECT DISTINCT scheme FROM sc) AS sn LEFT JOIN qs ON qs.item_id = smp.item_id AND qs.scheme = sn.scheme LEFT JOIN dg ON dg.item_id = smp.item_id GROUP BY sn.scheme, smp.stratum) SELECT scheme, CASE WHEN grouping(policy) = 1 THEN 'all' ELSE policy END AS policy, CASE WHEN grouping(output_type) = 1 THEN 'all' ELSE output_type END AS output_type, CAST(sum(population) AS BIGINT) AS population, CAST(sum(n) AS BIGINT) AS n, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(k) AS BIGINT) AS disagreements, round(CASE WHEN sum(missing) = 0 THEN sum(population / n * s) END, 6) AS estimated_total, round(CASE WHEN sum(missing) = 0 THEN sum(population / n * s) / sum(population) END, 6) AS estimated_mean, round(sum(population / n * s), 6) AS lower_bound, round(sum(population / n * (s + missing)), 6) AS upper_bound FROM g GROUP BY GROUPING SETS ((scheme, policy, output_type), (scheme, policy), (scheme, output_type), (scheme))",
+    "rating_disagreements": f"WITH {A.SQL_RATINGS}, {_LONG} SELECT item_id, dim, a AS reviewer_1_score, b AS reviewer_2_score, 'awaiting_third_party_adjudication' AS status FROM pairs WHERE abs(a - b) >= 2",
     "quality_sensitivity": f"WITH {A.SQL_RATINGS}, {_LONG}, sc AS (SELECT * FROM (VALUES ('equal', 'd0', 0.25::DOUBLE), ('equal', 'd1', 0.25), ('equal', 'd2', 0.25), ('equal', 'd3', 0.25), " + ", ".join(f"('double_d{x}', 'd{y}', {0.4 if x == y else 0.2})" for x in range(4) for y in range(4)) + ") AS v(scheme, dim, w)), qs AS (SELECT scheme, item_id, stratum, round(sum(w * ((a + b) / 2 - 1) / 4), 9) AS quality FROM pairs JOIN sc USING (dim) GROUP BY 1, 2, 3 HAVING count(*) = 4) SELECT scheme, coalesce(CAST(stratum AS VARCHAR), 'all') AS stratum, count(*) AS n, round(avg(quality), 6) AS mean_quality FROM qs GROUP BY GROUPING SETS ((scheme, stratum), (scheme))",
     "stratified_sample": f"WITH {_SAMPLE} SELECT item_id, stratum, draw, population, least(25, population) AS sample_size, round(least(25, population) / population, 9) AS inclusion_probability FROM smp",
     "ht_estimates": f"WITH {_SAMPLE}, {_LONG}, {_QUAL}, g AS (SELECT smp.stratum, max(population) AS population, count(*) AS n, count(*) FILTER (quality IS NULL) AS missing, coalesce(sum(quality), 0) AS s FROM smp LEFT JOIN qual USING (item_id) GROUP BY 1) SELECT stratum, population, n, missing, round(CASE WHEN missing = 0 THEN population / n * s END, 6) AS estimated_total, round(population / n * s, 6) AS lower_bound, round(population / n * (s + missing), 6) AS upper_bound FROM g",

@@ -114,3 +114,33 @@ def test_an_effect_without_all_seeds_has_no_interval(spark):
     df = spark.createDataFrame(rows, "comparison string, stratum string, treatment string, metric string, seed int, diff double")
     got = {r["metric"]: (r["n_pairs"], r["ci_low"] is None, r["status"]) for r in effects.bootstrap(df, replicates=50, seeds=[0, 1, 2]).collect()}
     assert got == {"all": (3, False, "complete"), "part": (2, True, "incomplete"), "null": (2, True, "incomplete")}
+
+
+def test_gates_of_isolation_and_negatives(spark):
+    gold = spark.createDataFrame([("t", f"d{i}", i % 3) for i in range(9)], "topic_id string, id string, grade int")
+    mixed = audits.permuted(gold, "topic_id", "id", "grade")
+    assert sorted(r["grade"] for r in mixed.collect()) == sorted(r["grade"] for r in gold.collect()) and mixed.exceptAll(gold).count() > 0
+    blind = lambda g: spark.createDataFrame([("t", "d1", 1), ("t", "d2", 2)], "topic_id string, id string, rank int")
+    peeking = lambda g: g.where("grade = 2").select("topic_id", "id")
+    assert audits.gold_changes(blind, gold, "topic_id", "id", "grade").first()["value"] == 0
+    assert audits.gold_changes(peeking, gold, "topic_id", "id", "grade").first()["value"] > 0
+    rows = spark.createDataFrame([("generic_negative", True, True), ("context_negative", False, True), ("positive", True, True)], "challenge_type string, eligible boolean, evidence_passed boolean")
+    assert audits.negative_passes(rows).first()["value"] == 1 and audits.negative_passes(rows.where("not eligible")).first()["value"] is None
+    means = spark.createDataFrame([(r, "t", 0.9, 0, 0) for r in ("new", "base")], "ranker string, topic_id string, mean_capacity_coverage double, empty_results long, all_irrelevant_returns long")
+    further = audits.negative_passes(rows.where("not eligible")).unionByName(audits.gold_changes(blind, gold, "topic_id", "id", "grade"))
+    gates = {r["check"]: r["passed"] for r in audits.quality_gates(means, "base", "new", "t", 0.8, 0.5, 0.05, further).collect()}
+    assert gates == {"named_topic": True, "macro": True, "minimum_topic": True, "baseline_drop": True, "zero_relevant_returns": True, "generic_negatives": False, "gold_isolation": True}
+
+
+def test_estimates_are_carried_up_from_strata(spark):
+    from evidmill.operators import review
+
+    rows = [(i, s, r, *([v] * 4)) for i, s, v in (("a", 0, 5), ("b", 0, 1), ("c", 1, 3), ("d", 2, None)) for r in (1, 2)]
+    ratings = spark.createDataFrame(rows, "item_id string, stratum int, reviewer int, d0 int, d1 int, d2 int, d3 int")
+    sample = spark.createDataFrame([("a", 0, 10, "p", "solo"), ("b", 0, 10, "p", "solo"), ("c", 1, 4, "p", "team"), ("d", 2, 6, "q", "team")], "item_id string, stratum int, population int, policy string, output_type string")
+    got = {(r["policy"], r["output_type"]): r for r in review.analysis(sample, review.pairs(ratings), ["policy"]).where("scheme = 'equal'").collect()}
+    assert (got["p", "solo"]["estimated_total"], got["p", "team"]["estimated_total"], got["p", "all"]["estimated_total"], got["p", "all"]["estimated_mean"]) == (5.0, 2.0, 7.0, 0.5)
+    assert got["q", "team"]["estimated_total"] is None and got["all", "all"]["estimated_total"] is None
+    assert (got["all", "all"]["lower_bound"], got["all", "all"]["upper_bound"], got["all", "team"]["missing"]) == (7.0, 13.0, 1)
+    apart = spark.createDataFrame([("a", 0, 1, 1, 2, 3, 4), ("a", 0, 2, 3, 3, 3, 1)], ratings.schema)
+    assert sorted(r["dim"] for r in review.disagreements(review.pairs(apart)).collect()) == ["d0", "d3"]
