@@ -64,10 +64,18 @@ def bm25_topk(papers: DataFrame, queries: DataFrame, k: int = OUTPUT) -> DataFra
 
 
 def jaccard_hits(papers: DataFrame, queries: DataFrame, field: bool = True) -> DataFrame:
-    """query_id, id, score: token-set Jaccard of pairs that share a token, by an inverted join; every text is split once."""
+    """query_id, id, score: token-set Jaccard of pairs that share a token, by an inverted join; every text is split once.
+
+    Only tokens of queries leave their paper.  They are dealt by paper, so that
+    pairs are counted where a paper's tokens are and only scores go on.  The
+    queries' tokens go there by broadcast if they are counted to be
+    BROADCAST_ROWS at most, else both meet by token.
+    """
+    q = written(queries.select("query_id", T.token_set(F.col("query")).alias("w")).select("query_id", F.size("w").alias("nq"), F.explode("w").alias("token")), "terms")
+    sent = F.broadcast if q.count() <= BROADCAST_ROWS else lambda df: df
     d = papers.select("id", _once(T.token_set(content(field))).alias("w")).select("id", F.size("w").alias("nd"), F.explode("w").alias("token"))
-    q = queries.select("query_id", T.token_set(F.col("query")).alias("w")).select("query_id", F.size("w").alias("nq"), F.explode("w").alias("token"))
-    both = d.join(q, "token").groupBy("query_id", "id", "nd", "nq").agg(F.count("*").alias("both"))
+    near = d.join(sent(q.select("token").distinct()), "token", "left_semi").repartition("id")
+    both = near.join(sent(q), "token").groupBy("query_id", "id", "nd", "nq").agg(F.count("*").alias("both"))
     return both.select("query_id", "id", F.round(F.col("both") / (F.col("nd") + F.col("nq") - F.col("both")), DIGITS).alias("score"))
 
 
