@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from evidmill.llm.common import table, written
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
+#: A comment, a declaration, or a tag: a quote opens a value only after "=", and a tag whose value isn't closed ends at the next ">".
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 # Elements of the HTML standard by their role.
@@ -61,6 +62,7 @@ def parse(text: str) -> Node:
     """Element tree of a page, however broken: unclosed elements end with the element around them, stray end tags are ignored."""
     root = Node("#root", {})
     stack, pos, n = [root], 0, len(text)
+    last = text.rfind(">")  # no tag begins after it, so none is sought in vain at each "<"
 
     places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
 
@@ -71,7 +73,7 @@ def parse(text: str) -> Node:
                 places[stack.pop().tag].pop()
 
     while pos < n:
-        m = TOKEN.search(text, pos)
+        m = TOKEN.search(text, pos) if pos <= last or text.find("<!--", pos) >= 0 else None
         if not m:
             stack[-1].kids.append(html.unescape(text[pos:]))
             break

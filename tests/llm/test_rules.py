@@ -184,3 +184,23 @@ def test_boxes_inside_articles_go_and_copied_articles_stay(spark):
 )
 def test_main_text_is_not_lost(page, text):
     assert H.main_text(page, set()) == text
+
+
+def test_quotes_open_values_only_and_broken_pages_take_linear_time(spark):
+    import time
+
+    pages = {
+        1: ("<article><p class=x'>Hello world</p><p>it's fine</p></article>", "Hello world\nit's fine"),
+        2: ("<p don't>Hello</p><p>it's there</p>", "Hello\nit's there"),
+        3: ("<!--><p>one</p><!---><p>two</p><!-- > <p>no</p> --><p>three</p><!-- x --!><p>four</p>", "one\ntwo\nthree\nfour"),
+        4: ("<p title=\"a > b\" data-x = 'c > d'>text</p>", "text"),
+        5: ('<p title="open>first</p><p>second</p>', "first\nsecond"),
+        6: ("<p>before</p><!-- never closed <p>no</p>", "before"),
+    }
+    df = spark.createDataFrame([(k, "http://h/", h) for k, (h, _) in pages.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()} == {k: t for k, (_, t) in pages.items()}
+    for part in ('<p "', "<a ", "<a x='", '<a x="', "<!x ", "<a x=", '<p ="y', "<!", "<p x='>", "</a "):
+        for tail in ("", ">", "'>", '">'):
+            t = time.time()
+            H.parse(part * (1_000_000 // len(part)) + tail)
+            assert time.time() - t < 20, (part, tail)
