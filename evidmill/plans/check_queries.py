@@ -54,7 +54,7 @@ def _canonical(s, d):
     return e.select("event_id", fingerprints.canonical_json(text).alias("c")).select("event_id", "c.*")
 
 
-def _cards(s, d):
+def _nested(s, d):
     """Documents as nested cards: a map of their source and, for some, a network; parts with notes and, for some, an agent."""
     t = A.tables(s, d, "documents")[0]
     n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
@@ -77,7 +77,7 @@ QUERIES = {
     "metric_span": lambda s, d: K.spans(A.branches(s, d), "policy", "effort"),
     "text_diversity": _diversity,
     "canonical_records": _canonical,
-    "nested_leaks": lambda s, d: K.nested_leaks(_cards(s, d), ["network", "agent_id"], ["license", "@"], ["doc_id"]),
+    "nested_leaks": lambda s, d: K.nested_leaks(_nested(s, d), ["network", "agent_id"], ["license", "@"], ["doc_id"]),
 }
 
 _HEX = " + ".join(f"(strpos('0123456789abcdef', h[{i + 1}]) - 1) * {16 ** (12 - i)}" for i in range(13))
