@@ -39,12 +39,13 @@ def decided(template: DataFrame, decisions: DataFrame, version: str, base: str |
     for c in ("rationale", "excerpt", "reviewer_id", "reviewed_at"):
         blank = blank | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
     other = F.lit(False) if base is None else ~F.col("base_hash").eqNullSafe(F.lit(base))
+    # in capitals: lower case doesn't bring SS back to the sharp s that it is the capital of
     fault = (
         F.when(F.col("__known").isNull() | ~F.col("review_version").eqNullSafe(F.lit(version)) | other, "unknown_review")
         .when(~F.coalesce(F.col("decision").isin("retain", "revise", "insufficient_information"), F.lit(False)), "invalid_decision")
         .when((F.col("decision") == "revise") & ~F.coalesce(F.col("grade").isin(0, 1, 2), F.lit(False)), "invalid_grade")
         .when(blank, "incomplete")
-        .when(~F.coalesce(F.lower("text").contains(F.lower("excerpt")), F.lit(False)), "excerpt_not_in_text")
+        .when(~F.coalesce(F.upper("text").contains(F.upper("excerpt")), F.lit(False)), "excerpt_not_in_text")
     )
     grade = F.when(F.col("decision") == "retain", F.col("old_grade")).when(F.col("decision") == "revise", F.col("grade"))
     return d.withColumn("fault", fault).select("review_id", "topic_id", "family", "fault", F.when(F.col("fault").isNull(), grade).alias("proposed_grade"))
