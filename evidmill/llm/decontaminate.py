@@ -52,6 +52,10 @@ def _lists(kind: pa.DataType, rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.concat_arrays(parts))
 
 
+#: A segment is a row of megabytes, so the writer asks after each how much it holds (of itself it would hold 100) and closes small row groups, which is what a reader holds.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
+
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4 << 20) -> DataFrame:
     """The positional index, written in the shared folder: a row per segment of documents.
 
@@ -59,7 +63,9 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     text or else one document: ids (the keys of its documents), n_words of each,
     its distinct terms, the number of places of each, and the places, rising for
     each term, as differences from the place before.  It is kept by document, so
-    that postings are never shuffled and no common word meets in one task.
+    that postings are never shuffled and no common word meets in one task.  Row
+    groups hold a few segments, so that neither writing nor reading needs memory
+    that grows with a task's input.
     Every row is a document, even if keys or texts repeat; a null key stays, a
     null text has no words.  Other columns of docs are left out.
     """
@@ -79,7 +85,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                 number, a = number + 1, b
 
     kind = docs.schema[key].dataType.simpleString()
-    return written(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"segment bigint, ids array<{kind}>, n_words array<int>, terms array<binary>, counts array<int>, places array<int>"), "postings")
+    return written(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"segment bigint, ids array<{kind}>, n_words array<int>, terms array<binary>, counts array<int>, places array<int>"), "postings", **SMALL_GROUPS)
 
 
 class Phrases:
