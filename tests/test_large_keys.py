@@ -80,3 +80,21 @@ def test_index_is_written_in_small_row_groups(spark, tmp_path):
     found = decontaminate.index(docs, size=1 << 20)
     groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in glob.glob(found._evidmill_path.removeprefix("file://") + "/*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
     assert sum(groups) == 40 and max(groups) <= 20
+
+
+def test_schedule_keeps_few_pairs_and_completes_short_leaders(spark):
+    """Bounds that let 64 or only a few pass give what sorting all pairs gives, also without a field."""
+    import hashlib
+
+    from evidmill.operators import matrix
+
+    agents = [(i, None if i % 50 == 0 else i % 3 if i else 7) for i in range(300)]
+    df = spark.createDataFrame(agents, "agent_id long, field int")
+    want = set()
+    for i, f in agents:
+        for kind, n in (("same", 1), ("other", 2)):
+            of = sorted((hashlib.sha256(f"{i}|{j}".encode()).hexdigest(), j) for j, g in agents if j != i and (f is not None and f == g) == (kind == "same"))
+            want |= {(i, j, kind, p + 1) for p, (_, j) in enumerate(of[:n])}
+    for through in (64, 1):
+        out = matrix.schedule(df, {"same": 1, "other": 2}, through)
+        assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
