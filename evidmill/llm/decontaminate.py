@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evidmill.llm.common import table, written
+from evidmill.operators.graph import SMALL_GROUPS
 
 #: Bytes of a text: A-Z become a-z, what stands between words becomes a space; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -52,10 +53,6 @@ def _lists(kind: pa.DataType, rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.concat_arrays(parts))
 
 
-#: A segment is a row of megabytes, so the writer asks after each how much it holds (of itself it would hold 100) and closes small row groups, which is what a reader holds.
-SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
-
-
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4 << 20) -> DataFrame:
     """The positional index, written in the shared folder: a row per segment of documents.
 

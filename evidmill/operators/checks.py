@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidmill.functions.text import uniform
+from evidmill.operators.graph import SMALL_GROUPS, written
 
 
 def adjudication_queue(pairs: DataFrame) -> DataFrame:
@@ -137,36 +141,53 @@ def spans(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.round(F.max(value) - F.min(value), 6).alias("span"))
 
 
-#: Token sets of a block; every two blocks of a group meet once.
-SETS = 512
+#: Token sets of a block; every two blocks of a group meet once.  Blocks of a group that are sent to all tasks at once.
+SETS, SENT = 512, 16
 
 
-def _similarity(part: pd.DataFrame) -> float:
-    """Sum of the Jaccard similarities, at 9 digits each, of the pairs of two blocks (columns b, lo, hi, w), or within one."""
-    place: dict = {}
-    sets = [np.array([place.setdefault(t, len(place)) for t in w], dtype=np.int64) for w in part["w"]]
-    size = np.array([len(x) for x in sets], dtype=np.float64)
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    rows, cols = np.repeat(np.arange(len(sets)), size.astype(np.int64)), np.concatenate(sets)
-    for k in range(0, len(place), 4096):
-        ok = (cols >= k) & (cols < k + 4096)
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[rows[ok], cols[ok] - k] = 1
-        both += m @ m.T
-    j = np.round(both / np.maximum(size[:, None] + size[None, :] - both, 1), 9)
-    b = part["b"].to_numpy()
-    cross = b[:, None] != b[None, :]
-    return float(np.triu(j if part["lo"].iloc[0] == part["hi"].iloc[0] else np.where(cross, j, 0), 1).sum())
+def _similarity(a: pa.ListArray, b: pa.ListArray, one: bool) -> float:
+    """Sum of the Jaccard similarities, at 9 digits each, of the pairs of two blocks of sets, or (``one``) within one."""
+    size = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    words = [x.flatten() for x in (a, b)]
+    # only words of both sides count
+    terms = pc.unique(words[0]).filter(pc.is_in(pc.unique(words[0]), value_set=pc.unique(words[1])))
+    code = [pc.fill_null(pc.index_in(w, value_set=terms), -1).to_numpy(zero_copy_only=False) for w in words]
+    rows = [np.repeat(np.arange(len(n)), n) for n in size]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(terms), 2048):
+        m = [np.zeros((len(n), 2048), np.float32) for n in size]
+        for x, c, r in zip(m, code, rows, strict=True):
+            ok = (c >= k) & (c < k + 2048)
+            x[r[ok], c[ok] - k] = 1
+        both += m[0] @ m[1].T
+    j = np.floor(both / np.maximum(size[0][:, None] + size[1][None, :] - both.astype(np.float64), 1) * 1e9 + 0.5) / 1e9
+    return float(np.triu(j, 1).sum() if one else j.sum())
 
 
 def text_diversity(sets: DataFrame, by: str) -> DataFrame:
-    """Mean of 1 - Jaccard over all pairs of a group's token sets (columns by, id, w without repeats), by pairs of blocks."""
+    """Mean of 1 - Jaccard over all pairs of a group's token sets (columns by, id, w without repeats), by pairs of blocks.
+
+    Each set is written once, in a block.  SENT blocks of every group at a time
+    go to all tasks, so that pairs of blocks meet without a shuffle; the number
+    of pairs stays the square of a group.
+    """
     n = sets.groupBy(by).agg(F.count("*").alias("n"))
     blocks = -(-(n.agg(F.max("n")).first()[0] or 0) // SETS) or 1
-    dealt = sets.select(by, "w", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
-    dealt = dealt.select(F.col(by).alias("g"), "w", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
-    kind = sets.schema[by].dataType.simpleString()
-    sums = dealt.groupBy("g", "lo", "hi").applyInPandas(lambda p: pd.DataFrame({"g": [p["g"].iloc[0]], "j": [_similarity(p)]}), f"g {kind}, j double")
+    dealt = sets.select(F.col(by).alias("g"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "w").groupBy("g", "b").agg(F.collect_list("w").alias("w"))
+    dealt = written(dealt, "blocks", **SMALL_GROUPS)
+    kind = sets.schema[by].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            j = [_similarity(batch.column(1)[i].values, batch.column(2)[i].values, batch.column(3)[i].as_py()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(j, pa.float64())], ["g", "j"])
+
+    sums = None
+    for p in range(0, blocks, SENT):
+        part = dealt.where(F.col("b").between(p, p + SENT - 1)).select(F.col("g").alias("h"), F.col("b").alias("o"), F.col("w").alias("v"))
+        met = dealt.join(F.broadcast(part), F.col("g").eqNullSafe(F.col("h")) & (F.col("b") <= F.col("o"))).select("g", "w", "v", (F.col("b") == F.col("o")).alias("one"))
+        found = met.mapInArrow(run, f"g {kind.simpleString()}, j double")
+        sums = found if sums is None else sums.union(found)
     shared = sums.groupBy(F.col("g").alias(by)).agg(F.sum("j").alias("j"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return n.join(shared, by, "left").select(by, F.round(F.coalesce(1 - F.try_divide(F.coalesce("j", F.lit(0.0)), pairs), F.lit(0.0)), 6).alias("diversity"))

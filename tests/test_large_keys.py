@@ -98,3 +98,18 @@ def test_schedule_keeps_few_pairs_and_completes_short_leaders(spark):
     for through in (64, 1):
         out = matrix.schedule(df, {"same": 1, "other": 2}, through)
         assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_diversity_sends_no_copies_of_sets_through_a_shuffle(spark, monkeypatch):
+    """Many blocks in several passes give the mean over all pairs; sets aren't repeated for the blocks they meet."""
+    from evidmill.operators import checks
+
+    monkeypatch.setattr(checks, "SETS", 6)
+    monkeypatch.setattr(checks, "SENT", 2, raising=False)
+    sets = [(i % 2, i, [f"w{j}" for j in range(i % 9, i % 9 + i % 4)]) for i in range(40)]
+    got = checks.text_diversity(spark.createDataFrame(sets, "g int, id long, w array<string>"), "g")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for g, d in got.collect():
+        w = [set(x) for h, _, x in sets if h == g]
+        j = [len(a & b) / max(1, len(a | b)) for k, a in enumerate(w) for b in w[:k]]
+        assert d == pytest.approx(1 - sum(j) / len(j), abs=2e-6)
