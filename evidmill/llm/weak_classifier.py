@@ -162,8 +162,8 @@ def fit_scorer(rows: list[tuple], target: np.ndarray, epochs: int = 12, rate: fl
     batches = []
     for k in range(0, len(rows), size):
         part = rows[k : k + size]
-        at = np.concatenate([np.full(len(i), r) for r, (i, _) in enumerate(part)])
-        batches.append((at, np.concatenate([i for i, _ in part]).astype(np.int64), np.concatenate([v for _, v in part]), target[k : k + size]))
+        at = np.concatenate([np.full(len(i), r, np.uint8) for r, (i, _) in enumerate(part)])
+        batches.append((at, np.concatenate([i for i, _ in part]), np.concatenate([v for _, v in part]), target[k : k + size]))
     for _ in range(epochs):
         for at, idx, val, y in batches:
             z = np.bincount(at, weights=w[idx] * val, minlength=len(y)) + b
@@ -177,6 +177,22 @@ def fit_scorer(rows: list[tuple], target: np.ndarray, epochs: int = 12, rate: fl
     return w, float(b)
 
 
+def fitted(posterior: dict[str, float]):
+    """The sample's rows (votes, i, v), all in one task and in order, to one row (w, b) of fit_scorer(); none to none."""
+    kind = pa.schema([("w", pa.binary()), ("b", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, target = [], []
+        for batch in batches:
+            target += [posterior[v] for v in batch.column(0).to_pylist()]
+            rows += [(np.frombuffer(i.as_py(), np.int16), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(batch.column(1), batch.column(2))]
+        if rows:
+            w, b = fit_scorer(rows, np.array(target))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b], pa.float64())], schema=kind)
+
+    return run
+
+
 def drawn_and_counted(cut: int):
     """(place, text) to rows of counts (votes, n) and, for places below ``cut``, rows of features (votes, place, buckets, values)."""
     kind = pa.schema([("votes", pa.string()), ("n", pa.int64()), ("place", pa.int64()), ("i", pa.binary()), ("v", pa.binary())])
@@ -215,12 +231,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     found = written(docs.select(place.alias("place"), F.col(text).cast("string").alias("text")).mapInArrow(drawn_and_counted(cut), "votes string, n bigint, place bigint, i binary, v binary"), "votes")
     counts = {r["votes"]: r["n"] for r in found.where("n is not null").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     model = fit_labels(counts)
-    # the limit holds the bound where chance or repeated keys exceed it
-    got = found.where("n is null").orderBy("place", "votes", "i").limit(sample).collect()
-    rows = [(np.frombuffer(r["i"], np.int16), np.frombuffer(r["v"], np.float32)) for r in got]
-    target = np.array([model["posterior"][r["votes"]] for r in got])
+    # the limit holds the bound where chance or repeated keys exceed it; a task fits, so that the driver sees the weights alone
+    drawn = found.where("n is null").orderBy("place", "votes", "i").limit(sample).select("votes", "i", "v")
+    got = drawn.coalesce(1).mapInArrow(fitted(model["posterior"]), "w binary, b double").first()
     discard(found)
-    w, b = fit_scorer(rows, target) if rows else (np.zeros(BUCKETS), 0.0)
+    w, b = (np.frombuffer(got["w"]), got["b"]) if got else (np.zeros(BUCKETS), 0.0)
     return model | {"w": w, "b": b}
 
 

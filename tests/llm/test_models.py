@@ -237,3 +237,11 @@ def test_every_operator_is_registered():
 
     assert {n.split("_")[0] for n in Q.queries()} == {f"op{k}" for k in range(1, 11)}
     assert os.path.isdir(SF) and list(itertools.islice(Q.oracle_sql(), 1))
+
+
+def test_the_sample_of_the_classifier_stays_out_of_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"Line {k} of a plain text with words w{k % 7} and v{k % 5}. ") for k in range(400)], "doc_id bigint, text string")
+    taken, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    model = C.fit(docs)
+    assert model["w"].any() and max(map(len, taken)) < 100
