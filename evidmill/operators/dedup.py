@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidmill.functions import text as T
 from evidmill.operators.graph import connected_components, written
 from evidmill.operators.retrieval import content
+from evidmill.operators.similar import similar_sets, tokens_key
 
 
 def distinct_texts(papers: DataFrame) -> DataFrame:
@@ -17,36 +18,12 @@ def distinct_texts(papers: DataFrame) -> DataFrame:
     return papers.select("id", w.alias("w")).groupBy("w").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """a < b, score: pairs of different sets (columns id, w) with a Jaccard similarity of ``threshold`` or more; exact.
-
-    Prefix filter: with tokens from rare to frequent, sets that similar share a
-    token among their first |w| - ceil(threshold * |w|) + 1.  Pairs of unlike
-    size never meet; the others are verified on their whole sets.
-    """
-    sets = written(sets.select("id", "w"), "sets")
-    tokens = sets.select("id", F.size("w").alias("size"), F.explode("w").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = F.row_number().over(W.partitionBy("id").orderBy("df", "token"))
-    prefix = tokens.join(df.where("df > 1"), "token").withColumn("place", order)
-    # tokens of one set are no join partners but take places at the front of the order
-    alone = tokens.join(df.where("df = 1"), "token", "left_semi").groupBy("id").agg(F.count("*").alias("alone"))
-    prefix = prefix.join(alone, "id", "left").withColumn("place", F.col("place") + F.coalesce("alone", F.lit(0)))
-    prefix = prefix.where(F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).select("id", "size", "token")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    fits = F.col("x.size") * 1.0 >= threshold * F.col("y.size") - 1e-9
-    fits &= F.col("y.size") * 1.0 >= threshold * F.col("x.size") - 1e-9
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return full.select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 9).alias("score")).where(F.col("score") >= threshold)
-
-
 def duplicate_components(papers: DataFrame, threshold: float = 0.82) -> DataFrame:
     """id, component: papers linked by equal texts or token sets of Jaccard ``threshold`` or more, transitively."""
-    sets = distinct_texts(papers)
-    roots = connected_components(similar_sets(sets, threshold))
-    named = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("w", F.coalesce("root", "id").alias("component"))
-    return papers.select("id", F.sort_array(T.token_set(content())).alias("w")).join(named, "w").select("id", "component")
+    base = written(papers.select("id", F.sort_array(T.token_set(content())).alias("w")).withColumn("key", tokens_key(F.col("w"))), "papers")
+    roots = connected_components(similar_sets(base.groupBy("w").agg(F.min("id").alias("id")), threshold))
+    named = base.groupBy("key").agg(F.min("id").alias("first")).join(roots.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("component"))
+    return base.select("id", "key").join(named, "key").select("id", "component")
 
 
 def exact_clusters(papers: DataFrame) -> DataFrame:
@@ -66,15 +43,16 @@ def pair_quality(papers: DataFrame, threshold: float = 0.97) -> DataFrame:
     Pairs within a set or family are counted by its size, not emitted.
     """
     base = papers.select("id", F.sort_array(T.token_set(content())).alias("w"), F.md5(T.normalized(content())).alias("family"))
+    base = written(base.withColumn("key", tokens_key(F.col("w"))), "papers")
     pairs = lambda n: n * (n - 1) / 2
-    parts = base.groupBy("w", "family").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    by_set = parts.groupBy("w").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.sum(pairs(F.col("n"))).alias("same"))
+    parts = base.groupBy("key", "family").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    by_set = parts.groupBy("key").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.sum(pairs(F.col("n"))).alias("same"))
     by_set = written(by_set, "sets")
-    cross = written(similar_sets(by_set, threshold).select("a", "b"), "pairs")
+    cross = similar_sets(base.groupBy("w").agg(F.min("id").alias("id")), threshold).select("a", "b")
     of = lambda c: by_set.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
     across = cross.join(of("a"), "a").join(of("b"), "b").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("x"))
     # texts of one family have one token set but for underscores, at which normalising splits; so few families lie in several sets
-    held = parts.join(by_set.select("w", F.col("id").alias("set")), "w").select("family", "set", "n")
+    held = parts.join(by_set.select("key", F.col("id").alias("set")), "key").select("family", "set", "n")
     split = held.join(held.groupBy("family").agg(F.count("*").alias("sets")).where("sets > 1").select("family"), "family", "left_semi")
     one_side = lambda c: split.select("family", F.col("set").alias(c), F.col("n").alias(f"n{c}"))
     met = cross.join(one_side("a"), "a").join(one_side("b"), ["family", "b"]).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("m"))

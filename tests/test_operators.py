@@ -71,6 +71,50 @@ def test_similar_sets_by_brute_force(spark):
         assert {(r["a"], r["b"]) for r in dedup.similar_sets(df, t).collect()} == want
 
 
+def _alike(rng, count, sizes, pool):
+    """Sets of unlike size, most with a near copy."""
+    sets = []
+    while len(sets) < count:
+        w = set(rng.sample(pool, rng.choice(sizes)))
+        sets.append(w)
+        for _ in range(rng.randrange(3)):
+            sets.append(set(rng.sample(sorted(w), len(w) - rng.randrange(max(1, len(w) // 5)))) | set(rng.sample(pool, rng.randrange(1, max(2, len(w) // 8)))))
+    return {f"{k:04d}": w for k, w in enumerate(sets)}
+
+
+def test_similar_sets_in_blocks_by_brute_force(spark, monkeypatch):
+    import random
+
+    from evidmill.operators import similar
+
+    monkeypatch.setattr(similar, "TOKEN_BLOCK", 5)
+    monkeypatch.setattr(similar, "SET_BLOCK", 3)
+    monkeypatch.setattr(similar, "FREQUENT", 300)
+    sets = _alike(random.Random(1), 150, [1, 2, 5, 30, 300, 390, 420, 1700, 2000], [f"w{k}" for k in range(9000)])
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id string, w array<string>").repartition(5)
+    for t in (0.8, 0.9):
+        score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        want = {(a, b): score(a, b) for a in sets for b in sets if a < b and score(a, b) >= t - 1e-12 and sets[a] != sets[b]}
+        got = [(r["a"], r["b"], r["score"]) for r in similar.similar_sets(df, t).where("score < 1").collect()]
+        assert len(want) > 3 and len(got) == len(want) and all(abs(want[a, b] - s) < 1e-8 for a, b, s in got)
+
+
+def test_unlike_sets_of_one_prefix_are_not_shuffled(spark):
+    import random
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(2)
+    rows = [(f"{k:04d}", sorted({f"r{x}" for x in rng.sample(range(40), 20)} | {f"f{x}" for x in rng.sample(range(400), 60)})) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id string, w array<string>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    try:
+        assert dedup.similar_sets(df, 0.8).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled() - before < 8_000_000
+
+
 def test_chains_and_cycles(spark):
     m = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, None)], "project_id long, merged_into long")
     assert {r["project_id"]: r["terminal"] for r in ledger.terminals(m).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
