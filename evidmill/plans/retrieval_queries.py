@@ -27,24 +27,29 @@ def _base(s, d, variant):
     return written(R.base_pool(A.papers(s, d), A.topics(s), variant, A.memory(s)), "pool")
 
 
-def _selected(s, d, variant, base):
-    labels = _labels(s, d)
-    return R.gated(A.papers(s, d), A.topics(s), A.policies(s), R.attention(labels, A.topics(s)), labels, variant, A.reads(s, d), A.memory(s), base)
+def _sides(s, d):
+    """Labels, and what readers have read: written, as every selection needs the same."""
+    return written(_labels(s, d), "labels"), written(A.reads(s, d), "reads")
+
+
+def _selected(s, d, variant, base, sides=None):
+    labels, reads = sides or _sides(s, d)
+    return R.gated(A.papers(s, d), A.topics(s), A.policies(s), R.attention(labels, A.topics(s)), labels, variant, reads, A.memory(s), base)
 
 
 def _gated(mode):
     def run(s, d):
-        labels = _labels(s, d)
-        return R.retrieve(mode, A.papers(s, d), A.topics(s), A.policies(s), R.attention(labels, A.topics(s)), labels, A.reads(s, d), A.memory(s))
+        labels, reads = _sides(s, d)
+        return R.retrieve(mode, A.papers(s, d), A.topics(s), A.policies(s), R.attention(labels, A.topics(s)), labels, reads, A.memory(s))
 
     return run
 
 
 def _fallbacks(s, d):
-    out = None
+    out, sides = None, _sides(s, d)
     for variant in ("relevance", "fixed", "guarded", "repaired"):
         base = _base(s, d, variant)
-        part = R.fallbacks(base, _selected(s, d, variant, base), A.topics(s), A.policies(s), variant).withColumn("variant", F.lit(variant))
+        part = R.fallbacks(base, _selected(s, d, variant, base, sides), A.topics(s), A.policies(s), variant).withColumn("variant", F.lit(variant))
         out = part if out is None else out.union(part)
     return out
 
