@@ -5,7 +5,7 @@ subword ids by a public byte-level BPE.  The model factors a subword: one layer
 of causal self-attention over classes of the preceding subwords gives the next
 class, and counts over all training documents give the id within its class.
 Classes come from the neighbours of every subword in all training documents.
-The layer starts from a sample and then goes once over windows drawn from every
+The layer starts from a sample and then goes once over every subword of every
 training document, in shards whose parameters are averaged.  A word's
 probability is a mixture of what the layer spells and of its share of all
 training words, so what the model knows grows with the corpus.
@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidmill.llm.bpe import encoding
-from evidmill.llm.common import table, tokenizer_path, written
+from evidmill.llm.common import discard, table, tokenizer_path, written
 
 #: Classes of subwords (the last is the end), head width, window, and tokens of a window that only give context.
 CLASSES, WIDTH, WINDOW, OVERLAP = 48, 16, 32, 8
 END = CLASSES - 1
 #: Documents of the sample the layer starts from, and of a shard of the pass over all; steps of 64 windows on the sample.
 SAMPLE, STEPS = 1500, 300
-#: Subwords of a training document per window drawn from it, and the layer's part in the mixture.
-STRIDE, MIX = 1024, 0.25
+#: The layer's part in the mixture.
+MIX = 0.25
 #: Words whose counts every worker holds; the counts of all others are joined.
 HEAD = 200_000
 #: Windows scored together; more of them don't stay in a core's cache.
@@ -184,16 +184,17 @@ def neighbours_in_words(tokenizer: str, freq: np.ndarray):
 
 
 def neighbours_of_words(freq: np.ndarray, starts: np.ndarray):
-    """Windows to the neighbours across words, weighted for what lies between the windows."""
+    """Texts as ids to the neighbours across words: exact over all training documents."""
     begins = np.append(starts, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in batches:
-                for x in batch.column(0):
-                    ids = np.frombuffer(x.as_py(), np.int32)
+                for k in range(0, batch.num_rows, 256):
+                    # from the end of a text to the start of the next is no neighbourhood of any id
+                    ids = np.frombuffer(b"".join(batch.column(0).slice(k, 256).to_pylist()), np.int32)
                     at = np.flatnonzero(begins[ids[1:]])
-                    yield ids[at], ids[at + 1], STRIDE // WINDOW
+                    yield ids[at], ids[at + 1], 1
 
         yield from _pairs_counted(freq, parts())
 
@@ -229,7 +230,7 @@ def projected(mean: np.ndarray, basis: np.ndarray):
     return run
 
 
-def subword_classes(counts: DataFrame, windows: DataFrame, tokenizer: str, freq: np.ndarray, starts: np.ndarray, sample: list[np.ndarray] = (), seed: int = 1) -> np.ndarray:
+def subword_classes(counts: DataFrame, windows: DataFrame, tokenizer: str, freq: np.ndarray, starts: np.ndarray, seed: int = 1) -> np.ndarray:
     """Class of every id: clusters of all ids seen LEAST times by their neighbours; the others by whether they begin a word.
 
     Neighbours inside words come from the counts of all words, those across
@@ -242,11 +243,6 @@ def subword_classes(counts: DataFrame, windows: DataFrame, tokenizer: str, freq:
     kind = "id bigint, col bigint, c bigint"
     inside = counts.mapInArrow(neighbours_in_words(tokenizer, freq), kind)
     across = windows.select("seq").mapInArrow(neighbours_of_words(freq, starts), kind)
-    begins, edge = np.append(starts, True), [len(freq)]
-    texts = [np.concatenate([edge, t, edge]).astype(np.int64) for t in sample]
-    found = list(_pairs_counted(freq, ((t[at], t[at + 1], 1) for t in texts for at in [np.flatnonzero(begins[t[1:]])])))
-    if found:
-        across = across.union(windows.sparkSession.createDataFrame(pa.Table.from_batches(found).to_pandas(), kind))
     pairs = inside.union(across).groupBy("id", "col").agg(F.sum("c").alias("c"))
     by_id = pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("col", "c"))).alias("r"))
     rows = written(by_id.select("id", "r.col", "r.c"), "neighbours").coalesce(4)  # a row per id of the vocabulary at most
@@ -295,45 +291,67 @@ def laid_out(usable: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def one_pass(par: dict[str, np.ndarray], sequences: list[np.ndarray], seed: int = 1, rate: float = 0.005) -> dict[str, np.ndarray]:
-    """Goes on from ``par`` over every window once, in single precision."""
-    whole, real = laid_out(sequences)
-    first = np.random.default_rng(seed).permutation(len(sequences)) * (WINDOW + 1)
-    batches = [first[k : k + 64] for k in range(0, len(first), 64)]
-    return descend({k: v.astype(np.float32) for k, v in par.items()}, whole, real.astype(np.float32), batches, len(batches), rate)
+    """Goes on from ``par`` over every place of the sequences (uint8) once, in single precision: windows next to one another, the last of a text filled up."""
+    n = WINDOW
+    lengths = np.array([len(q) for q in sequences])
+    many = -(-(lengths - 1) // n)  # windows: every place but a text's first is asked for in one
+    base = np.cumsum(lengths) - lengths
+    first = np.repeat(base - n * (np.cumsum(many) - many), many) + n * np.arange(many.sum())
+    left = np.repeat(base + lengths, many) - first  # places of the text from there on
+    whole = np.concatenate([*sequences, np.full(n, END, np.uint8)])
+    order = np.random.default_rng(seed).permutation(len(first))
+    real = lambda k: (np.arange(n + 1) < left[order[k : k + 64], None]).astype(np.float32)
+    batches = ((first[order[k : k + 64]], real(k)) for k in range(0, len(order), 64))
+    return descend({k: v.astype(np.float32) for k, v in par.items()}, whole, None, batches, -(-len(order) // 64), rate)
 
 
-def descend(par: dict[str, np.ndarray], whole: np.ndarray, real: np.ndarray, batches, steps: int, rate: float) -> dict[str, np.ndarray]:
-    """Adam over batches of first places of windows, with a falling rate."""
+def descend(par: dict[str, np.ndarray], whole: np.ndarray, real: np.ndarray | None, batches, steps: int, rate: float) -> dict[str, np.ndarray]:
+    """Adam over batches of first places of windows, with a falling rate; without ``real`` a batch brings along which places count."""
     n, c, kind = WINDOW, CLASSES, par["a"].dtype
     far = np.arange(n)[:, None] - np.arange(n)[None, :]
-    mask, eye = far >= 0, np.eye(c, dtype=kind)
+    mask, eye, near = (far >= 0).astype(kind), np.eye(c, dtype=kind), np.maximum(far, 0).ravel()
+    ones = np.ones((c, 1), kind)
     m1 = {k: np.zeros_like(x) for k, x in par.items()}
     m2 = {k: np.zeros_like(x) for k, x in par.items()}
-    for step, at in enumerate(batches, 1):
+    for step, batch in enumerate(batches, 1):
+        at = batch if real is not None else batch[0]
         idx = at[:, None] + np.arange(n + 1)
-        seq, good = whole[idx], real[idx][:, 1:]
-        x, y = seq[:, :-1], seq[:, 1:]
-        e = eye[x]
-        s = np.where(mask, par["a"][x[:, :, None], x[:, None, :]] + par["r"][np.maximum(far, 0)], -1e9)
-        p = np.exp(s - s.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
-        v = par["v"][x]
-        hid = p @ v
-        z = hid @ par["o"] + par["s"][x] + par["b"]
-        q = np.exp(z - z.max(2, keepdims=True))
-        q /= q.sum(2, keepdims=True)
-        d = (q - eye[y]) * good[:, :, None] / float(max(good.sum(), 1))
-        dh = d @ par["o"].T
-        dp = dh @ v.transpose(0, 2, 1)
-        ds = p * (dp - (dp * p).sum(2, keepdims=True))
-        dv = p.transpose(0, 2, 1) @ dh
+        seq = whole[idx].astype(np.int64)
+        good = (real[idx] if real is not None else batch[1])[:, 1:]
+        x, y = seq[:, :-1], seq[:, 1:].ravel()
+        # weights before their sums: logits are a part of two classes and a part of the distance
+        pair = np.exp(par["a"] - par["a"].max(1, keepdims=True)).ravel()
+        place = (x * c)[:, :, None] + x[:, None, :]
+        w = np.take(pair, place)
+        w *= np.exp(par["r"] - par["r"].max())[near].reshape(n, n) * mask
+        v = np.concatenate([par["v"], ones], axis=1)[x]
+        hid = w @ v
+        size = np.maximum(hid[:, :, -1:], 1e-30)
+        hid = hid[:, :, :-1] / size
+        rows = hid.reshape(-1, hid.shape[2])
+        z = rows @ par["o"]
+        z += (par["s"] + par["b"])[x.ravel()]
+        # what the layer adds is a mean of values, so logits have a bound; under it exp() needs no shift
+        if np.abs(par["v"]).max() * np.abs(par["o"]).sum(0).max() + np.abs(par["s"] + par["b"]).max() > 60:
+            z -= z.max(1, keepdims=True)
+        d = np.exp(z, out=z)
+        d /= d @ ones
+        d[np.arange(len(y)), y] -= 1
+        d *= (good / kind.type(max(good.sum(), 1))).reshape(-1, 1)
+        e = eye[x.ravel()]
+        # by hid over its sums: ds = w * (dh v' - dh hid) / size, dv = w' (dh / size)
+        dh = (d @ par["o"].T).reshape(hid.shape) / size
+        ds = np.concatenate([dh, -(dh * hid).sum(2, keepdims=True)], axis=2) @ v.transpose(0, 2, 1)
+        ds *= w
+        dv = w.transpose(0, 2, 1) @ dh
+        skip = e.T @ d
         grad = {
-            "a": np.einsum("bic,bij,bjd->cd", e, ds, e, optimize=True),
-            "r": np.bincount(np.maximum(far, 0).ravel(), weights=(ds.sum(0) * mask).ravel(), minlength=n).astype(kind),
-            "v": np.einsum("bic,bih->ch", e, dv, optimize=True),
-            "o": np.einsum("bih,bic->hc", hid, d, optimize=True),
-            "s": np.einsum("bic,bid->cd", e, d, optimize=True),
-            "b": d.sum((0, 1)),
+            "a": np.bincount(place.ravel(), ds.ravel(), c * c).reshape(c, c).astype(kind),
+            "r": np.bincount(near, ds.sum(0).ravel(), n).astype(kind),
+            "v": e.T @ dv.reshape(-1, dv.shape[2]),
+            "o": rows.T @ d,
+            "s": skip,
+            "b": skip.sum(0),
         }
         lr = rate * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for k, g in grad.items():
@@ -343,41 +361,50 @@ def descend(par: dict[str, np.ndarray], whole: np.ndarray, real: np.ndarray, bat
     return par
 
 
-def drawn_windows(tokenizer: str):
-    """(shard, seed, text) to (shard, ids): windows of every document, one for each STRIDE of its subwords, at places the seed fixes.
-
-    The start and the end of a text are ids of their own, past the vocabulary.
-    """
+def whole_texts(tokenizer: str):
+    """(shard, text) to (shard, ids): all subwords of every document between its start and its end, ids of their own past the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords(tokenizer_path(tokenizer))
-        edge = np.array([len(sub.size)], np.int64)
+        edge = np.array([len(sub.size)], np.int32)
+        for batch in batches:
+            shards, texts, done, n = batch.column(0), batch.column(1), 0, batch.num_rows
+            while done < n:
+                first, words, lengths = done, [], []
+                while done < n and len(words) < 65_536:
+                    ws = words_of(texts[done].as_py())
+                    words += ws
+                    lengths.append(len(ws))
+                    done += 1
+                flat, many = sub.flat(words)
+                cuts = np.append(0, np.cumsum(many))[np.cumsum([0, *lengths])].tolist()
+                flat = flat.astype(np.int32)
+                seqs = [np.concatenate([edge, flat[a:b], edge]).tobytes() for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([shards.slice(first, done - first), pa.array(seqs, pa.binary())], names=["shard", "seq"])
+
+    return run
+
+
+def as_classes(classes: np.ndarray):
+    """(shard, ids) to (shard, classes as bytes)."""
+    of = np.append(classes, END).astype(np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards, parts = [], []
-            for shard, seed, x in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(x)
-                # about two subwords to a word: where windows begin is drawn over words, where they end counts subwords
-                n = len(words)
-                places = np.random.default_rng(seed & (1 << 63) - 1).integers(0, max(n - WINDOW // 2, 0) + 1, 1 + 2 * n // STRIDE).tolist()
-                parts += [(at == 0, words[at : at + WINDOW], at + WINDOW >= n) for at in places]
-                shards += [shard] * len(places)
-            flat, many = sub.flat([w for _, ws, _ in parts for w in ws])
-            cuts = np.append(0, np.cumsum(many))[np.cumsum([0] + [len(ws) for _, ws, _ in parts])].tolist()
-            seqs = []
-            for (first, _, last), a, b in zip(parts, cuts, cuts[1:]):
-                seq = np.concatenate([*([edge] if first else []), flat[a : min(b, a + WINDOW + 1)], *([edge] if last else [])])
-                seqs.append(seq[: WINDOW + 1].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(seqs, pa.binary())], names=["shard", "seq"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                seqs = [of[np.frombuffer(x, np.int32)].tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(seqs, pa.binary())], names=["shard", "seq"])
 
     return run
 
 
-def fit_shard(par: dict[str, np.ndarray], classes: np.ndarray):
-    """A shard's windows to its positions and its parameters times them."""
-    names, of = sorted(par), np.append(classes, END)
+def fit_shard(par: dict[str, np.ndarray]):
+    """A shard's texts as classes to its positions and its parameters times them."""
+    names = sorted(par)
 
     def run(shard: pa.Table) -> pa.Table:
-        seqs = [of[np.frombuffer(x, np.int32)] for x in sorted(shard.column("seq").to_pylist())]
+        seqs = [np.frombuffer(x, np.uint8) for x in sorted(shard.column("seq").to_pylist())]
         n = sum(map(len, seqs))
         got = one_pass(par, seqs)
         flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64) * n
@@ -393,15 +420,15 @@ def add_shards(part: pa.Table) -> pa.Table:
 
 
 def all_windows(training: DataFrame, tokenizer: str, shards: int) -> DataFrame:
-    """shard, seq: windows of all training documents (columns key, text), dealt to shards by hash."""
-    mixed = F.xxhash64("key", "text")
-    dealt = training.select(F.pmod(mixed, F.lit(shards)).cast("bigint").alias("shard"), F.xxhash64(mixed, F.lit(9)).alias("seed"), "text")
-    return dealt.mapInArrow(drawn_windows(tokenizer), "shard bigint, seq binary")
+    """shard, seq: all training documents (columns key, text) as ids, dealt to shards by hash."""
+    dealt = training.select(F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("bigint").alias("shard"), "text")
+    return dealt.mapInArrow(whole_texts(tokenizer), "shard bigint, seq binary")
 
 
 def refined(windows: DataFrame, par: dict[str, np.ndarray], classes: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameters after a pass over windows of all training documents: fitted in each shard from ``par``, averaged by positions."""
-    fitted = windows.groupBy("shard").applyInArrow(fit_shard(par, classes), "shard bigint, n bigint, flat binary")
+    """Parameters after a pass over all training documents: fitted in each shard from ``par``, averaged by positions."""
+    bare = windows.select("shard", "seq").mapInArrow(as_classes(classes), "shard bigint, seq binary")
+    fitted = bare.groupBy("shard").applyInArrow(fit_shard(par), "shard bigint, n bigint, flat binary")
     rows = fitted.groupBy(F.col("shard") % 16).applyInArrow(add_shards, "n bigint, lane bigint, flat binary").collect()
     rows.sort(key=lambda r: r["lane"])
     flat = sum(np.frombuffer(r["flat"]) for r in rows) / sum(r["n"] for r in rows)
@@ -565,8 +592,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Counts, classes and the attention layer are fitted on all documents that are
-    not held out; the layer starts from ``sample`` of them, and where there are
-    more, goes once over windows drawn from all, in shards of about ``sample``.
+    not held out; the layer starts from ``sample`` of them and then goes once
+    over every subword of all, in shards of about ``sample``.
     A word's probability is ``mix`` of what the layer spells and the rest of its
     add-one share of all training tokens, as in the base score.  Null
     texts are empty ones and have the end alone.  Repeated rows count each.
@@ -602,10 +629,11 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize
     for r in ids:
         freq[r["id"]] = r["c"]
     windows = written(all_windows(training, tokenizer, max(1, -(-stats["ends"] // sample))), "windows")
-    classes = subword_classes(counts, windows, tokenizer, freq, starts, encoded)
+    classes = subword_classes(counts, windows, tokenizer, freq, starts)
     par = train([np.concatenate([[END], classes[t], [END]]) for t in encoded], steps)
-    if stats["ends"] > sample and steps:
+    if stats["ends"] and steps:
         par = refined(windows, par, classes)
+    discard(windows)
     per_class = np.bincount(classes, weights=freq + 0.1, minlength=CLASSES)
     within = np.log10((freq + 0.1) / per_class[classes])
     model = {"tokenizer": tokenizer, "classes": classes, "within": within, "par": par, "words": [bytes(r["word"]) for r in top], "counts": [r["c"] for r in top], "end_count": stats["ends"], "mix": mix, "every": float(stats["n"] + stats["v"] + 1)}
