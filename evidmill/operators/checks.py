@@ -141,53 +141,100 @@ def spans(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.round(F.max(value) - F.min(value), 6).alias("span"))
 
 
-#: Token sets of a block; every two blocks of a group meet once.  Blocks of a group that are sent to all tasks at once.
-SETS, SENT = 512, 16
-
-
-def _similarity(a: pa.ListArray, b: pa.ListArray, one: bool) -> float:
-    """Sum of the Jaccard similarities, at 9 digits each, of the pairs of two blocks of sets, or (``one``) within one."""
-    size = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
-    words = [x.flatten() for x in (a, b)]
-    # only words of both sides count
-    terms = pc.unique(words[0]).filter(pc.is_in(pc.unique(words[0]), value_set=pc.unique(words[1])))
-    code = [pc.fill_null(pc.index_in(w, value_set=terms), -1).to_numpy(zero_copy_only=False) for w in words]
-    rows = [np.repeat(np.arange(len(n)), n) for n in size]
-    both = np.zeros((len(a), len(b)), np.float32)
-    for k in range(0, len(terms), 2048):
-        m = [np.zeros((len(n), 2048), np.float32) for n in size]
-        for x, c, r in zip(m, code, rows, strict=True):
-            ok = (c >= k) & (c < k + 2048)
-            x[r[ok], c[ok] - k] = 1
+#: Token sets of a block; every two blocks of a group meet once.  Common words at once in a matrix, and pairs counted at once one by one.
+SETS, COLUMNS, COUNTED = 1024, 2048, 1 << 21
+#: A block in bytes: the sizes of its sets, its distinct words (and where each ends), and the sets that hold each word (and where they end).
+_BLOCK = ["size", "words", "letters", "sets", "ends"]
+
+
+def _packed(sets: pa.ListArray) -> list[bytes]:
+    """_BLOCK of token sets."""
+    size = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int32)
+    coded = sets.flatten().cast(pa.binary()).dictionary_encode()
+    code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    held = np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(code, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(words)))]).astype(np.int32)
+    letters = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return [size.tobytes(), b"".join(words.to_pylist()), letters.tobytes(), held.tobytes(), ends.tobytes()]
+
+
+def _similarity(a: list[pa.Buffer], b: list[pa.Buffer], one: bool) -> float:
+    """Sum of the Jaccard similarities, at 9 digits each, of the pairs of two blocks, or (``one``) within one.
+
+    Of the words that both hold, frequent ones meet in matrices; sets with a
+    rare one are counted pair by pair, where that is less work.
+    """
+    size, held, ends = ([np.frombuffer(x[k], np.int32) for x in (a, b)] for k in (0, 3, 4))
+    words = [pa.Array.from_buffers(pa.binary(), len(x[2]) // 4 - 1, [None, x[2], x[1]]) for x in (a, b)]
+    at = pc.fill_null(pc.index_in(words[1], value_set=words[0]), -1).to_numpy(zero_copy_only=False)
+    term = [at[at >= 0], np.flatnonzero(at >= 0)]
+    many = [e[t + 1].astype(np.int64) - e[t] for e, t in zip(ends, term, strict=True)]
+    rows, columns = map(len, size)
+    dense = many[0] * many[1] * 200 > rows * columns
+
+    def holders(k: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the word and set, of all sets of side k that hold one of the chosen words."""
+        n = many[k][chosen]
+        first = ends[k][term[k][chosen]] - np.cumsum(n) + n
+        return np.repeat(np.arange(len(n)), n), held[k][np.arange(n.sum()) + np.repeat(first, n)]
+
+    both = np.zeros((rows, columns), np.float32)
+    often = np.flatnonzero(dense)
+    for k in range(0, len(often), COLUMNS):
+        chosen, m = often[k : k + COLUMNS], []
+        for side, n in enumerate((rows, columns)):
+            word, x = holders(side, chosen)
+            m.append(np.zeros((n, len(chosen)), np.float32))
+            m[-1][x, word] = 1
         both += m[0] @ m[1].T
-    j = np.floor(both / np.maximum(size[0][:, None] + size[1][None, :] - both.astype(np.float64), 1) * 1e9 + 0.5) / 1e9
-    return float(np.triu(j, 1).sum() if one else j.sum())
+    rare = np.flatnonzero(~dense)
+    part = np.cumsum(many[0][rare] * many[1][rare]) // COUNTED
+    for chosen in np.split(rare, np.flatnonzero(np.diff(part)) + 1):
+        (word, x), (_, y) = holders(0, chosen), holders(1, chosen)
+        n = many[1][chosen]
+        first, n = (np.cumsum(n) - n)[word], n[word]
+        pair = np.repeat(x.astype(np.int64) * columns, n) + y[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        both += np.bincount(pair, minlength=rows * columns).reshape(rows, columns)
+    j = size[0][:, None].astype(np.float64) + size[1][None, :] - both
+    np.divide(both, np.maximum(j, 1, out=j), out=j)
+    j *= 1e9
+    j += 0.5
+    np.floor(j, out=j)
+    return float((np.triu(j, 1) if one else j).sum()) / 1e9
 
 
 def text_diversity(sets: DataFrame, by: str) -> DataFrame:
     """Mean of 1 - Jaccard over all pairs of a group's token sets (columns by, id, w without repeats), by pairs of blocks.
 
-    Each set is written once, in a block.  SENT blocks of every group at a time
-    go to all tasks, so that pairs of blocks meet without a shuffle; the number
-    of pairs stays the square of a group.
+    Each set is written once, in a block.  A task reads two parts of the written
+    blocks and compares those of one group, so that no block goes through the
+    driver or a shuffle; the number of pairs stays the square of a group.
     """
     n = sets.groupBy(by).agg(F.count("*").alias("n"))
     blocks = -(-(n.agg(F.max("n")).first()[0] or 0) // SETS) or 1
     dealt = sets.select(F.col(by).alias("g"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "w").groupBy("g", "b").agg(F.collect_list("w").alias("w"))
-    dealt = written(dealt, "blocks", **SMALL_GROUPS)
     kind = sets.schema[by].dataType
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed = [pa.array([x], pa.binary()) for x in _packed(batch.column(2)[i].values)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), *packed], ["g", "b", *_BLOCK])
+
+    dealt = written(dealt.mapInArrow(pack, f"g {kind.simpleString()}, b int, " + ", ".join(f"{c} binary" for c in _BLOCK)), "blocks", **SMALL_GROUPS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = [_similarity(batch.column(1)[i].values, batch.column(2)[i].values, batch.column(3)[i].as_py()) for i in range(batch.num_rows)]
+            j = []
+            for i in range(batch.num_rows):
+                block = [c[i].as_buffer() for c in batch.columns[2:]]
+                j.append(_similarity(block[: len(_BLOCK)], block[len(_BLOCK) :], batch.column(1)[i].as_py()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(j, pa.float64())], ["g", "j"])
 
-    sums = None
-    for p in range(0, blocks, SENT):
-        part = dealt.where(F.col("b").between(p, p + SENT - 1)).select(F.col("g").alias("h"), F.col("b").alias("o"), F.col("w").alias("v"))
-        met = dealt.join(F.broadcast(part), F.col("g").eqNullSafe(F.col("h")) & (F.col("b") <= F.col("o"))).select("g", "w", "v", (F.col("b") == F.col("o")).alias("one"))
-        found = met.mapInArrow(run, f"g {kind.simpleString()}, j double")
-        sums = found if sums is None else sums.union(found)
+    # every part of the files meets every part where it is read; Spark would broadcast a side that it deems small
+    other = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
+    met = dealt.hint("shuffle_replicate_nl").join(other, F.col("g").eqNullSafe(F.col("o_g")) & (F.col("b") <= F.col("o_b")))
+    sums = met.select("g", (F.col("b") == F.col("o_b")).alias("one"), *_BLOCK, *[f"o_{c}" for c in _BLOCK]).mapInArrow(run, f"g {kind.simpleString()}, j double")
     shared = sums.groupBy(F.col("g").alias(by)).agg(F.sum("j").alias("j"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return n.join(shared, by, "left").select(by, F.round(F.coalesce(1 - F.try_divide(F.coalesce("j", F.lit(0.0)), pairs), F.lit(0.0)), 6).alias("diversity"))

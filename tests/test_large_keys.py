@@ -150,3 +150,35 @@ def test_hybrid_joins_and_broadcasts_no_pairs(spark, monkeypatch):
         total = {i: round(e + (0.2 * s / top if top > 0 else 0.0), 9) for i, (e, s) in own.items()}
         want |= {(q, n, i, own[i][0], total[i]) for n, i in enumerate(sorted(total, key=lambda i: (-total[i], i))[: retrieval.POOL], 1)}
     assert {tuple(r) for r in got.collect()} == want and {r[0] for r in want} == {0, 1, 2, 4}
+
+
+def test_diversity_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    """Blocks of sets are broadcast nowhere: they grow with the documents."""
+    from evidmill.operators import checks
+
+    monkeypatch.setattr(checks, "SETS", 6)
+    sets = spark.createDataFrame([(i % 3 or None, i, [f"w{j}" for j in range(i % 9)]) for i in range(90)], "g int, id long, w array<string>")
+    got = checks.text_diversity(sets, "g")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan and plan.count("BroadcastExchange") <= 1  # one row a group
+    assert {r["g"] for r in got.collect()} == {None, 1, 2}
+
+
+def test_blocks_of_frequent_and_rare_words(monkeypatch):
+    """Sums over two blocks as by hand, whether words meet in matrices or pair by pair."""
+    import random
+
+    import pyarrow as pa
+
+    from evidmill.operators import checks
+
+    monkeypatch.setattr(checks, "COLUMNS", 7)
+    monkeypatch.setattr(checks, "COUNTED", 50)
+    draw = random.Random(1)
+    words = lambda: {f"wörd{int(draw.paretovariate(0.4))}" for _ in range(draw.randrange(12))}
+    a, b, none = [words() for _ in range(300)], [words() for _ in range(170)], [set(), {"a"}]
+    packed = lambda x: [pa.py_buffer(y) for y in checks._packed(pa.array([sorted(s) for s in x], pa.list_(pa.string())))]
+    j = lambda x, y: round(len(x & y) / max(1, len(x | y)), 9)
+    for x, y in ((a, b), (b, a), (a, none), (none, [set()])):
+        assert checks._similarity(packed(x), packed(y), False) == pytest.approx(sum(j(s, t) for s in x for t in y), abs=1e-6)
+    assert checks._similarity(packed(a), packed(a), True) == pytest.approx(sum(j(s, t) for i, s in enumerate(a) for t in a[:i]), abs=1e-6)
