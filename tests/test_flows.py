@@ -190,3 +190,11 @@ def test_a_stream_of_reviews_can_be_replayed(spark, rules, tmp_path):
     store.follow(stream(), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r["line"], r["batch"]) for r in store.reviews(like).collect()) == first
     assert review_import.lifecycle(rules[2], store.reviews(like)).first()["status"] == "reviews_imported_complete"
+
+
+def test_branch_measures_broadcast_no_texts(spark):
+    """The cards' words meet by parts of their files: the driver holds no block of them."""
+    from evidmill.plans import registry
+
+    plan = registry.QUERIES["branch_measures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "coalesce(g#" not in plan  # as a broadcast of groups would be keyed
